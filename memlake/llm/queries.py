@@ -1,11 +1,12 @@
 """The queries of this subpackage by name, and the SQL that some are compared with."""
 
-from memlake.llm import bpe, mixing, secrets, sharding
+from memlake.llm import bpe, mixing, near_dedup, secrets, sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
         secrets.op4_secret_spans,
+        near_dedup.op5_prob_minhash,
         mixing.op6_source_mix,
         sharding.op7_rendezvous_shards,
         bpe.op8_bpe_round_trip,
