@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and the SQL that some are compared with."""
 
-from memlake.llm import bpe, mixing, near_dedup, secrets, sharding
+from memlake.llm import bpe, exact_dedup, mixing, near_dedup, secrets, sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
+        exact_dedup.op3_golomb_exchange,
         secrets.op4_secret_spans,
         near_dedup.op5_prob_minhash,
         mixing.op6_source_mix,
@@ -13,4 +14,4 @@ QUERIES = {
     )
 }
 
-ORACLE = {**mixing.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **mixing.ORACLE}
