@@ -1,10 +1,11 @@
 """The queries of this subpackage by name, and the SQL that some are compared with."""
 
-from memlake.llm import bpe, exact_dedup, mixing, near_dedup, secrets, sharding
+from memlake.llm import bpe, exact_dedup, mixing, near_dedup, secrets, sharding, substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
+        substring_dedup.op1_count_min_windows,
         exact_dedup.op3_golomb_exchange,
         secrets.op4_secret_spans,
         near_dedup.op5_prob_minhash,
