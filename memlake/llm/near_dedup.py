@@ -15,7 +15,7 @@ from memlake.llm.components import components
 from memlake.llm.words import MIX, distinct_by_text, mixed, shingles, step
 
 #: Counters of shingle frequencies that order the shingles of a text; their number bounds what is broadcast.
-COUNTERS = 1 << 20
+COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: Texts that are sketched together.
 ROWS = 512
 #: Most bytes of row keys that are broadcast; more are joined by a shuffle.
@@ -92,6 +92,22 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "set_id binary, shingles array<long>")
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle with this hash, for COUNTERS hashes: packed in blocks before they come to the driver."""
+    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(COUNTERS - 1).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        at = rows["at"].to_numpy()
+        counts = np.zeros(BLOCK, dtype=np.int32)
+        counts[at % BLOCK] = np.minimum(rows["n"].to_numpy(), 2**31 - 1)
+        return pa.table({"block": [int(at[0]) // BLOCK], "counts": [counts.tobytes()]})
+
+    counters = np.zeros((COUNTERS // BLOCK, BLOCK), dtype=np.int32)
+    for row in counted.groupBy(F.shiftright("at", BLOCK.bit_length() - 1)).applyInArrow(pack, "block long, counts binary").collect():
+        counters[row["block"]] = np.frombuffer(row["counts"], dtype=np.int32)
+    return counters.reshape(-1)
+
+
 def prefixes(sets: DataFrame, counters: np.ndarray, similarity: float) -> DataFrame:
     """(shingle, id, pos, n): the rarest shingles of each set, as many as a partner at this similarity can't all lack.
 
@@ -142,10 +158,7 @@ def links(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     missing has an end outside its hub's component, and the other outside its own: only those
     pairs are made and verified then, if sizes and places leave room for the similarity.
     """
-    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(COUNTERS - 1).alias("at")).count().toPandas()
-    counters = np.zeros(COUNTERS, dtype=np.int32)
-    counters[counted["at"].to_numpy()] = np.minimum(counted["count"].to_numpy(), 2**31 - 1)
-    rows = checkpoint(prefixes(sets, counters, similarity))
+    rows = checkpoint(prefixes(sets, frequencies(sets), similarity))
     hubs = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "n", "id")).alias("h")).where("members > 1")
     hubs = checkpoint(hubs.select("shingle", "members", "h.pos", "h.n", "h.id"))
     near = rows.alias("m").join(hubs.alias("h"), "shingle").where((F.col("m.id") != F.col("h.id")) & _may_link("m", "h", similarity))
