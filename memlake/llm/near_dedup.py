@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are near-duplicates if the Jaccard similarity of their sets of `width`-word shingles (words
     are runs without white space, lower-cased) is `similarity` or more; classes are what such links connect, with equal
-    sets in one class. class_id is the smallest id of a class, and its row is kept. ProbMinHash
+    sets in one class. class_id is the smallest id of a class, and its row is kept (of several texts with that id, one). ProbMinHash
     sketches, in which a shingle weighs 1 + ln(its count), fall into bands; a text that shares a band with no
     other is alone, which at similarity 0.8 misses a link once in 10 million for 32 bands of 4. Texts that do share
     one are verified exactly: see `links`.
@@ -217,8 +217,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("root").isNotNull(), F.concat(F.lit("r"), F.col("root").cast("string"))).when(F.col("set_id").isNotNull(), F.hex("set_id")).otherwise(F.concat(F.lit("e"), F.col("row").cast("string"))).alias("class"),
     )
     classed = checkpoint(classed)
-    classes = classed.groupBy("class").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(classes, "class").select(F.col("id").alias(id_col), "text_hash", "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("text_hash").alias("text_hash")))
+    classes = classed.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return classed.join(classes, "class").select(F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size", is_first.alias("kept"))
+
+
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that `near_duplicates` keeps, with all their columns and no others."""
+    gone = checkpoint(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
+    small = gone.count() * 48 <= BROADCAST_BYTES
+    here = F.xxhash64(text_or_empty(text_col))
+    return docs.join(F.broadcast(gone) if small else gone, (here == F.col("gone_hash")) & docs[id_col].eqNullSafe(F.col("gone_id")), "left_anti")
 
 
 def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
