@@ -125,7 +125,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEDGER = """ledger AS (
-  SELECT epoch_ms(ts) AS ts_ms, 'p' || (user_id % 3) AS provider, 'm' || (user_id % 5) AS model,
+  SELECT (epoch_us(ts) // 1000) AS ts_ms, 'p' || (user_id % 3) AS provider, 'm' || (user_id % 5) AS model,
     CASE event_type WHEN 'click' THEN 'l1-extract' WHEN 'view' THEN 'l1-dedup' WHEN 'signup' THEN 'l2' WHEN 'purchase' THEN 'l3' WHEN 'error' THEN 'graph' END AS layer,
     event_id % 5000 AS input_chars, CAST(floor(value) AS BIGINT) AS output_tokens, event_id % 7 AS reasoning_tokens, event_id FROM events)"""
 
@@ -147,4 +147,4 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SESSION_EVENTS = """session_events AS (
   SELECT 'u' || user_id AS session_id, event_id AS seq,
     CASE event_type WHEN 'signup' THEN 'turn/start' WHEN 'purchase' THEN 'turn/end' WHEN 'click' THEN 'user/message' WHEN 'view' THEN 'assistant/message' WHEN 'error' THEN 'compaction' END AS type,
-    epoch_ms(ts) AS ts_ms, CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(event_id // 400 AS INT) END AS turn, props AS payload FROM events)"""
+    (epoch_us(ts) // 1000) AS ts_ms, CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(event_id // 400 AS INT) END AS turn, props AS payload FROM events)"""
