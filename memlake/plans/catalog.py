@@ -1,7 +1,7 @@
 """All queries of the engine, without those of the corpus operators."""
 
-from memlake.plans import analytics, filters, joins, ranking
+from memlake.plans import analytics, filters, joins, ranking, retrieval
 
-MODULES = (filters, analytics, joins, ranking)
+MODULES = (filters, analytics, joins, ranking, retrieval)
 QUERIES = {name: f for m in MODULES for name, f in m.Q.run.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.Q.sql.items()}
