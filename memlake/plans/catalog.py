@@ -1,7 +1,7 @@
 """All queries of the engine, without those of the corpus operators."""
 
-from memlake.plans import analytics, dedupe, filters, graph, joins, ranking, retrieval
+from memlake.plans import analytics, dedupe, filters, graph, joins, ranking, retrieval, streaming
 
-MODULES = (filters, analytics, joins, ranking, retrieval, dedupe, graph)
+MODULES = (filters, analytics, joins, ranking, retrieval, dedupe, graph, streaming)
 QUERIES = {name: f for m in MODULES for name, f in m.Q.run.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.Q.sql.items()}
