@@ -48,3 +48,80 @@ def compare_runs(a: DataFrame, b: DataFrame, band: float = 0.05) -> DataFrame:
     delta = F.round(F.col("after") - F.col("before"), 6)
     verdict = F.when(F.col("before").isNull() | F.col("after").isNull(), "missing").when(F.abs(delta) <= band, "noise").when(delta > 0, "better").otherwise("worse")
     return left.join(right, "kind", "full").select("kind", delta.alias("delta"), verdict.alias("verdict"))
+
+
+def abstention(results: DataFrame) -> DataFrame:
+    """Failures of probes that ask for nothing, and hits among updates, by arm."""
+    return results.groupBy("arm").agg(F.count_if((F.col("kind") == "abstention") & ~F.col("hit")).alias("abstention_failures"), F.count_if((F.col("kind") == "update") & F.col("hit")).alias("update_hits"), F.count_if(F.col("kind") == "update").alias("updates"))
+
+
+def efficiency(runs: DataFrame) -> DataFrame:
+    """Means of turns, steps and tokens of scenario runs by arm, and the cache rate weighted by input."""
+    return runs.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("runs"),
+        *(F.round(F.avg(c), 6).alias(c) for c in ("turns", "steps", "input_tokens", "output_tokens")),
+        F.round(F.sum("cached_tokens") / F.sum("input_tokens"), 6).alias("cache_rate"),
+    )
+
+
+def latency_split(turns: DataFrame) -> DataFrame:
+    """Mean first response of turns with and without injection, and the mean share of injected characters."""
+    with_it = F.col("injected_chars") > 0
+    return turns.agg(
+        F.round(F.avg(F.when(with_it, F.col("first_ms"))), 6).alias("injected_ms"),
+        F.round(F.avg(F.when(~with_it, F.col("first_ms"))), 6).alias("plain_ms"),
+        F.round(F.avg(F.when(with_it, F.col("injected_chars") / 4 / F.col("input_tokens"))), 6).alias("share"),
+        F.count_if(with_it).alias("injected"),
+    )
+
+
+def usage_by_layer(runs: DataFrame) -> DataFrame:
+    """Of a map layer -> (calls, failures, tokens) on each run, the sums by layer."""
+    each = runs.select(F.explode("layers").alias("layer", "u"))
+    return each.groupBy("layer").agg(*(F.sum(f"u.{c}").alias(c) for c in ("calls", "failures", "tokens")))
+
+
+def injected_recall(probes: DataFrame) -> DataFrame:
+    """Probes (kind, injected, tokens, by_tool, hit): gold whose tokens all stand in what was injected, and those a tool rescued."""
+    found = F.forall("tokens", lambda t: F.contains("injected", t))
+    rows = probes.withColumn("found", F.coalesce(found, F.lit(False)))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("probes"), F.count_if("found").alias("found"), F.count_if(~F.col("found") & F.col("by_tool") & F.col("hit")).alias("rescued"))
+
+
+def by_position(results: DataFrame, buckets: int = 3) -> DataFrame:
+    """Accuracy by the third of the scenario order that a scenario falls in; scenarios are a bounded list."""
+    from pyspark.sql import Window as W
+
+    order = results.groupBy("scenario").agg(F.min("ord").alias("ord"))
+    total = order.agg(F.count(F.lit(1)).alias("total"))
+    placed = order.join(F.broadcast(total)).withColumn("bucket", F.ceil(F.row_number().over(W.orderBy("ord", "scenario")) * buckets / F.col("total")))
+    return results.join(F.broadcast(placed.select("scenario", "bucket")), "scenario").groupBy("bucket").agg(F.count(F.lit(1)).alias("probes"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("rate"), F.sum("contamination").alias("contamination"))
+
+
+def token_summary(lines: DataFrame) -> DataFrame:
+    """Sums by phase and arm of log lines `phase=.. arm=.. in=.. cached=.. out=.. steps=..`; other lines are skipped."""
+    part = lambda name, what=r"\d+": F.regexp_extract("line", rf"\b{name}=({what})", 1)
+    rows = lines.where(F.col("line").rlike(r"\bphase=\w+ arm=\w+ in=\d+")).select(part("phase", r"\w+").alias("phase"), part("arm", r"\w+").alias("arm"), *(part(n).cast("long").alias(n) for n in ("in", "cached", "out", "steps")))
+    sums = rows.groupBy("phase", "arm").agg(*(F.sum(n).alias(n) for n in ("in", "cached", "out", "steps")))
+    return sums.withColumn("cache_rate", F.round(F.col("cached") / F.col("in"), 6))
+
+
+def step_cache(steps: DataFrame) -> DataFrame:
+    """Of each step (session_id, seq, input_tokens, cached_tokens, context_chars): what wasn't cached, the miss rate, and the text that was added."""
+    from pyspark.sql import Window as W
+
+    added = F.col("context_chars") - F.lag("context_chars", 1, 0).over(W.partitionBy("session_id").orderBy("seq"))
+    miss = F.col("input_tokens") - F.col("cached_tokens")
+    return steps.select("session_id", "seq", miss.alias("uncached"), F.round(miss / F.col("input_tokens"), 6).alias("miss_rate"), added.alias("added_chars"))
+
+
+def write_amplification(jobs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """External calls for each record that changed, of jobs (id) between two states (id, digest): none where nothing changed."""
+    changed = after.join(before.withColumnRenamed("digest", "was"), "id", "left").where(F.col("was").isNull() | (F.col("was") != F.col("digest"))).select("id")
+    calls = jobs.join(changed, "id", "left_semi").agg(F.count(F.lit(1)).alias("calls"))
+    return calls.join(F.broadcast(changed.agg(F.count(F.lit(1)).alias("changed")))).select("calls", "changed", F.round(F.coalesce(F.try_divide("calls", "changed"), F.lit(0.0)), 6).alias("ratio"))
+
+
+def lifecycle(rows: DataFrame) -> DataFrame:
+    """Of checks (suite, expected, seen): positives, leaks and the rate of those that came out as expected."""
+    return rows.groupBy("suite").agg(F.count_if(F.col("expected") & F.col("seen")).alias("positives"), F.count_if(~F.col("expected") & F.col("seen")).alias("leaks"), F.round(F.avg((F.col("expected") == F.col("seen")).cast("int")), 6).alias("rate"))
