@@ -18,6 +18,8 @@ from memlake.llm.words import mixed, split_words, word_hashes
 CHUNK_BYTES, SHARD_BITS = 8 << 20, 24
 #: Cells of each of the two rows of the sketch for one window.
 CELLS_PER_WINDOW = 4
+#: Most bytes of window hashes that are grouped in one task, on the average, if all windows are suspects.
+OWNER_BYTES = 64 << 20
 #: Odd bases of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -62,65 +64,99 @@ def _bits(code: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(code, dtype=np.uint8))[:n].astype(bool)
 
 
-def _sketch_rows(hashes: tuple[np.ndarray, np.ndarray], bits: int):
+def _sketch_rows(hashes: tuple[np.ndarray, np.ndarray], bits: int, shard_bits: int):
     """For both rows of the sketch: the cells of all windows, ascending and different, and how many windows each has."""
     for row, h in enumerate(hashes):
         cells, counts = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-        edges = np.flatnonzero(np.diff(cells >> SHARD_BITS, prepend=-1)) if len(cells) else np.zeros(0, dtype=np.int64)
+        edges = np.flatnonzero(np.diff(cells >> shard_bits, prepend=-1)) if len(cells) else np.zeros(0, dtype=np.int64)
         yield row, cells, counts, edges, np.append(edges[1:], len(cells))
 
 
-def repeated_windows(chunks: DataFrame, window: int, bits: int) -> DataFrame:
-    """(chunk, h1, h2): which windows of each chunk occur at least twice anywhere, of rows (chunk, text).
+def _answers(table: pa.Table, stage: int) -> dict[tuple[int, int], bytes]:
+    """(row, part) -> bitmap, of what one stage sent back to a chunk."""
+    kept = table.filter(pc.equal(table["stage"], stage))
+    return dict(zip(zip(kept["row"].to_pylist(), kept["part"].to_pylist(), strict=True), kept["again"].to_pylist(), strict=True))
+
+
+def _suspects(one: np.ndarray, two: np.ndarray, said: dict[tuple[int, int], bytes], bits: int, shard_bits: int):
+    """Which windows have cells that count two or more in both rows, and their different hash pairs, ascending, with counts."""
+    left = np.arange(len(one))
+    for row, cells, _, begins, ends in _sketch_rows((one, two), bits, shard_bits):
+        parts = [_bits(said[row, int(cells[a] >> shard_bits)], b - a) for a, b in zip(begins, ends, strict=True)]
+        repeated = cells[np.concatenate(parts)] if parts else cells
+        own = ((one, two)[row][left] >> np.uint64(64 - bits)).astype(np.int64)
+        at = np.searchsorted(repeated, own)
+        left = left[(at < len(repeated)) & (repeated[np.minimum(at, len(repeated) - 1)] == own)] if len(repeated) else left[:0]
+    return left, *_count_pairs(one[left], two[left])
+
+
+def _by_owner(pairs: tuple[np.ndarray, np.ndarray], owner_bits: int):
+    """Ranges of ascending pairs that have the same owner: (owner, from, to)."""
+    owners = (pairs[0] >> np.uint64(64 - owner_bits)).astype(np.int64) if owner_bits else np.zeros(len(pairs[0]), dtype=np.int64)
+    if not len(owners):
+        return []
+    edges = np.flatnonzero(np.diff(owners, prepend=-1))
+    return [(int(owners[a]), int(a), int(b)) for a, b in zip(edges, np.append(edges[1:], len(owners)), strict=True)]
+
+
+def repeated_windows(chunks: DataFrame, window: int, bits: int, shard_bits: int, owner_bits: int) -> DataFrame:
+    """What chunks (chunk, text) must know to tell repeated windows: rows (chunk, stage, row, part, again), all bitmaps.
 
     First pass: each chunk makes a count-min sketch of two rows and sends every range of cells, compressed, to the
     task that merges this range; counts stop at two. Back comes a bit for each cell that was sent: whether
-    it counts two or more. The sketch grows with the input, and no task holds more than one range of it.
-    Second pass: windows whose cells count two in both rows (an estimate which is never too low) are grouped by their
-    128-bit hashes, pre-aggregated by chunk. All others occur once and are never shuffled.
+    it counts two or more (stage 1). The sketch grows with the input, and no task holds more than one range of it.
+    Second pass: windows whose cells count two in both rows (an estimate which is never too low) go, each different
+    one of a chunk once, as 128-bit hashes to the task that owns their range, which groups them exactly. Back comes a
+    bit for each (stage 2). All other windows occur once and are never shuffled.
     """
     grouped = chunks.groupBy("chunk")
+    sent = pa.schema([("chunk", pa.int32()), ("row", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("data", pa.binary()), ("twice", pa.binary())])
+    packed = "chunk int, row int, part int, n int, data binary, twice binary"
+    answered = "chunk int, stage int, row int, part int, again binary"
 
     def sketch(rows: pa.Table) -> pa.Table:
         *_, one, two = windows(rows["text"].combine_chunks(), window)
         chunk, out = rows["chunk"][0].as_py(), []
-        for row, cells, counts, begins, ends in _sketch_rows((one, two), bits):
+        for row, cells, counts, begins, ends in _sketch_rows((one, two), bits, shard_bits):
             for a, b in zip(begins, ends, strict=True):
-                shard = int(cells[a] >> SHARD_BITS)
-                out.append({"chunk": chunk, "row": row, "shard": shard, "n": int(b - a), "cells": pack_cells(cells[a:b] - (shard << SHARD_BITS)), "twice": np.packbits(counts[a:b] > 1).tobytes()})
+                part = int(cells[a] >> shard_bits)
+                out.append({"chunk": chunk, "row": row, "part": part, "n": int(b - a), "data": pack_cells(cells[a:b] - (part << shard_bits)), "twice": np.packbits(counts[a:b] > 1).tobytes()})
         return pa.Table.from_pylist(out, sent)
 
-    sent = pa.schema([("chunk", pa.int32()), ("row", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("cells", pa.binary()), ("twice", pa.binary())])
-    sketches = grouped.applyInArrow(sketch, "chunk int, row int, shard int, n int, cells binary, twice binary")
+    def told(parts: pa.Table, stage: int, again: list[bytes]) -> pa.Table:
+        return pa.table({"chunk": parts["chunk"], "stage": pa.array(np.full(len(again), stage, dtype=np.int32)), "row": parts["row"], "part": parts["part"], "again": pa.array(again, pa.binary())})
 
     def merge(parts: pa.Table) -> pa.Table:
-        counts = np.zeros(1 << min(bits, SHARD_BITS), dtype=np.uint8)
-        codes, twice, sizes = parts["cells"], parts["twice"], parts["n"].to_pylist()
+        counts = np.zeros(1 << min(bits, shard_bits), dtype=np.uint8)
+        codes, twice, sizes = parts["data"], parts["twice"], parts["n"].to_pylist()
         for k, n in enumerate(sizes):
             cells = unpack_cells(codes[k].as_py())
             counts[cells] = np.minimum(counts[cells] + 1 + _bits(twice[k].as_py(), n), 2)
-        again = [np.packbits(counts[unpack_cells(codes[k].as_py())] > 1).tobytes() for k in range(len(sizes))]
-        return pa.table({"chunk": parts["chunk"], "row": parts["row"], "shard": parts["shard"], "again": pa.array(again, pa.binary())})
-
-    merged = sketches.groupBy("row", "shard").applyInArrow(merge, "chunk int, row int, shard int, again binary")
+        return told(parts, 1, [np.packbits(counts[unpack_cells(codes[k].as_py())] > 1).tobytes() for k in range(len(sizes))])
 
     def suspect(rows: pa.Table, answers: pa.Table) -> pa.Table:
         *_, one, two = windows(rows["text"].combine_chunks(), window)
-        said = {(r, s): a for r, s, a in zip(answers["row"].to_pylist(), answers["shard"].to_pylist(), answers["again"].to_pylist(), strict=True)}
-        left = np.arange(len(one))
-        for row, cells, _, begins, ends in _sketch_rows((one, two), bits):
-            parts = [_bits(said[row, int(cells[a] >> SHARD_BITS)], b - a) for a, b in zip(begins, ends, strict=True)]
-            repeated = cells[np.concatenate(parts)] if parts else cells
-            own = ((one, two)[row][left] >> np.uint64(64 - bits)).astype(np.int64)
-            at = np.searchsorted(repeated, own)
-            left = left[(at < len(repeated)) & (repeated[np.minimum(at, len(repeated) - 1)] == own)] if len(repeated) else left[:0]
-        pairs, counts = _count_pairs(one[left], two[left])
+        _, pairs, counts = _suspects(one, two, _answers(answers, 1), bits, shard_bits)
         chunk = rows["chunk"][0].as_py()
-        return pa.table({"chunk": pa.array(np.full(len(counts), chunk, dtype=np.int32)), "h1": pa.array(pairs[0].view(np.int64)), "h2": pa.array(pairs[1].view(np.int64)), "n": pa.array(counts.astype(np.int64))})
+        out = [{"chunk": chunk, "row": 0, "part": owner, "n": b - a, "data": pairs[0][a:b].tobytes() + pairs[1][a:b].tobytes(), "twice": np.packbits(counts[a:b] > 1).tobytes()} for owner, a, b in _by_owner(pairs, owner_bits)]
+        return pa.Table.from_pylist(out, sent)
+
+    def group(parts: pa.Table) -> pa.Table:
+        sizes = parts["n"].to_numpy()
+        both = [np.frombuffer(data, dtype=np.uint64).reshape(2, -1) for data in parts["data"].to_pylist()]
+        one, two = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+        times = 1 + np.concatenate([_bits(bits_, n) for bits_, n in zip(parts["twice"].to_pylist(), sizes, strict=True)])
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        which = np.cumsum(new) - 1
+        again = np.zeros(len(order), dtype=bool)
+        again[order] = (np.bincount(which, weights=times[order]) > 1)[which]
+        return told(parts, 2, [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(sizes)[:-1])])
 
-    suspects = grouped.cogroup(merged.groupBy("chunk")).applyInArrow(suspect, "chunk int, h1 long, h2 long, n long")
-    repeated = suspects.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    return suspects.join(repeated, ["h1", "h2"]).select("chunk", "h1", "h2")
+    merged = grouped.applyInArrow(sketch, packed).groupBy("row", "part").applyInArrow(merge, answered)
+    suspects = grouped.cogroup(merged.groupBy("chunk")).applyInArrow(suspect, packed)
+    return merged.union(suspects.groupBy("part").applyInArrow(group, answered))
 
 
 def _count_pairs(one: np.ndarray, two: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
@@ -133,21 +169,7 @@ def _count_pairs(one: np.ndarray, two: np.ndarray) -> tuple[tuple[np.ndarray, np
     return (one[at], two[at]), np.diff(np.append(at, len(one)))
 
 
-def _among(one: np.ndarray, two: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which pairs are among the known ones."""
-    order = np.lexsort((known[1], known[0]))
-    k_one, k_two = known[0][order], known[1][order]
-    found = np.zeros(len(one), dtype=bool)
-    low, high = np.searchsorted(k_one, one, "left"), np.searchsorted(k_one, one, "right")
-    open_ = np.flatnonzero(low < high)
-    while len(open_):
-        found[open_] |= k_two[low[open_]] == two[open_]
-        low[open_] += 1
-        open_ = open_[low[open_] < high[open_]]
-    return found
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int = CHUNK_BYTES, shard_bits: int = SHARD_BITS) -> DataFrame:
     """Remove every word that a repeated window covers: one row (id, n_words, n_removed, text) for each document.
 
     A window is `window` consecutive words of one document; it is repeated if its words also start anywhere else,
@@ -158,19 +180,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result; other columns are not read.
 
     See `repeated_windows` for the method. Texts are dealt once, to chunks by the hash of id and text, and all
-    passes read that exchange again.
+    passes read that exchange again. Chunks times ranges of the sketch is the number of messages, so on a large cluster
+    both should be as large as a task's memory allows: at 100 TB, chunks of 512 MB and ranges of 2^28 cells.
     """
     _, n_bytes = text_bytes(docs, text_col)
-    count = max(4 * shuffle_partitions(docs.sparkSession), math.ceil(n_bytes / CHUNK_BYTES))
+    count = max(4 * shuffle_partitions(docs.sparkSession), math.ceil(n_bytes / chunk_bytes))
     bits = min(60, max(16, math.ceil(math.log2(CELLS_PER_WINDOW * max(1, n_bytes / 5)))))
+    owner_bits = max(0, math.ceil(math.log2(max(1, n_bytes * 16 / 5 / OWNER_BYTES))))
     read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     chunks = read.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(count)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
-    repeated = repeated_windows(chunks, window, bits)
 
-    def remove(rows: pa.Table, known: pa.Table) -> pa.Table:
+    def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
         words, starts, at, one, two = windows(rows["text"].combine_chunks(), window)
-        hit = at[_among(one, two, tuple(known[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2")))]
+        left, pairs, _ = _suspects(one, two, _answers(answers, 1), bits, shard_bits)
+        said = _answers(answers, 2)
+        parts = [_bits(said[0, owner], b - a) for owner, a, b in _by_owner(pairs, owner_bits)]
+        again = np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
+        order = np.lexsort((two[left], one[left]))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (one[left][order][1:] != one[left][order][:-1]) | (two[left][order][1:] != two[left][order][:-1])
+        hit = at[left[order][again[np.cumsum(new) - 1]]]
         edges = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(edges, hit, 1)
         np.add.at(edges, hit + window, -1)
@@ -180,7 +210,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         n_words = np.diff(starts)
         return pa.table({"id": rows["id"], "n_words": pa.array(n_words), "n_removed": pa.array(n_words - np.diff(before)), "text": pc.binary_join(lists, " ")})
 
-    out = chunks.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(remove, f"id {kind}, n_words long, n_removed long, text string")
+    answers = repeated_windows(chunks, window, bits, shard_bits, owner_bits)
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(remove, f"id {kind}, n_words long, n_removed long, text string")
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
 
 
