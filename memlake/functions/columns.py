@@ -139,13 +139,13 @@ def norm_tags(tags: Column, most: int = 3) -> Column:
 
 
 def norm_phrases(phrases: Column, chars: int = 60, most: int = 3) -> Column:
-    cleaned = F.filter(F.transform(phrases, F.trim), lambda p: p != "")
+    cleaned = F.filter(F.transform(phrases, lambda p: F.trim(p)), lambda p: p != "")
     return F.transform(F.slice(F.array_distinct(cleaned), 1, most), lambda p: F.substring(p, 1, chars))
 
 
 def norm_keywords(words: Column, chars: int = 24, most: int = 5) -> Column:
     """The first of each spelling that differs in case only."""
-    cleaned = F.filter(F.transform(words, F.trim), lambda w: w != "")
+    cleaned = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
     seen = F.transform(cleaned, F.lower)
     placed = F.transform(cleaned, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     firsts = F.filter(placed, lambda x: F.array_position(seen, F.lower(x["w"])) == x["i"] + 1)

@@ -183,7 +183,8 @@ def resolve_entities(names: DataFrame, rounds: int = 20) -> DataFrame:
     Labels go to the least label among the ids of a name, again and again, until none changes. Each round is
     written to the checkpoint folder if there is one; the number of rounds is bounded by the longest chain of shared names.
     """
-    keyed = names.select("id", F.concat_ws("\u0001", "type", C.entity_name(F.col("name"))).alias("key")).where(F.trim("key") != "").distinct().cache()
+    named = names.where(C.entity_name(F.col("name")) != "")
+    keyed = named.select("id", F.concat_ws("\u0001", "type", C.entity_name(F.col("name"))).alias("key")).distinct().cache()
     labels = keyed.select("id", F.col("id").alias("entity")).distinct()
     for _ in range(rounds):
         by_key = keyed.join(labels, "id").groupBy("key").agg(F.min("entity").alias("least"))
