@@ -223,3 +223,56 @@ def fold_edge_group(group: pd.DataFrame) -> pd.DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def explorer_sample(nodes: DataFrame, edges: DataFrame, causal: tuple[str, ...], most: int, most_edges: int, by_score: float = 0.6, fresh: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """A bounded sample of visible nodes (id, layer): the best by degree + 2 causal, then the newest, then the best of the rest; and the first edges among them.
+
+    Each layer is a top-k over what the layers before it left, and so is small enough to broadcast (`most` bounds it).
+    """
+    known = visible(nodes).join(degrees(nodes, edges, causal), "id", "left")
+    known = known.select("id", "updated_ms", (F.coalesce("degree", F.lit(0)) + 2 * F.coalesce("causal", F.lit(0))).alias("score"))
+
+    def layer(rows: DataFrame, name: str, size: int, *order: Column) -> DataFrame:
+        return rows.orderBy(*order, "id").limit(size).select("id", "score", F.lit(name).alias("layer"))
+
+    without = lambda *taken: reduce(lambda rows, t: rows.join(t.select("id"), "id", "left_anti"), taken, known)
+    first = layer(known, "skeleton", max(1, int(most * by_score)), F.desc("score"))
+    second = layer(without(first), "fresh", max(1, int(most * fresh)), F.desc("updated_ms"))
+    third = layer(without(first, second), "tail", max(0, most - max(1, int(most * by_score)) - max(1, int(most * fresh))), F.desc("score"))
+    chosen = union_all([first, second, third])
+    end = lambda name: chosen.select(F.col("id").alias(f"{name}_id"), F.col("score").alias(f"{name}_score"))
+    inside = edges.where("status = 'active'").join(end("from"), "from_id").join(end("to"), "to_id")
+    ranked = inside.orderBy(F.col("relation").isin(*causal).desc(), (F.col("from_score") + F.col("to_score")).desc(), "id").limit(most_edges)
+    return chosen.select("id", "layer"), ranked.select("id", "relation")
+
+
+def sweep(nodes: DataFrame, facts: DataFrame, role_words: list[str], synonyms: dict[str, str], hub: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Maintenance: nodes (id, name, type, family) whose name is a bare role are archived, or named with their family if they
+    have many facts and that name is free; facts (node, key) get canonical keys. Gives both, with what was done."""
+    counts = facts.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("facts"))
+    bare = C.entity_name(F.col("name")).isin(*role_words)
+    wanted = F.concat("name", F.lit(" ("), "family", F.lit(")"))
+    rows = nodes.join(counts, "id", "left").withColumn("wanted", F.when(bare & (F.coalesce("facts", F.lit(0)) >= hub), wanted))
+    taken = nodes.select(C.entity_name(F.col("name")).alias("taken")).distinct()
+    rows = rows.join(taken, C.entity_name(F.col("wanted")) == F.col("taken"), "left")
+    first = F.row_number().over(W.partitionBy("wanted").orderBy("id")) == 1
+    free = F.col("wanted").isNotNull() & F.col("taken").isNull() & first
+    done = rows.withColumn("free", free).select("id", F.when(F.col("free"), F.col("wanted")).otherwise(F.col("name")).alias("name"), F.when(F.col("free"), "qualified").when(bare, "archived").otherwise("kept").alias("done"))
+    key = F.coalesce(C.text_map(synonyms)[F.col("key")], F.col("key"))
+    return done, facts.select("node", key.alias("key"), (key != F.col("key")).alias("changed"))
+
+
+def context_nodes(record_texts: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(id, related): nodes for a batch of texts, those that share a token with it first, then the rest, by recency.
+
+    Of nodes with a name or tag in common the first by id counts.
+    """
+    asked = record_texts.select(F.explode(C.tokens(F.col("text"))).alias("token")).distinct()
+    keys = nodes.select("id", F.explode(F.array_distinct(F.array(C.entity_name(F.col("name")), C.entity_name(F.col("tags"))))).alias("key")).where("key <> ''")
+    first = keys.groupBy("key").agg(F.min("id").alias("first"))
+    covered = keys.join(first, "key").where("id <> first").select("id").distinct()
+    left = nodes.join(covered, "id", "left_anti")
+    met = left.select("id", F.explode(C.tokens(F.concat_ws(" ", "name", "tags", "state"))).alias("token")).join(asked, "token", "left_semi").select("id", F.lit(True).alias("hit")).distinct()
+    told = left.join(met, "id", "left").withColumn("related", F.coalesce("hit", F.lit(False)))
+    return told.orderBy(F.desc("related"), F.desc("updated_ms"), "id").limit(most).select("id", "related")

@@ -196,3 +196,29 @@ def g8_retire_restore_purge(spark, sf):
 @Q.add()
 def a5_snapshot_manifest(spark, sf):
     return merges.snapshot_manifest("records", records(spark, sf)).union(merges.snapshot_manifest("messages", messages(spark, sf)))
+
+
+@Q.add(rf"""WITH {RECORDS} SELECT id, sha256(trim(regexp_replace(replace(replace(nfc_normalize(content), 'ﬁ', 'fi'), chr(8203), ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS key FROM records WHERE NOT regexp_matches(content, '[^\x00-\x7FÀ-ÿ]')""")
+def h3_dedupe_key(spark, sf):
+    rows = records(spark, sf).where(~F.col("content").rlike(r"[^\x00-\x7FÀ-ÿ]"))
+    return O.dedupe_key(rows).select("id", F.sha2("key", 256).alias("key"))
+
+
+@Q.add(rf"""WITH {RECORDS}, h AS (SELECT id, substr(sha256({KEY.format('content')}), 1, 16) AS hash FROM records WHERE NOT regexp_matches(content, '[^\x00-\x7FÀ-ÿ]')) SELECT id, hash, 'mp_' || substr(sha256('main|' || hash), 1, 16) AS bundle_id FROM h""")
+def h5_bundle_ids(spark, sf):
+    rows = O.dedupe_key(records(spark, sf).where(~F.col("content").rlike(r"[^\x00-\x7FÀ-ÿ]")))
+    hashed = F.substring(F.sha2(F.lower("key"), 256), 1, 16)
+    return rows.select("id", hashed.alias("hash")).withColumn("bundle_id", F.concat(F.lit("mp_"), F.substring(F.sha2(F.concat(F.lit("main|"), "hash"), 256), 1, 16)))
+
+
+@Q.add(f"WITH {RECORDS} SELECT id, CAST(greatest(0, least(100, coalesce(round(CASE WHEN seq % 8 = 0 THEN NULL ELSE (priority - 20) * 1.7 END), 50))) AS INT) AS priority, CASE WHEN persistence IN ('p','s','o','t') THEN persistence END AS persistence FROM records")
+def h16_clamped(spark, sf):
+    raw = F.when(F.col("seq") % 8 != 0, (F.col("priority") - 20) * F.lit(1.7))
+    kept = F.when(F.col("persistence").isin("p", "s", "o", "t"), F.col("persistence"))
+    return records(spark, sf).select("id", F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.round(raw), F.lit(50)))).cast("int").alias("priority"), kept.alias("persistence"))
+
+
+@Q.add(f"WITH {RECORDS} SELECT scene, max(greatest(coalesce(valid_to_ms, 0), coalesce(valid_from_ms, 0), updated_ms, created_ms)) AS anchor_ms FROM records GROUP BY scene")
+def h18_evidence_anchor(spark, sf):
+    latest = F.array_max(F.array("valid_to_ms", "valid_from_ms", "updated_ms", "created_ms"))
+    return records(spark, sf).groupBy("scene").agg(F.max(latest).alias("anchor_ms"))

@@ -205,3 +205,58 @@ def d27_graph_hints(spark, sf):
 
     live = edges(spark, sf).where("status = 'active' and from_id like 's%'").select("from_id", F.concat("from_id", F.lit(" —["), "relation", F.lit("]→ "), "to_id").alias("line"))
     return live.withColumn("n", F.row_number().over(W.partitionBy("from_id").orderBy("line"))).where("n <= 5").drop("n")
+
+
+SCORED = f"{DEG}, sc AS (SELECT v.id, v.updated_ms, coalesce(degree, 0) + 2 * coalesce(causal, 0) AS score FROM vis v LEFT JOIN deg d ON v.id = d.id), l1 AS (SELECT id, score, 'skeleton' AS layer FROM sc ORDER BY score DESC, id LIMIT 120), l2 AS (SELECT id, score, 'fresh' AS layer FROM sc WHERE id NOT IN (SELECT id FROM l1) ORDER BY updated_ms DESC, id LIMIT 40), l3 AS (SELECT id, score, 'tail' AS layer FROM sc WHERE id NOT IN (SELECT id FROM l1) AND id NOT IN (SELECT id FROM l2) ORDER BY score DESC, id LIMIT 40), ch AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"
+
+
+@Q.add(f"WITH {NODES}, {EDGES}, {SCORED} SELECT id, layer FROM ch")
+def j7_explorer_sample(spark, sf):
+    return O.explorer_sample(nodes(spark, sf), edges(spark, sf), CAUSAL, 200, 300)[0]
+
+
+@Q.add(f"WITH {NODES}, {EDGES}, {SCORED} SELECT e.id, relation FROM edges e JOIN ch a ON from_id = a.id JOIN ch b ON to_id = b.id WHERE status = 'active' ORDER BY relation IN ('supplies_first', 'caused_by') DESC, a.score + b.score DESC, e.id LIMIT 300")
+def j7_explorer_edges(spark, sf):
+    return O.explorer_sample(nodes(spark, sf), edges(spark, sf), CAUSAL, 200, 300)[1]
+
+
+ROLES = ["red widget", "blue bolt", "small ring"]
+
+
+def swept(spark, sf):
+    part = read(spark, sf, "part")
+    named = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("family"))
+    lines = read(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("node"), F.col("l_returnflag").alias("key"))
+    return O.sweep(named, lines, ROLES, {"R": "returned", "A": "accepted"})
+
+
+@Q.add(f"""WITH p AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_brand AS family FROM part), c AS (SELECT 'p' || l_partkey AS id, count(*) AS facts FROM lineitem GROUP BY 1),
+w AS (SELECT p.*, lower(name) IN ({', '.join(repr(r) for r in ROLES)}) AS bare, CASE WHEN lower(name) IN ({', '.join(repr(r) for r in ROLES)}) AND coalesce(facts, 0) >= 20 THEN name || ' (' || family || ')' END AS wanted FROM p LEFT JOIN c ON p.id = c.id),
+f AS (SELECT *, wanted IS NOT NULL AND lower(wanted) NOT IN (SELECT lower(name) FROM p) AND row_number() OVER (PARTITION BY wanted ORDER BY id) = 1 AS free FROM w)
+SELECT id, CASE WHEN free THEN wanted ELSE name END AS name, CASE WHEN free THEN 'qualified' WHEN bare THEN 'archived' ELSE 'kept' END AS done FROM f""")
+def j18_graph_sweep(spark, sf):
+    return swept(spark, sf)[0]
+
+
+@Q.add("SELECT CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE l_returnflag END AS key, l_returnflag IN ('R', 'A') AS changed, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def h13_fact_keys(spark, sf):
+    return swept(spark, sf)[1].groupBy("key", "changed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@Q.add(f"""WITH {NODES}, a AS (SELECT DISTINCT unnest({TOK.format("p_type || ' nation_3 red'")}) AS token FROM part WHERE p_partkey < 3), k AS (SELECT DISTINCT id, unnest([lower(trim(name)), lower(trim(tags))]) AS key FROM nodes),
+f AS (SELECT key, min(id) AS first FROM k WHERE key <> '' GROUP BY 1), cov AS (SELECT DISTINCT id FROM k JOIN f USING (key) WHERE id <> first), l AS (SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM cov)),
+r AS (SELECT id, updated_ms, len(list_intersect({TOK.format("name || ' ' || tags || ' ' || state")}, (SELECT list(token) FROM a))) > 0 AS related FROM l) SELECT id, related FROM r ORDER BY related DESC, updated_ms DESC, id LIMIT 60""")
+def f7_context_nodes(spark, sf):
+    texts = read(spark, sf, "part").where("p_partkey < 3").select(F.concat("p_type", F.lit(" nation_3 red")).alias("text"))
+    return O.context_nodes(texts, nodes(spark, sf), 60)
+
+
+@Q.add(f"""WITH {RECORDS}, {NODES}, {EDGES}, {SOURCES}, {FACTS}, {ASKED_SQL}, {SEARCH}, d AS (SELECT query_id, record_id, min((rank, part, pos)) AS o FROM (SELECT query_id, record_id, rank, 0 AS part, pos FROM hits JOIN sources USING (id) UNION ALL SELECT query_id, record_id, rank, 1, pos FROM hits JOIN facts USING (id) WHERE facts.status = 'active') GROUP BY 1, 2),
+p AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM d) SELECT query_id, record_id, place FROM p JOIN records r ON p.record_id = r.id WHERE r.retired_reason IS NULL AND (r.scope = 'global' OR coalesce(r.workspace_id = 'w1', false))""")
+def i8_graph_lane(spark, sf):
+    from memlake.functions import columns as C
+
+    none = edges(spark, sf).where("false")
+    found_ids = O.expand_to_records(found(spark, sf).select("query_id", "id", "rank"), nodes(spark, sf), none, sources(spark, sf), facts(spark, sf))
+    seen = records(spark, sf).where("retired_reason is null").where(C.scope_visible(F.col("scope"), F.col("workspace_id"), F.lit("w1"))).select(F.col("id").alias("record_id"))
+    return found_ids.join(seen, "record_id").select("query_id", "record_id", "place")

@@ -9,7 +9,7 @@ from memlake.functions import columns as C
 from memlake.operators import evaluation as E
 from memlake.operators import filters, ranking
 from memlake.operators import retrieval as O
-from memlake.plans.filters import FAMILY, STATE, family
+from memlake.plans.filters import FAMILY, KEY, STATE, family
 from memlake.plans.registry import Queries
 from memlake.sources.derived import DAY, MESSAGES, NOW, RECORDS, messages, read, records
 
@@ -178,3 +178,21 @@ def c14_gold_probe_match(spark, sf):
 SELECT coalesce(kind, 'all') AS kind, count(*) AS probes, round(avg(CASE WHEN best IS NULL THEN 0 ELSE 1 END), 6) AS recall, round(avg(coalesce(1 / best, 0)), 6) AS mrr FROM m GROUP BY ROLLUP (kind)""")
 def m1_recall_at_k(spark, sf):
     return E.recall_and_mrr(hits_with_text(spark, sf), gold(spark, sf))
+
+
+@Q.add(f"WITH {LANES} SELECT query_id, id, array_to_string(list(name ORDER BY lane), ',') AS lanes FROM lanes GROUP BY 1, 2")
+def g1_lane_union(spark, sf):
+    _, fts, vec, recent = lanes(spark, sf)
+    return O.fuse({"fts": fts, "vec": vec, "recency": recent}, 1_000_000).select("query_id", "id", "lanes")
+
+
+@Q.add(f"""WITH {RECORDS}, {PROBES}, {bm25_sql('f', 'records', 'probes', 10)}, h AS (SELECT f.query_id, f.id, 'p' || (r.seq % 3) AS provider, {KEY.format('r.content')} AS key, f.rank AS r0 FROM f JOIN records r ON f.id = r.id), q AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY r0) AS rank FROM h),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY rank, provider) AS again FROM q), d AS (SELECT query_id, id, provider, row_number() OVER (PARTITION BY query_id, provider ORDER BY rank) AS rank FROM a WHERE again = 1), p AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank, provider) AS place FROM d)
+SELECT query_id, id, place FROM p WHERE place <= 6""")
+def i9_external_lane(spark, sf):
+    from pyspark.sql import Window as W
+
+    rows = records(spark, sf)
+    found = O.bm25(probes(spark, sf), rows, 10).join(rows.select("id", "content", F.concat(F.lit("p"), (F.col("seq") % 3).cast("string")).alias("provider")), "id")
+    own = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "provider").orderBy("rank")))
+    return ranking.interleave(own, 6).select("query_id", "id", "place")
