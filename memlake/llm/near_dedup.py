@@ -218,9 +218,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classed = checkpoint(classed)
     first = F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("text_hash").alias("text_hash")))
-    classes = classed.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
+    # only classes of several rows are joined; written first, so that Spark can split a large one's rows among tasks
+    classes = checkpoint(classed.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"))
+    alone = F.col("class_size").isNull()
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    return classed.join(classes, "class").select(F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size", is_first.alias("kept"))
+    return classed.join(classes, "class", "left").select(
+        F.col("id").alias(id_col),
+        "text_hash",
+        F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
+        (alone | is_first).alias("kept"),
+    )
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
