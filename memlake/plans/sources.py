@@ -30,7 +30,7 @@ def bundles(spark, sf):
     row = F.concat_ws("|", F.lit("wf"), F.lit("2026-01-02"), F.when(F.col("turn") % 2 == 0, "2026-01-01").otherwise("2026-01-03"), F.lit("2026-01-02"), F.when(F.col("turn") % 3 == 0, "2026-01-01").otherwise("-"), F.lit("o"), F.when((k % 9 == 0) & (F.col("turn") == 1), "7").otherwise("1"), F.lit("?"), F.lit("a:b"), F.concat(text, F.lit("|end")))
     rows = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", row.alias("row")))).alias("r"), F.count(F.lit(1)).alias("n"))
     declared = F.when(k % 7 == 0, F.col("n") + 1).otherwise(F.col("n"))
-    return rows.select(F.concat(F.lit("b"), k.cast("string")).alias("path"), F.concat(F.lit("#memport v1.1\n#count="), declared.cast("string"), F.lit("\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n")).alias("text"))
+    return rows.select(F.concat(F.lit("b"), k.cast("string")).alias("path"), F.concat(F.lit("#bundle v1.1\n#count="), declared.cast("string"), F.lit("\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n")).alias("text"))
 
 
 BAD = "bad AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING conv_id % 7 = 0 OR (conv_id % 9 = 0 AND max(turn) >= 1) OR count(DISTINCT replace(text, '|', '/')) < count(*))"

@@ -37,8 +37,8 @@ def parse_time(raw: Column) -> Column:
     return F.struct(at.alias("ms"), F.when(at.isNotNull(), precision).otherwise("unknown").alias("precision"))
 
 
-def load_bundle(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records and errors of bundles (path, text): a `#memport` header, `#count=`, then rows of ten columns split by pipes.
+def load_bundle(files: DataFrame, header_mark: str = "#bundle") -> tuple[DataFrame, DataFrame]:
+    """Records and errors of bundles (path, text): a first line with the format's mark, `#count=`, then rows of ten columns split by pipes.
 
     The last column keeps its pipes, with `\\n` and `\\\\` for a line feed and a backslash. A file with any
     error gives no records: bad flags, short content, repeated content, a count that isn't the declared one.
@@ -46,7 +46,7 @@ def load_bundle(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
     header = lines.where(F.col("line").startswith("#")).groupBy("path").agg(
-        F.bool_or(F.col("line").startswith("#memport")).alias("known"), F.max(F.regexp_extract("line", r"^#count=(\d+)", 1).try_cast("int")).alias("declared")
+        F.bool_or(F.col("line").startswith(header_mark)).alias("known"), F.max(F.regexp_extract("line", r"^#count=(\d+)", 1).try_cast("int")).alias("declared")
     )
     body = lines.where(~F.col("line").startswith("#") & (F.trim("line") != "")).withColumn("c", F.split("line", r"\|", len(COLUMNS)))
     rows = body.select("path", "seq", *(F.get("c", F.lit(n)).alias(name) for n, name in enumerate(COLUMNS)))

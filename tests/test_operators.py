@@ -208,7 +208,7 @@ def test_affix_pairs_against_all_pairs(spark):
 
 
 def test_bundle_faults(spark):
-    good = "#memport v1.1\n#count=2\nwf|2|1|3|2|o|1|?|a:b|text|with pipe\\nand line\nwf|1|1|-|-|p|0|1||other"
+    good = "#bundle v1.1\n#count=2\nwf|2|1|3|2|o|1|?|a:b|text|with pipe\\nand line\nwf|1|1|-|-|p|0|1||other"
     files = spark.createDataFrame([("good", good), ("flag", good.replace("|0|1|", "|9|1|")), ("count", good.replace("=2", "=3")), ("none", "x"), ("short", good.replace("|other", "|o"))], "path string, text string")
     records, errors = bundle.load_bundle(files)
     got = records.orderBy("seq").collect()
