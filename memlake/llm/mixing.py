@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import WORD, checkpoint, table, text_or_empty, uniform
 
+#: Most sources whose rates are broadcast to the documents; with more, the documents are shuffled by source.
+BROADCAST_SOURCES = 50_000
+
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Words that each source is to give: columns source, source_size, target.
@@ -73,7 +76,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seed = options.pop("seed", 17)
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
     sizes = checkpoint(docs.select(F.col(source_col).alias("source"), size.alias("size")))
-    rates = source_targets(sizes, **options).select(F.struct("source").alias("_of"), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("_rate"))
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    rates = checkpoint(source_targets(sizes, **options).select(F.struct("source").alias("_of"), rate.alias("_rate")))
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
     whole = docs.select(F.struct(*columns).alias("_row"), F.struct(F.col(source_col).alias("source")).alias("_from"), uniform(id_col, F.lit(seed)).alias("_u"))
     rate = F.col("_rate")
     copies = F.floor(rate) + (F.col("_u") < rate - F.floor(rate)).cast("long")
