@@ -13,7 +13,7 @@ from memlake.llm.mixing import mixed_documents
 from memlake.llm.near_dedup import one_of_each_class
 
 #: Least calibrated probability of the predicted language.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.35
 #: SQL can't express the trained classifier or the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
