@@ -21,8 +21,9 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that the corpus names; those without a letter or with no clear language go."""
     model = fit(docs, fold("doc_id", 3) != 1)
-    said = identify(docs, model, lang="_lang", score="_score")
-    return said.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = (name + "_" * max(len(c) for c in docs.columns) for name in ("lang", "score"))  # no column's name
+    said = identify(docs, model, lang=lang, score=score)
+    return said.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

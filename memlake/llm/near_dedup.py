@@ -18,8 +18,8 @@ from memlake.llm.words import MIX, distinct_by_text, mixed, shingles, step
 COUNTERS, BLOCK = 1 << 20, 1 << 12
 #: Texts that are sketched together.
 ROWS = 512
-#: Most bytes of row keys that are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 8 << 20
+#: Most bytes of row keys that are broadcast, and what one takes in memory; more are joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 192
 
 
 def prob_minhash(values: np.ndarray, weights: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = filled.join(one_each, ["set_id", "row"]).join(partnered, "set_id").select("set_id", F.col("id").alias("want_id"), F.col("text_hash").alias("want_hash"))
     wanted = checkpoint(wanted)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    small = wanted.count() * 64 <= BROADCAST_BYTES
+    small = wanted.count() * ROW_BYTES <= BROADCAST_BYTES
     met = texts.join(F.broadcast(wanted) if small else wanted, texts["text_hash"].eqNullSafe(wanted["want_hash"]) & texts["id"].eqNullSafe(wanted["want_id"]))
     sets = shingle_sets(met.select("set_id", "text"), width).dropDuplicates(["set_id"])
     sets = checkpoint(sets.withColumn("id", F.monotonically_increasing_id()))
@@ -234,9 +234,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that `near_duplicates` keeps, with all their columns and no others."""
     gone = checkpoint(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
-    small = gone.count() * 48 <= BROADCAST_BYTES
-    here = F.xxhash64(text_or_empty(text_col))
-    return docs.join(F.broadcast(gone) if small else gone, (here == F.col("gone_hash")) & docs[id_col].eqNullSafe(F.col("gone_id")), "left_anti")
+    small = gone.count() * ROW_BYTES <= BROADCAST_BYTES
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_hash"))
+    same = (F.col("_hash") == F.col("gone_hash")) & F.col("_id").eqNullSafe(F.col("gone_id"))
+    return whole.join(F.broadcast(gone) if small else gone, same, "left_anti").select("_row.*")
 
 
 def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
