@@ -60,6 +60,26 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def text_keys(values: np.ndarray, counts: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of each text, and where each text's begin: those of weight 1, and those of weight 1 + ln(count) that differ.
+
+    Bands of weight 1 agree as the plain Jaccard similarity says, however often shingles repeat. Both kinds come from the same
+    arrivals and share their keys, so a text in which no shingle repeats has one kind only.
+    """
+    size, texts = bands * rows, len(bounds) - 1
+    plain = band_keys(prob_minhash(values, np.ones(len(values)), bounds, size), rows)
+    keys, wanted = np.concatenate([plain, plain], axis=1), np.zeros((texts, 2 * bands), dtype=bool)
+    wanted[:, :bands] = True
+    text = np.repeat(np.arange(texts), np.diff(bounds))
+    again = np.unique(text[counts > 1])
+    if len(again):
+        at = np.isin(text, again)
+        ends = np.concatenate([[0], np.cumsum(np.diff(bounds)[again])])
+        keys[again, bands:] = band_keys(prob_minhash(values[at], 1.0 + np.log(counts[at]), ends, size), rows)
+        wanted[:, bands:] = keys[:, bands:] != plain
+    return keys[wanted], np.concatenate([[0], np.cumsum(wanted.sum(axis=1))])
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
     """(id, text_hash, set_id, keys) of each document: set_id is a digest of its set of shingles (null if it has no word)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -70,10 +90,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 batch = whole.slice(start, ROWS)
                 found, bounds = shingles(batch.column(2), width)
                 values, counts, bounds = distinct_by_text(found, bounds)
-                keys = band_keys(prob_minhash(values, 1.0 + np.log(counts), bounds, bands * rows), rows)
+                keys, ends = text_keys(values, counts, bounds, bands, rows)
                 ids = [xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                offsets = np.arange(len(ids) + 1, dtype=np.int32) * bands
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))], ["id", "text_hash", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))], ["id", "text_hash", "set_id", "keys"])
 
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text"))
     return read.mapInArrow(run, f"id {kind}, text_hash long, set_id binary, keys array<long>")
@@ -187,9 +206,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are near-duplicates if the Jaccard similarity of their sets of `width`-word shingles (words
     are runs without white space, lower-cased) is `similarity` or more; classes are what such links connect, with equal
     sets in one class. class_id is the smallest id of a class, and its row is kept (of several texts with that id, one). ProbMinHash
-    sketches, in which a shingle weighs 1 + ln(its count), fall into bands; a text that shares a band with no
-    other is alone, which at similarity 0.8 misses a link once in 10 million for 32 bands of 4. Texts that do share
-    one are verified exactly: see `links`.
+    sketches fall into bands twice: a shingle weighs 1, and 1 + ln(its count). A text that shares a band with no
+    other is alone. Bands of weight 1 agree by the similarity that is verified, so at 0.8 a link is missed at most
+    once in 20 million for 32 bands of 4, whatever repeats; the others only add candidates. Texts that do share
+    a band are verified exactly: see `links`.
 
     Null texts count as empty; a text without words is alone in its class. A text of fewer than `width`
     words is one shingle. Null ids come last: they name a class only if all its ids are null. Rows that repeat id

@@ -49,6 +49,16 @@ def test_against_brute_force(documents):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_near_copies_whose_other_shingles_repeat(documents):
+    rows = []
+    for n in range(24):
+        shared = [f"s{n}_{k}" for k in range(104)]
+        own = [f"o{n}_{k}" for k in range([20, 12, 7][n % 3])]
+        rows += [(2 * n, " ".join(shared)), (2 * n + 1, " ".join(shared + own * 500))]
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(documents(rows)).collect())
+    assert got == brute_force(rows) == [(k, k - k % 2) for k in range(48)]
+
+
 def test_empty_table(documents):
     assert near_dedup.near_duplicates(documents([])).collect() == []
 
