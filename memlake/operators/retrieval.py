@@ -84,7 +84,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): exact nearest by cosine of queries (query_id, embedding) among (id, embedding).
 
     A stated set of queries against all rows, in blocks: packed blocks of both sides meet, a matrix product gives
-    each block's best k for each query, and only those are shuffled.
+    each block's best k for each query by rounded score and id, and only those are shuffled.
     """
     asked = _packed(queries.select(F.col("query_id").alias("id"), "embedding")).select("dim", F.col("ids").alias("q_ids"), F.col("units").alias("q_units"))
     pairs = _packed(vectors).join(asked, "dim")
@@ -94,14 +94,17 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             for row in batch.to_pylist():
                 x = np.frombuffer(row["units"]).reshape(-1, row["dim"])
                 q = np.frombuffer(row["q_units"]).reshape(-1, row["dim"])
-                scores = q @ x.T
-                most = min(k + 16, scores.shape[1])
-                at = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+                # in the order of ids, so that one whole number says both the rounded score and the place of a tie
+                by_id = np.array(sorted(range(len(x)), key=lambda i: (row["ids"][i] is not None, (row["ids"][i] or "").encode())), dtype=np.int64)
+                scores = q @ x[by_id].T
+                rounded = (np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5)).astype(np.int64)
+                most = min(k, len(x))
+                at = np.argpartition(np.arange(len(x)) - rounded * len(x), most - 1, axis=1)[:, :most]
                 who = np.repeat(np.arange(len(q)), most)
-                yield pa.RecordBatch.from_arrays([pa.array(row["q_ids"]).take(pa.array(who)), pa.array(row["ids"]).take(pa.array(at.reshape(-1))), pa.array(np.take_along_axis(scores, at, 1).reshape(-1))], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["q_ids"]).take(pa.array(who)), pa.array(row["ids"]).take(pa.array(by_id[at].reshape(-1))), pa.array(np.take_along_axis(rounded, at, 1).reshape(-1) / 1e6)], ["query_id", "id", "score"])
 
     found = pairs.mapInArrow(run, "query_id string, id string, score double")
-    return top(found.withColumn("score", F.round("score", 6)), k)
+    return top(found, k)
 
 
 def fuse(lanes: dict[str, DataFrame], k: int, wired: int | None = None) -> DataFrame:

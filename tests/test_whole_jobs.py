@@ -1,0 +1,12 @@
+"""Operators on inputs that a cap or a cut would show."""
+
+from memlake.operators import retrieval
+
+
+def test_vector_search_takes_ties_by_id(spark):
+    vectors = [(f"v{(k * 7919) % 1000:03d}", [1.0, 2.0, 3.0]) for k in range(500)] + [("a", [1.0, 2.0, 3.1]), ("z", [3.0, 2.0, 1.0])]
+    queries = spark.createDataFrame([("q", [1.0, 2.0, 3.1]), ("r", [1.0, 2.0, 3.0])], "query_id string, embedding array<double>")
+    got = retrieval.vector_search(queries, spark.createDataFrame(vectors, "id string, embedding array<double>").repartition(3), 10).collect()
+    copies = sorted(v for v, x in vectors if x == [1.0, 2.0, 3.0])
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == "q"] == ["a", *copies[:9]]
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == "r"] == copies[:10]
