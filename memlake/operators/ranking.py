@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,18 +69,27 @@ def interleave(hits: DataFrame, most: int) -> DataFrame:
 def char_chunks(messages: DataFrame, budget: int, overhead: int = 64) -> DataFrame:
     """Each message's chunk in its session: a chunk ends where another message would take it over the budget.
 
-    The sum begins anew with each chunk, so it is a fold over the session's lengths; texts stay where they are.
+    The sum begins anew with each chunk, so it is a fold in order: sorted partitions pass by as batches, and only the session,
+    its sum and its chunk are carried on. Null texts count as empty; texts stay where they are.
     """
-    lengths = messages.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "id", (F.length("text") + overhead).alias("n")))).alias("m"))
-    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("chunks"))
-
-    def step(s: Column, x: Column) -> Column:
-        new = (s["sum"] > 0) & (s["sum"] + x["n"] > budget)
-        chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(F.when(new, x["n"]).otherwise(s["sum"] + x["n"]).alias("sum"), chunk.alias("chunk"), F.concat(s["chunks"], F.array(chunk)).alias("chunks"))
-
-    folded = lengths.select("session_id", F.col("m.id").alias("ids"), F.aggregate("m", start, step)["chunks"].alias("chunks"))
-    return folded.select("session_id", F.explode(F.arrays_zip("ids", "chunks")).alias("z")).select("session_id", F.col("z.ids").alias("id"), F.col("z.chunks").alias("chunk"))
+    kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, session, total, chunk = False, None, 0, 0
+        for batch in batches:
+            chunks = []
+            for owner, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or owner != session:
+                    begun, session, total, chunk = True, owner, 0, 0
+                if total > 0 and total + n > budget:
+                    total, chunk = 0, chunk + 1
+                total += n
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chunks, pa.int32())], ["session_id", "id", "chunk"])
+
+    lengths = messages.select("session_id", "id", (F.coalesce(F.length("text"), F.lit(0)) + overhead).alias("n"), "ts_ms")
+    ordered = lengths.repartition("session_id").sortWithinPartitions("session_id", "ts_ms", "id")
+    return ordered.mapInArrow(run, f"session_id {kinds['session_id']}, id {kinds['id']}, chunk int")
 
 
 def stratified(records: DataFrame, size: int) -> DataFrame:

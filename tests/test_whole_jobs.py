@@ -1,6 +1,8 @@
 """Operators on inputs that a cap or a cut would show."""
 
-from memlake.operators import retrieval
+import random
+
+from memlake.operators import ranking, retrieval
 
 
 def test_vector_search_takes_ties_by_id(spark):
@@ -10,3 +12,17 @@ def test_vector_search_takes_ties_by_id(spark):
     copies = sorted(v for v, x in vectors if x == [1.0, 2.0, 3.0])
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == "q"] == ["a", *copies[:9]]
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == "r"] == copies[:10]
+
+
+def test_chunks_of_a_long_session(spark):
+    draw = random.Random(6)
+    data = [("big" if k % 3 else f"s{k % 5}", k // 2, f"{k:06d}", "x" * draw.randrange(90)) for k in range(30_000)]
+    frame = ranking.char_chunks(spark.createDataFrame(data, "session_id string, ts_ms int, id string, text string").repartition(5), 300)
+    assert "collect_list" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    state, expected = {}, {}
+    for owner, _, name, text in data:
+        total, chunk = state.get(owner, (0, 0))
+        n = len(text) + 64
+        total, chunk = (n, chunk + 1) if total > 0 and total + n > 300 else (total + n, chunk)
+        state[owner], expected[name] = (total, chunk), chunk
+    assert {r["id"]: r["chunk"] for r in frame.collect()} == expected
