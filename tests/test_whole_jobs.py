@@ -3,6 +3,7 @@
 import random
 
 from memlake.operators import ranking, retrieval
+from memlake.plans import sources
 
 
 def test_vector_search_takes_ties_by_id(spark):
@@ -26,3 +27,9 @@ def test_chunks_of_a_long_session(spark):
         total, chunk = (n, chunk + 1) if total > 0 and total + n > 300 else (total + n, chunk)
         state[owner], expected[name] = (total, chunk), chunk
     assert {r["id"]: r["chunk"] for r in frame.collect()} == expected
+
+
+def test_scan_report_has_all_sources(spark):
+    data = "/root/testdata/sf0.001"
+    every = {r["path"] for r in sources.bundles(spark, data).select("path").distinct().collect()}
+    assert {r["path"] for r in sources.a9_source_scan_report(spark, data).collect()} == every
