@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from memlake.llm.common import WORD, checkpoint, table, text_or_empty, uniform
 
 #: Most sources whose rates are broadcast to the documents; with more, the documents are shuffled by source.
 BROADCAST_SOURCES = 50_000
+#: Seeds that a source may draw with: the seed k turns all draws of one digest by k golden-ratio steps.
+TURNS, STEP = 64, 0.6180339887498949
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -42,6 +44,40 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), budge
     return levelled.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(level * F.col("weight")).alias("target"))
 
 
+def _turned(draw: Column, turn: Column) -> Column:
+    """The draw of a document under another seed: still uniform in [0, 1), and by the digest of its id alone."""
+    moved = draw + turn * F.lit(STEP)
+    return moved - F.floor(moved)
+
+
+def source_rates(sizes: DataFrame, weights: Sequence[float], budget: float, cap: float) -> DataFrame:
+    """(source, source_size, target, rate, turn) from the columns source, size and draw of each document.
+
+    turn is the seed, of TURNS fixed ones, whose Bernoulli copies bring the source's words nearest its target (of
+    equally near ones the first). The draws of all seeds come from one number for each document; over a whole
+    turn the words taken are right on the average, so some seed lies within about one document of the target.
+    """
+    rated = source_targets(sizes, weights, budget, cap).withColumn("rate", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
+    rated = checkpoint(rated.select(F.struct("source").alias("of"), "source_size", "target", "rate"))  # a row for each source
+    few = rated.count() <= BROADCAST_SOURCES
+    rates = F.broadcast(rated) if few else rated
+    fraction = F.col("rate") - F.floor("rate")
+    tried = sizes.select(F.struct("source").alias("of_row"), "size", "draw").join(rates, F.col("of_row").eqNullSafe(F.col("of")))
+    tried = tried.select("of", "size", "draw", fraction.alias("fraction"), F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"))
+    extra = F.sum(F.when(_turned(F.col("draw"), F.col("turn")) < F.col("fraction"), F.col("size")).otherwise(0)).alias("extra")
+    sums = tried.groupBy("of", "turn").agg(extra).withColumnRenamed("of", "summed")
+    off = F.abs(F.floor("rate") * F.col("source_size") + F.col("extra") - F.col("target"))
+    nearest = sums.join(rates, F.col("summed").eqNullSafe(F.col("of"))).groupBy("summed").agg(F.min(F.struct(off.alias("off"), "turn"))["turn"].alias("turn"))
+    chosen = nearest.join(rates, F.col("summed").eqNullSafe(F.col("of"))).select("of", "source_size", "target", "rate", "turn")
+    chosen = checkpoint(chosen)
+    return F.broadcast(chosen) if few else chosen
+
+
+def _copies() -> Column:
+    rate = F.col("rate")
+    return F.floor(rate) + (_turned(F.col("draw"), F.col("turn")) < rate - F.floor(rate)).cast("long")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -55,35 +91,39 @@ def mix(
     """How often the mix takes each document: one row (id, size, source_size, target, copies) a document.
 
     The rate of a source is its target over its words. A document is taken floor(rate) times, and once more
-    if a number seeded by its id is below the rate's fraction, so reruns agree whatever the partitions.
-    Null texts have size 0, null ids draw as the word null, a null source is a source, rows that repeat an
-    id draw alike, an empty table gives an empty result; other columns are not read.
+    if a number seeded by its id is below the rate's fraction, so reruns agree whatever the partitions. See
+    `source_rates` for the seed. Null texts have size 0, null ids draw as the word null, a null source is a source,
+    rows that repeat an id draw alike, an empty table gives an empty result; other columns are not read. A source
+    whose words are nearly all in one document can't come nearer its target than that document allows.
     """
-    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"))
-    sizes = checkpoint(sizes)  # three narrow columns, so that texts are counted once
-    targets = source_targets(sizes, weights, budget, cap).withColumnRenamed("source", "of_source")
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    extra = (uniform("id", F.lit(seed)) < rate - F.floor(rate)).cast("long")
-    return sizes.join(targets, sizes["source"].eqNullSafe(targets["of_source"])).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.floor(rate) + extra).alias("copies"))
+    size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
+    sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), uniform(id_col, F.lit(seed)).alias("draw"))
+    sizes = checkpoint(sizes)  # narrow columns, so that texts are counted once
+    rates = source_rates(sizes, weights, budget, cap)
+    mixed = sizes.join(rates, F.struct("source").eqNullSafe(F.col("of")))
+    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", _copies().alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (3, 1, 2),
+    budget: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
     """The mixed corpus: every document as often as `mix` takes it, with its own columns and no others.
 
     The rates come from all rows, so each source's words come near its target in the rows that are returned.
     """
-    columns, options = docs.columns, dict(options)
-    seed = options.pop("seed", 17)
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    sizes = checkpoint(docs.select(F.col(source_col).alias("source"), size.alias("size")))
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    rates = checkpoint(source_targets(sizes, **options).select(F.struct("source").alias("_of"), rate.alias("_rate")))
-    rates = F.broadcast(rates) if rates.count() <= BROADCAST_SOURCES else rates
-    whole = docs.select(F.struct(*columns).alias("_row"), F.struct(F.col(source_col).alias("source")).alias("_from"), uniform(id_col, F.lit(seed)).alias("_u"))
-    rate = F.col("_rate")
-    copies = F.floor(rate) + (F.col("_u") < rate - F.floor(rate)).cast("long")
-    taken = whole.join(rates, F.col("_from").eqNullSafe(F.col("_of"))).select("_row", F.explode(F.array_repeat(F.lit(True), copies.cast("int"))))
-    return taken.select("_row.*")
+    draw = uniform(id_col, F.lit(seed))
+    rates = source_rates(checkpoint(docs.select(F.col(source_col).alias("source"), size.alias("size"), draw.alias("draw"))), weights, budget, cap)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.struct(F.col(source_col).alias("source")).alias("_from"), draw.alias("draw"))
+    mixed = whole.join(rates, F.col("_from").eqNullSafe(F.col("of")))
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(True), _copies().cast("int")))).select("_row.*")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +146,13 @@ levels AS (
   SELECT *, (all_words - coalesce(sum(CASE WHEN is_full THEN most END) OVER (), 0)) / sum(CASE WHEN NOT is_full THEN weight END) OVER () AS water FROM marked),
 targets AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE water * weight END AS target FROM levels),
 rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
     CAST(CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':17'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+turned AS (SELECT *, u + turn * CAST(0.6180339887498949 AS DOUBLE) AS moved FROM rated, (SELECT unnest(range(64)) AS turn)),
+drawn AS (SELECT *, CASE WHEN moved - floor(moved) < rate - floor(rate) THEN 1 ELSE 0 END AS more FROM turned),
+tried AS (SELECT source, turn, abs(floor(any_value(rate)) * any_value(source_size) + CAST(sum(size * more) AS BIGINT) - any_value(target)) AS off FROM drawn GROUP BY source, turn),
+chosen AS (SELECT source, arg_min(turn, (off, turn)) AS turn FROM tried GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + more) AS BIGINT) AS taken FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.turn = c.turn
 """,
 }

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -43,10 +44,15 @@ def test_mix_against_brute_force(documents):
         by_source[r[3]] += n
     target = poured(by_source)
     expected = Counter()
-    for n, r in zip(size, rows, strict=True):
-        rate = target[r[3]] / by_source[r[3]] if by_source[r[3]] else 0.0
-        u = int(hashlib.md5(f"{'null' if r[0] is None else r[0]}:17".encode()).hexdigest()[:13], 16) / 2**52
-        expected[r[0], n, by_source[r[3]], round(target[r[3]], 6), math.floor(rate) + (u < rate - math.floor(rate))] += 1
+    for source in by_source:
+        rate = target[source] / by_source[source] if by_source[source] else 0.0
+        own = [(n, r, int(hashlib.md5(f"{'null' if r[0] is None else r[0]}:17".encode()).hexdigest()[:13], 16) / 2**52) for n, r in zip(size, rows, strict=True) if r[3] == source]
+        tries = []
+        for turn in range(64):
+            copies = [math.floor(rate) + ((u + turn * mixing.STEP) % 1.0 < rate - math.floor(rate)) for *_, u in own]
+            tries.append((round(abs(sum(c * n for c, (n, *_) in zip(copies, own, strict=True)) - target[source]), 6), turn, copies))
+        for c, (n, r, _) in zip(min(tries)[2], own, strict=True):
+            expected[r[0], n, by_source[source], round(target[source], 6), c] += 1
     assert Counter((g["doc_id"], g["size"], g["source_size"], round(g["target"], 6), g["copies"]) for g in got) == expected
     assert all(g["copies"] <= 2 for g in got) and abs(sum(target.values()) - 1.5 * sum(size)) < 1e-6 * sum(size)
 
@@ -61,6 +67,17 @@ def test_mixed_documents_follow_the_mix(documents):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: n for k, n in copies.items() if n})
 
 
+def test_words_taken_come_near_the_targets(documents):
+    draw = random.Random(3)
+    rows = [(k, "w " * int(draw.paretovariate(1.1) * 20), "en", f"s{k % 7}" if k % 3 else "hot") for k in range(2500)]
+    taken, target = defaultdict(int), {}
+    ids = {k: s for k, _, _, s in rows}
+    for g in mixing.mix(documents(rows)).collect():
+        taken[ids[g["doc_id"]]] += g["size"] * g["copies"]
+        target[ids[g["doc_id"]]] = g["target"]
+    assert max(abs(taken[s] / target[s] - 1) for s in target) < 0.01
+
+
 def test_mix_of_nothing(documents):
     assert mixing.mix(documents([])).collect() == [] and mixing.mixed_documents(documents([])).collect() == []
     assert [r["copies"] for r in mixing.mix(documents([(1, "", "en", "a"), (2, None, "en", None)])).collect()] == [0, 0]
