@@ -23,19 +23,60 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "token")
 
 #: What the token test looks at: whole runs of the characters that keys are made of.
+LEAST = 20
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}")
 #: Lengths of common digests in hexadecimal digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Parts of an identifier: a word in one case or with a capital, or a number, with separators.
-IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)(?:[._/=+-]++|$)|[A-Z][a-z]{2,}+|[a-z]{3,}+(?=[A-Z]))+")
+#: What separates the pieces of a path, a host or a setting, and the letters of a piece that make one word of a name.
+PIECE = re.compile(r"[^/.=]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Least characters a token of the words in an identifier, each counted in lower case and after a space.
+WORD_RATIO = 2.3
+#: Letters alone in one case may be a long compound word: their ratio must be lower by this factor.
+LETTERS = 0.9
+
+
+def known(piece: str, n_tokens: Callable[[str], int]) -> bool:
+    """Digests, UUIDs, numbers (with at most two letters), and identifiers: their words cost few tokens, in whatever case they are."""
+    if len(piece) in DIGESTS and re.fullmatch(r"[0-9A-Fa-f]+", piece):
+        return True
+    if UUID.fullmatch(piece):
+        return True
+    words = WORD.findall(piece)
+    letters = sum(map(len, words))
+    if letters <= 2 and sum(map(str.isdigit, piece)) > 3 * letters:
+        return True
+    return letters > 0 and letters >= WORD_RATIO * sum(n_tokens(f" {word.lower()}") for word in words)
 
 
-def known(run: str) -> bool:
-    """Digests, UUIDs, and identifiers or paths made of words and numbers."""
-    if len(run) in DIGESTS and re.fullmatch(r"[0-9A-Fa-f]+", run):
-        return True
-    return bool(UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
+def random_parts(run: str, n_tokens: Callable[[str], int], ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run that look random.
+
+    Known pieces go from both ends of the run. What is left is one part if it costs too many tokens; if words in
+    it hide that, each of its longest rows of unknown pieces is judged by itself.
+    """
+
+    def trimmed(first: int, last: int) -> tuple[int, int]:
+        part = run[pieces[first][0] : pieces[last][1]]
+        bare = part.strip("=.-/")
+        start = pieces[first][0] + part.find(bare)
+        return start, start + len(bare)
+
+    def random(start: int, end: int) -> bool:
+        part = run[start:end]
+        limit = ratio * LETTERS if part.isalpha() and (part.islower() or part[1:].islower() or part.isupper()) else ratio
+        return end - start >= LEAST and not known(part, n_tokens) and end - start < limit * n_tokens(part)
+
+    pieces = [m.span() for m in PIECE.finditer(run)]
+    unknown = [k for k, (a, b) in enumerate(pieces) if not known(run[a:b], n_tokens)]
+    if not unknown:
+        return []
+    if random(*trimmed(unknown[0], unknown[-1])):
+        return [trimmed(unknown[0], unknown[-1])]
+    begins = [k for k in unknown if k - 1 not in unknown]
+    ends = [k for k in unknown if k + 1 not in unknown]
+    return [part for part in (trimmed(a, b) for a, b in zip(begins, ends, strict=True)) if random(*part)]
 
 
 def spans_of(text: str, n_tokens: Callable[[str], int], ratio: float) -> list[tuple[int, int, int]]:
@@ -48,24 +89,21 @@ def spans_of(text: str, n_tokens: Callable[[str], int], ratio: float) -> list[tu
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = list(found)
     for m in RUN.finditer(text):
-        run = m[0].strip("=.-/")
-        start = m.start() + m[0].find(run)
-        end = start + len(run)
-        if len(run) < 20 or known(run) or any(s < end and start < e for s, _, e in base):
-            continue
-        if len(run) / n_tokens(run) < ratio:
-            found.append((start, 3, end))
+        for a, b in random_parts(m[0], n_tokens, ratio):
+            start, end = m.start() + a, m.start() + b
+            if not any(s < end and start < e for s, _, e in base):
+                found.append((start, 3, end))
     return sorted(found)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: float = 2.2, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Spans of every whole text: (id, spans array<struct<kind string, start int, end int>>), in code points.
 
-    Besides the three patterns, the token test marks a run of 20 or more key characters which has fewer
-    than `ratio` characters a token under the rank file: words cost few tokens, random strings many. Runs that
-    are a known digest, a UUID or an identifier made of words and numbers, or overlap a base span, are left
-    alone. A null text counts as empty; repeated rows give repeated results; an empty table gives an empty
-    one; other columns are not read.
+    Besides the three patterns, the token test marks a run of 20 or more key characters, or its pieces between the
+    words of a path, which has fewer than `ratio` characters a token under the rank file: words cost few tokens,
+    random strings many, in one case or several. Known digests, UUIDs, numbers and identifiers (whose words,
+    taken alone, cost few tokens) are left alone, and so is what overlaps a base span. A null text counts as
+    empty; repeated rows give repeated results; an empty table gives an empty one; other columns are not read.
     """
     key = docs.schema[id_col].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

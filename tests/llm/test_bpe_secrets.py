@@ -52,3 +52,53 @@ def test_token_efficiency():
     text = f"key {secret} and get_user_name_by_identifier_42 plus {hashlib.sha1(b'x').hexdigest().upper()} 123e4567-e89b-12d3-a456-426614174000 internationalization.configuration"
     spans = [text[s:e] for s, k, e in secrets.spans_of(text, count, 2.2) if k == 3]
     assert spans == [secret]
+
+
+SECRETS = [
+    "xqzjvkwpbtmrlfghdcnsqwzx", "QZXJVKWPBTMRLFGHDCNSQWZXJK", "xqzjv-kwpbt-mrlfg-hdcns-qwzxj", "XKQZJ-WVPBN-MTRFG-HYLCD-BNRTW",
+    "q7Zp0xVfK2mW9bLtR4sYhN8c", "kJ8/xQ2+vB5nM1zR/7pL0wT3", "9X4K7Q2W8Z5B1V6N3M0J",
+]
+NAMES = [
+    "get_user_name_by_identifier_42", "MAX_RETRY_COUNT_LIMIT_VALUE", "com.example.project.service.AbstractFactoryBeanImpl", "getHTTPResponseCodeFromServer",
+    "Donaudampfschifffahrtsgesellschaft", "x86_64-linux-gnu-gcc-12", "2024-01-02T03-04-05", "jdbc-mysql-host-db01-prod", "123e4567-e89b-12d3-a456-426614174000",
+    hashlib.md5(b"a").hexdigest().upper(), "storage.googleapis.com/bucket-name/path", "gadget_widget_socket_v2_id", "+1-202-555-0100-202-555", "....................",
+]
+
+
+def test_token_spans_by_brute_force(documents):
+    """Planted strings between words, alone and behind a path, are the added spans; names, digests and numbers aren't."""
+    draw, rows, expected = random.Random(11), [], {}
+    for n in range(120):
+        text, spans = "", []
+        for _ in range(draw.randrange(1, 9)):
+            kind = draw.randrange(4)
+            if kind == 0:
+                text += draw.choice(["the cat sat on it", "été à Zürich", "😀 ok", "日本語"])
+            elif kind == 1:
+                text += draw.choice(NAMES)
+            else:
+                text += draw.choice(["storage.googleapis.com/bucket-name/", "config.setting="]) if kind == 2 else ""
+                spans.append((len(text), len(text) + len(found := draw.choice(SECRETS))))
+                text += found
+            text += draw.choice([" ", "\n", ", ", "\t"])
+        rows.append((n, text, "kind", "spans"))
+        expected[n] = spans
+    rows += [(200, "é" * 100_000 + " " + SECRETS[4]), (200, "é" * 100_000 + " " + SECRETS[4]), (None, SECRETS[0])]
+    found = secrets.find_secrets(documents(rows).withColumnsRenamed({"lang": "kind", "source": "spans", "n_chars": "id"})).collect()
+    assert len(found) == len(rows)
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in found}
+    assert all(s["kind"] == "token" for r in found for s in r["spans"])
+    assert {n: got[n] for n in expected} == expected
+    assert got[200] == [(100_001, 100_001 + len(SECRETS[4]))] and got[None] == [(0, len(SECRETS[0]))]
+    assert secrets.find_secrets(documents([])).collect() == []
+
+
+def test_random_strings_of_all_kinds_are_found():
+    tokens, draw = bpe.encoding(), random.Random(2)
+    count = lambda s: len(tokens.encode_ordinary(s))
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    for letters in kinds:
+        for n in (24, 32, 48):
+            keys = ["".join(draw.choice(letters) for _ in range(n)) for _ in range(300)]
+            share = sum(any(k == 3 for _, k, _ in secrets.spans_of(f"key {s} end", count, 2.2)) for s in keys if not secrets.HEX.search(s)) / 300
+            assert share > 0.97, (letters, n, share)
