@@ -33,8 +33,6 @@ PIECE = re.compile(r"[^/.=]+")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Least characters a token of the words in an identifier, each counted in lower case and after a space.
 WORD_RATIO = 2.3
-#: Letters alone in one case may be a long compound word: their ratio must be lower by this factor.
-LETTERS = 0.9
 
 
 def known(piece: str, n_tokens: Callable[[str], int]) -> bool:
@@ -65,8 +63,7 @@ def random_parts(run: str, n_tokens: Callable[[str], int], ratio: float) -> list
 
     def random(start: int, end: int) -> bool:
         part = run[start:end]
-        limit = ratio * LETTERS if part.isalpha() and (part.islower() or part[1:].islower() or part.isupper()) else ratio
-        return end - start >= LEAST and not known(part, n_tokens) and end - start < limit * n_tokens(part)
+        return end - start >= LEAST and not known(part, n_tokens) and end - start < ratio * n_tokens(part)
 
     pieces = [m.span() for m in PIECE.finditer(run)]
     unknown = [k for k, (a, b) in enumerate(pieces) if not known(run[a:b], n_tokens)]
