@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm.common import checkpoint, shuffle_partitions, table, text_or_empty
 
 #: Rows whose fingerprints one sender codes together, and that one owner counts.
-SENDER_ROWS, OWNER_ROWS = 1 << 20, 1 << 22
-#: Bits of a fingerprint that are exchanged; owners take a range of them each.
-BITS = 48
+SENDER_ROWS, OWNER_ROWS = 1 << 22, 1 << 24
+#: Bits of a fingerprint beyond those that number the rows: of texts that nobody else has, about one in 2^SPARE is a suspect.
+SPARE = 10
 #: Most bytes of suspect fingerprints that are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -47,48 +48,69 @@ def golomb_decode(code: bytes, count: int, shift: int) -> np.ndarray:
     return np.cumsum((quotients.astype(np.uint64) << np.uint64(shift)) + rests.sum(axis=1, dtype=np.uint64))
 
 
-def suspects(rows: DataFrame, senders: int, owners: int, n_rows: int) -> DataFrame:
-    """The fingerprints, of rows (sender, fingerprint), that at least two rows have.
+def suspects(known: DataFrame, bits: int, senders: int, owners: int, n_rows: int) -> DataFrame:
+    """The fingerprints (of this many bits), of rows with a column fingerprint, that at least two rows have.
 
-    Each sender sorts its different fingerprints and sends every owner the Golomb code of those in the
-    owner's range, with a bitmap of those it has twice itself. An owner counts how many senders have each,
-    and sends every sender a bitmap of what it had sent: whether others have it too. Senders keep the
-    fingerprints with a bit set. What is exchanged is about log2(gap) + 2 bits a fingerprint, and one bit back.
+    Senders are the partitions of the table as it lies. Each sorts its different fingerprints and sends every
+    owner the Golomb code of those in the owner's range, with a bitmap of those it has twice itself. An owner counts
+    how many senders have each, and answers every code with a bitmap: whether others have it too. What a
+    code and its bitmap say together is a suspect. Fingerprints never leave a task but coded: log2(gap) + 2 bits
+    each, and one bit back.
     """
-    width = -(-(1 << BITS) // owners)
-    shift = max(0, round(math.log2(max(1.0, 0.69 * (1 << BITS) / max(1, n_rows / senders)))))
+    width = -(-(1 << bits) // owners)
+    shift = max(0, round(math.log2(max(1.0, 0.69 * (1 << bits) / max(1, n_rows / senders)))))
+    code = "sender long, owner int, n int, code binary, twice binary"
 
-    def send(group: pd.DataFrame) -> pd.DataFrame:
-        values, counts = np.unique(group["fingerprint"].to_numpy().astype(np.uint64), return_counts=True)
+    def coded(sender: int, rows: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(rows), return_counts=True)
         to = (values // np.uint64(width)).astype(np.int64)
-        out = []
-        for owner in np.unique(to):
-            part = to == owner
-            own = values[part] - np.uint64(owner * width)
-            out.append((int(group["sender"].iloc[0]), int(owner), len(own), golomb_encode(own, shift), np.packbits(counts[part] > 1).tobytes()))
-        return pd.DataFrame(out, columns=["sender", "owner", "n", "code", "twice"])
-
-    def own(group: pd.DataFrame) -> pd.DataFrame:
-        values = [golomb_decode(code, n, shift) for code, n in zip(group["code"], group["n"], strict=True)]
-        twice = [np.unpackbits(np.frombuffer(bits, dtype=np.uint8))[:n] for bits, n in zip(group["twice"], group["n"], strict=True)]
+        begins = np.flatnonzero(np.diff(to, prepend=-1))
+        ranges = list(zip(to[begins].tolist(), begins.tolist(), np.append(begins[1:], len(to)).tolist(), strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([sender] * len(ranges), pa.int64()),
+                pa.array([owner for owner, _, _ in ranges], pa.int32()),
+                pa.array([b - a for _, a, b in ranges], pa.int32()),
+                pa.array([golomb_encode(values[a:b] - np.uint64(owner * width), shift) for owner, a, b in ranges], pa.binary()),
+                pa.array([np.packbits(counts[a:b] > 1).tobytes() for _, a, b in ranges], pa.binary()),
+            ],
+            ["sender", "owner", "n", "code", "twice"],
+        )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, sender = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sender = batch.column(1)[0].as_py() if sender is None else sender
+            held.append(batch.column(0).to_numpy().astype(np.uint64))
+            n += batch.num_rows
+            if n >= SENDER_ROWS:
+                yield coded(sender, held)
+                held, n, sender = [], 0, None
+        if held:
+            yield coded(sender, held)
+
+    def own(group: pa.Table) -> pa.Table:
+        sizes = group["n"].to_numpy()
+        values = [golomb_decode(c.as_py(), int(n), shift) for c, n in zip(group["code"], sizes, strict=True)]
+        twice = [np.unpackbits(np.frombuffer(b.as_py(), dtype=np.uint8))[:n] for b, n in zip(group["twice"], sizes, strict=True)]
         found, at = np.unique(np.concatenate(values), return_inverse=True)
         times = np.bincount(at, weights=np.concatenate(twice) + 1.0, minlength=len(found))
-        again = np.split(times[at] > 1, np.cumsum(group["n"].to_numpy())[:-1])
-        return pd.DataFrame({"sender": group["sender"], "owner": group["owner"], "again": [np.packbits(bits).tobytes() for bits in again]})
+        again = np.split(times[at] > 1, np.cumsum(sizes)[:-1])
+        return pa.table({"from": group["sender"], "by": group["owner"], "again": pa.array([np.packbits(x).tobytes() for x in again], pa.binary())})
 
-    def receive(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(group["fingerprint"].to_numpy().astype(np.uint64))
-        to = (values // np.uint64(width)).astype(np.int64)
-        again = np.zeros(len(values), dtype=bool)
-        for owner, bits in zip(answers["owner"], answers["again"], strict=True):
-            at = np.flatnonzero(to == owner)
-            again[at] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8))[: len(at)].astype(bool)
-        return pd.DataFrame({"fingerprint": values[again].astype(np.int64)})
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, n, code, again in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                held = np.unpackbits(np.frombuffer(again, dtype=np.uint8))[:n].astype(bool)
+                if held.any():
+                    yield pa.RecordBatch.from_arrays([pa.array((golomb_decode(code, n, shift)[held] + np.uint64(owner * width)).astype(np.int64))], ["fingerprint"])
 
-    by_sender = rows.select("sender", "fingerprint").groupBy("sender")
-    sent = by_sender.applyInPandas(send, "sender int, owner int, n int, code binary, twice binary")
-    answers = sent.groupBy("owner").applyInPandas(own, "sender int, owner int, again binary")
-    return by_sender.cogroup(answers.groupBy("sender")).applyInPandas(receive, "fingerprint long").distinct()
+    sent = checkpoint(known.select("fingerprint", F.monotonically_increasing_id().alias("sender")).mapInArrow(send, code))
+    answers = sent.groupBy("owner").applyInArrow(own, "from long, by int, again binary")
+    told = sent.join(answers, (F.col("sender") == F.col("from")) & (F.col("owner") == F.col("by")))
+    return told.select("owner", "n", "code", "again").mapInArrow(receive, "fingerprint long").distinct()
 
 
 def repeated_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -99,15 +121,18 @@ def repeated_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("text"))
-    fingerprint = F.shiftrightunsigned(F.xxhash64("text"), 64 - BITS)
-    known = checkpoint(read.select("id", F.sha2("text", 256).alias("text_sha256"), fingerprint.alias("fingerprint"), F.monotonically_increasing_id().alias("row")))
+    whole = F.xxhash64("text")
+    known = checkpoint(read.select("id", F.sha2("text", 256).alias("text_sha256"), whole.alias("hash"), F.monotonically_increasing_id().alias("row")))
     n_rows = known.count()
+    bits = min(62, max(16, math.ceil(math.log2(max(2, n_rows)))) + SPARE)
+    fingerprint = F.shiftrightunsigned(F.col("hash"), 64 - bits)
     senders = max(shuffle_partitions(spark), math.ceil(n_rows / SENDER_ROWS))
     owners = max(1, math.ceil(n_rows / OWNER_ROWS), min(shuffle_partitions(spark), n_rows >> 14))
-    sent = known.select(F.pmod(F.xxhash64("row"), F.lit(senders)).cast("int").alias("sender"), "fingerprint")
-    found = checkpoint(suspects(sent, senders, owners, n_rows))
+    # neighbouring splits are one sender, so that messages don't get small; rows stay where they are
+    found = checkpoint(suspects(known.select(fingerprint.alias("fingerprint")).coalesce(senders), bits, senders, owners, n_rows))
+    fingerprint = F.shiftrightunsigned(whole, 64 - bits)
     few = found.count() * 16 <= BROADCAST_BYTES
-    again = found.withColumnRenamed("fingerprint", "suspect")
+    again = found.select(F.col("fingerprint").alias("suspect"))
     met = read.join(F.broadcast(again) if few else again, fingerprint == F.col("suspect"), "left_semi")
     groups = met.groupBy("text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.where("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")

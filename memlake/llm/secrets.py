@@ -71,8 +71,9 @@ def random_parts(run: str, n_tokens: Callable[[str], int], ratio: float) -> list
         return []
     if random(*trimmed(unknown[0], unknown[-1])):
         return [trimmed(unknown[0], unknown[-1])]
-    begins = [k for k in unknown if k - 1 not in unknown]
-    ends = [k for k in unknown if k + 1 not in unknown]
+    every = set(unknown)
+    begins = [k for k in unknown if k - 1 not in every]
+    ends = [k for k in unknown if k + 1 not in every]
     return [part for part in (trimmed(a, b) for a, b in zip(begins, ends, strict=True)) if random(*part)]
 
 

@@ -39,11 +39,29 @@ def test_against_brute_force(documents):
 
 
 def test_suspects_split_by_bytes(documents, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BITS", 3)  # nearly all rows are suspects
+    monkeypatch.setattr(exact_dedup, "SPARE", -12)  # four bits, so nearly all rows are suspects
     got = exact_dedup.exact_duplicates(documents([(n, f"t{n // 2}") for n in range(60)])).collect()
     assert all(r["group_size"] == 2 and r["kept"] == (r["doc_id"] % 2 == 1) for r in got)
 
 
+def test_suspects_are_the_repeated_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SENDER_ROWS", 100)  # several senders in a partition
+    draw = np.random.default_rng(4)
+    values = draw.integers(0, 1 << 20, 3000)
+    values[::7] = values[0]
+    rows = spark.createDataFrame([(int(v),) for v in values], "fingerprint long").repartition(5)
+    found, counts = np.unique(values, return_counts=True)
+    for owners in (1, 6):
+        got = exact_dedup.suspects(rows, 20, 5, owners, len(values)).collect()
+        assert sorted(r["fingerprint"] for r in got) == found[counts > 1].tolist()
+
+
+def test_null_ids_and_clashing_names(documents):
+    docs = documents([(None, "a"), (None, "A"), (None, None), (None, ""), (3, "b")]).withColumnsRenamed({"lang": "_row", "source": "_sha", "n_chars": "keep_id"})
+    left = exact_dedup.without_duplicates(docs)
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["3", "None", "None"]
+
+
 def test_empty_table(documents):
     assert exact_dedup.exact_duplicates(documents([])).collect() == []
     assert exact_dedup.without_duplicates(documents([])).collect() == []
