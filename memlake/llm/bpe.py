@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from memlake.llm.common import table, text_or_empty
 LEAF = 16_384
 #: Characters of a boundary window at first, on each side; it doubles until a safe cut is in it.
 WINDOW = 64
-#: Rows for which results are built at a time.
-ROWS = 256
+#: Rows for which results are built at a time, and bytes of their texts: an Arrow array holds less than 2 GB.
+ROWS, BYTES = 256, 1 << 27
 #: Where any text splits whatever stands around it: after a letter or digit and before a space or line feed.
 #: No alternative of the pattern has a character that is not white space followed by white space.
 SAFE = re.compile(r"(?<=[^\W_])(?=[ \n])")
@@ -52,7 +53,7 @@ def last_cut(text: str, window: int = WINDOW) -> int:
         window *= 2
 
 
-def first_cut(text: str, window: int = WINDOW) -> int:
+def first_cut(text: str) -> int:
     """The first safe cut inside the text; its length if there is none."""
     found = SAFE.search(text)
     return found.start() if found else len(text)
@@ -88,6 +89,19 @@ def decode_tree(decode: Callable[[Sequence[int]], bytes], ids: Sequence[int], le
     return decode_tree(decode, ids[:half], leaf) + decode_tree(decode, ids[half:], leaf)
 
 
+def slices(whole: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch (id, text) of at most so many rows, and so many bytes of text unless one text alone has more."""
+    lengths = pc.binary_length(whole.column(1)).to_pylist()
+    start = total = 0
+    for k, n in enumerate(lengths):
+        if k > start and (k - start == rows or total + n > size):
+            yield whole.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if start < len(lengths):
+        yield whole.slice(start)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, leaf: int = LEAF) -> DataFrame:
     """Ids of every whole text, and the bytes that they decode to: (id, ids array<int>, decoded binary).
 
@@ -100,8 +114,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoding(ranks_path, pattern)
         for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
+            for batch in slices(whole, ROWS, BYTES):
                 ids = [encode_tree(tokens.encode_ordinary, text, leaf) for text in batch.column(1).to_pylist()]
                 decoded = [decode_tree(tokens.decode_bytes, x, leaf) for x in ids]
                 flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in ids])

@@ -161,14 +161,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that `exact_duplicates` keeps, with all their columns and no others."""
+    """The documents that `exact_duplicates` keeps, with all their columns and no others.
+
+    Where rows repeat the id and the text that stay, the one whose columns have the least hash stays, in every run.
+    """
     _, groups = repeated_texts(docs, id_col, text_col)
     small = groups.count() * 96 <= BROADCAST_BYTES
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.sha2(normalised(text_col), 256).alias("_sha"))
     marked = whole.join(F.broadcast(groups) if small else groups, whole["_sha"] == groups["text_sha256"], "left")
     single = marked.where("text_sha256 is null").select("_row")
-    stays = marked.where(F.col("text_sha256").isNotNull() & F.col("_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["_sha"]).select("_row")
-    return single.union(stays).select("_row.*")
+    stays = marked.where(F.col("text_sha256").isNotNull() & F.col("_id").eqNullSafe(F.col("keep_id")))
+    one = stays.groupBy("_sha").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row")
+    return single.union(one).select("_row.*")
 
 
 def op3_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,7 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = 1000,
+    max_languages: int = 4096,
     alpha: float = 0.5,
     beta: float = 1.0,
     l1: float = 0.02,
@@ -143,10 +144,10 @@ def fit(
     """Learn from rows where `learn` holds and text and language are not null; nothing else of other rows is used.
 
     Document frequencies are of all those rows. The weights are fitted, in one task, on a sample of at most
-    2 * per_language documents of each language. Bounded by the buckets and languages, the model comes to the driver.
+    2 * per_language documents of each language, of which the max_languages most frequent are learned. Bounded by the buckets and languages, the model comes to the driver.
     """
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample, counts = labelled_sample(rows, "id", "lang", per_language)
+    sample, counts = labelled_sample(rows, "id", "lang", per_language, max_languages)
     labels = sorted(counts)
     if not labels:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)

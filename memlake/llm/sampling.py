@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memlake.llm.common import uniform
 
 
-def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int, max_labels: int = 512, seed: int = 29) -> tuple[DataFrame, dict]:
+def labelled_sample(rows: DataFrame, id_col: str, label_col: str, per_label: int, max_labels: int = 4096, seed: int = 29) -> tuple[DataFrame, dict]:
     """About `per_label` rows of each label (all, if there are fewer), drawn by a hash of the id, and all rows' counts by label.
 
     At most twice per_label rows for each label are returned. The labels are those of the rows that have one,
