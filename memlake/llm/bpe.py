@@ -127,6 +127,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of what they decode to: see `encode_documents` for nulls and long texts."""
     encoded = encode_documents(table(spark, sf_dir, "documents"))
     return encoded.select(
         "doc_id",

@@ -48,9 +48,3 @@ def uniform(*parts: Column | str) -> Column:
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]
     key = F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("null")) for c in columns))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-
-
-def text_bytes(df: DataFrame, text: str) -> tuple[int, int]:
-    """Rows, and UTF-8 bytes of all texts."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()
-    return int(row["n"]), int(row["b"] or 0)

@@ -274,4 +274,5 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
 
 def op9_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9: see `embedding_duplicates` for vectors that link with nothing."""
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))

@@ -176,6 +176,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op3_golomb_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents: see `exact_duplicates` for nulls, ties and empty tables."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

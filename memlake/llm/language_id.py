@@ -197,6 +197,7 @@ def fold(id_col: str, of: int) -> Column:
 
 
 def op2_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from two folds of three: see `fit` and `identify`; a null id is in fold 0."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, fold("doc_id", 3) != 1)
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

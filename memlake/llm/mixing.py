@@ -127,6 +127,7 @@ def mixed_documents(
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of all documents: see `mix` for nulls, ties and empty sources."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -261,4 +261,5 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: see `near_duplicates` for nulls, short texts and repeated rows."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -120,6 +120,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, with counts and digests of the base spans: see `find_secrets` for nulls and long texts."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

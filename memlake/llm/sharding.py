@@ -62,5 +62,6 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents under the law `key`: see `assign_shards` for nulls and repeated rows."""
     placed = assign_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

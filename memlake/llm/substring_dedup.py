@@ -11,11 +11,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import shuffle_partitions, table, text_bytes, text_or_empty
+from memlake.llm.common import checkpoint, shuffle_partitions, table, text_or_empty
 from memlake.llm.words import mixed, split_words, word_hashes
 
-#: Bytes of text whose windows are sketched together, and cells of the sketch that are merged in one task.
+#: Least bytes of text whose windows are sketched together, and least cells of the sketch that are merged in one task.
 CHUNK_BYTES, SHARD_BITS = 8 << 20, 24
+#: Cells that a message between chunks and ranges of the sketch has on the average, where memory allows it.
+MESSAGE_CELLS = 512
+#: What a byte of a chunk's text and a cell of a range take in a task's memory, at most.
+CHUNK_MEMORY, CELL_MEMORY = 24, 4
 #: Cells of each of the two rows of the sketch for one window.
 CELLS_PER_WINDOW = 4
 #: Most bytes of window hashes that are grouped in one task, on the average, if all windows are suspects.
@@ -169,7 +173,55 @@ def _count_pairs(one: np.ndarray, two: np.ndarray) -> tuple[tuple[np.ndarray, np
     return (one[at], two[at]), np.diff(np.append(at, len(one)))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int = CHUNK_BYTES, shard_bits: int = SHARD_BITS) -> DataFrame:
+def plan(n_bytes: int, task_bytes: int) -> tuple[int, int]:
+    """Bytes of a chunk and bits of a range's cells for so many bytes of text, in tasks of so much memory.
+
+    Chunks times ranges is the number of messages, and both grow with the input: so do chunks and ranges, until a message has
+    MESSAGE_CELLS cells on the average or a task's memory is full; with less memory messages get smaller, and nothing is lost.
+    With tasks of 12 GB, 1 TB of text has 0.8 * 10^9 messages, and 100 TB 10^11 of 300 cells.
+    """
+    chunk, bits = CHUNK_BYTES, SHARD_BITS
+    while chunk << bits < MESSAGE_CELLS * CELLS_PER_WINDOW * n_bytes:
+        if CELL_MEMORY << bits + 1 <= task_bytes and (1 << bits) * CELL_MEMORY <= chunk * CHUNK_MEMORY:
+            bits += 1
+        elif 2 * chunk * CHUNK_MEMORY <= task_bytes:
+            chunk *= 2
+        elif CELL_MEMORY << bits + 1 <= task_bytes:
+            bits += 1
+        else:
+            break
+    return chunk, bits
+
+
+def task_memory(spark: SparkSession) -> int:
+    """Bytes that the Python side of one task may take: a quarter of an executor's memory, shared by its cores."""
+    sizes = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    setting = spark.conf.get("spark.executor.memory", "1g").lower().rstrip("b")
+    size = int(setting[:-1]) * sizes[setting[-1]] if setting[-1] in sizes else int(setting)
+    return size // 4 // max(1, int(spark.conf.get("spark.executor.cores", "1")))
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int | None, shard_bits: int | None) -> tuple[DataFrame, int, int]:
+    """Rows (id, text, chunk), the bytes of all texts, and the bits of a range.
+
+    Rows go to chunks by the hash of id and text. If copies of one row alone would fill a chunk, rows are numbered first
+    (and written, so that the numbers hold when tasks are run again), and go by their number.
+    """
+    read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = read.groupBy(F.xxhash64("id", "text").alias("h")).agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n"))
+    sums = rows.agg(F.sum("b").alias("b"), F.max(F.when(F.col("n") > 1, F.col("b") + 64 * F.col("n"))).alias("most")).first()
+    n_bytes = int(sums["b"] or 0)
+    chunk, bits = plan(n_bytes, task_memory(docs.sparkSession))
+    chunk, bits = chunk_bytes or chunk, shard_bits or bits
+    count = max(4 * shuffle_partitions(docs.sparkSession), math.ceil(n_bytes / chunk))
+    key = F.xxhash64("id", "text")
+    if int(sums["most"] or 0) > chunk:
+        read = checkpoint(read.withColumn("number", F.monotonically_increasing_id()))
+        key = F.xxhash64("number")
+    return read.select("id", "text", F.pmod(key, F.lit(count)).cast("int").alias("chunk")), n_bytes, bits
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int | None = None, shard_bits: int | None = None) -> DataFrame:
     """Remove every word that a repeated window covers: one row (id, n_words, n_removed, text) for each document.
 
     A window is `window` consecutive words of one document; it is repeated if its words also start anywhere else,
@@ -179,16 +231,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart even if they repeat id and text, which then repeats all windows. An empty table gives an empty
     result; other columns are not read.
 
-    See `repeated_windows` for the method. Texts are dealt once, to chunks by the hash of id and text, and all
-    passes read that exchange again. Chunks times ranges of the sketch is the number of messages, so on a large cluster
-    both should be as large as a task's memory allows: at 100 TB, chunks of 512 MB and ranges of 2^28 cells.
+    See `repeated_windows` for the method. Texts are dealt once, to chunks, and all passes read that exchange again; see
+    `plan` for the sizes of chunks and of the sketch's ranges, which come from the input and the executors' memory
+    unless they are given. Two windows are the same words if two 64-bit hashes agree, of 128 bits together.
     """
-    _, n_bytes = text_bytes(docs, text_col)
-    count = max(4 * shuffle_partitions(docs.sparkSession), math.ceil(n_bytes / chunk_bytes))
+    chunks, n_bytes, shard_bits = dealt(docs, id_col, text_col, chunk_bytes, shard_bits)
     bits = min(60, max(16, math.ceil(math.log2(CELLS_PER_WINDOW * max(1, n_bytes / 5)))))
     owner_bits = max(0, math.ceil(math.log2(max(1, n_bytes * 16 / 5 / OWNER_BYTES))))
-    read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    chunks = read.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(count)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def remove(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -216,5 +265,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_count_min_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated windows of 35 words: see `remove_repeats` for nulls, copies and long texts."""
     left = remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -39,6 +39,30 @@ def test_against_brute_force(documents):
         assert got == brute_force(rows, window)
 
 
+def test_copies_of_one_row_share_no_chunk(documents, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 4096)
+    rows = [(None, "one two three four five")] * 400 + [(None, None)] * 400 + [(n, f"own {n} words here") for n in range(50)]
+    docs = documents(rows).repartition(6)
+    chunks, n_bytes, _ = substring_dedup.dealt(docs, "doc_id", "text", None, None)
+    dealt = Counter(r["chunk"] for r in chunks.collect())
+    assert n_bytes == sum(len(t or "") for _, t in rows) and max(dealt.values()) < 200
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(docs, window=3).collect())
+    assert got == brute_force(rows, 3)
+
+
+def test_plan_bounds_messages_and_memory():
+    for n_bytes in (0, 10**6, 5 * 10**8, 3 * 10**10, 10**12, 10**14):
+        for task in (1 << 28, 1 << 30, 12 << 30):
+            chunk, bits = substring_dedup.plan(n_bytes, task)
+            assert chunk >= substring_dedup.CHUNK_BYTES and bits >= substring_dedup.SHARD_BITS
+            assert chunk * substring_dedup.CHUNK_MEMORY <= max(task, substring_dedup.CHUNK_BYTES * substring_dedup.CHUNK_MEMORY)
+            assert substring_dedup.CELL_MEMORY << bits <= max(task, substring_dedup.CELL_MEMORY << substring_dedup.SHARD_BITS)
+    chunk, bits = substring_dedup.plan(10**12, 12 << 30)
+    assert 2 * 10**12 / chunk * 4 * 2e11 / 2**bits < 10**9
+    chunk, bits = substring_dedup.plan(10**14, 12 << 30)
+    assert 2 * 10**14 / chunk * 4 * 2e13 / 2**bits < 2 * 10**11
+
+
 def test_empty_table(documents):
     assert substring_dedup.remove_repeats(documents([])).collect() == []
 
