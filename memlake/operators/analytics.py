@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
+from memlake.operators.shared import checkpoint, components
 
 DAY = 86_400_000
 #: Range name and how far it looks back; 0 is everything.
@@ -95,12 +96,18 @@ def feedback_fold(feedback: DataFrame, history: int = 12) -> DataFrame:
     )
 
 
-def rekey(counters: DataFrame, moves: DataFrame, rounds: int = 5) -> DataFrame:
-    """Counters (id, attempts, used) under the ids that a map (old, new) leads to, followed for some rounds, summed up."""
-    step = moves.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-    for _ in range(rounds):
-        counters = counters.join(step, F.col("id") == F.col("_old"), "left").withColumn("id", F.coalesce("_new", "id")).drop("_old", "_new")
-    return counters.groupBy("id").agg(F.sum("attempts").alias("attempts"), F.sum("used").alias("used"))
+def rekey(counters: DataFrame, moves: DataFrame) -> DataFrame:
+    """Counters (id, attempts, used) under the ids that a map (old, new) leads to in the end, summed up.
+
+    An old id leads to one new id (of several the least), so what hangs together has one id that leads nowhere: all go
+    there, however long the chain. Where ids lead round in a circle, the least of them stays.
+    """
+    step = checkpoint(moves.where("old is not null and new is not null").groupBy("old").agg(F.min("new").alias("new")))
+    roots = checkpoint(components(step.select(F.col("old").alias("a"), F.col("new").alias("b"))))
+    last = roots.join(step.select(F.col("old").alias("node")), "node", "left_anti").groupBy("root").agg(F.min("node").alias("last"))
+    target = roots.join(last, "root", "left").select(F.col("node").alias("id"), F.coalesce("last", "root").alias("target"))
+    moved = counters.join(target, "id", "left").withColumn("id", F.coalesce("target", "id"))
+    return moved.groupBy("id").agg(F.sum("attempts").alias("attempts"), F.sum("used").alias("used"))
 
 
 def session_watermark(messages: DataFrame) -> DataFrame:

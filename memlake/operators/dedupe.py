@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from memlake.functions import columns as C
+from memlake.operators.shared import ASKED, SETS, meeting, pack_sets, pairs_of_blocks
 
 DUPLICATE, RELATED = 0.62, 0.30
 
@@ -68,23 +71,46 @@ def leader_clusters(items: DataFrame, tau: float = 0.92) -> DataFrame:
     return items.groupBy("batch", "family", "type").applyInPandas(run, "id string, leader string")
 
 
-def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b, score) of texts (id, content) that share a gram: the larger of 3-gram Jaccard and 2-gram Dice.
+def _gram_sets(rows: DataFrame, order: str | None) -> DataFrame:
+    """(id, items, weights, scale): hashes of the 3-grams (even) and 2-grams (odd) of a content, how many of each, and its place."""
+    grams = lambda n: F.coalesce(C.grams(F.col("content"), n), F.array().cast("array<string>"))
+    hashed = lambda n, odd: F.transform(grams(n), lambda g: F.shiftleft(F.xxhash64(g), 1) + F.lit(odd))
+    sets = rows.select(F.col("id").cast("string").alias("id"), hashed(3, 0).alias("three"), hashed(2, 1).alias("two"), (F.col(order).cast("double") if order else F.lit(0.0)).alias("scale"))
+    sizes = F.array(F.size("three").cast("double"), F.size("two").cast("double"))
+    return sets.where(F.size("two") > 0).select("id", F.concat("three", "two").alias("items"), sizes.alias("weights"), "scale")
 
-    An inverted join on grams with overlap counts: what is made is a row for each shared gram, not each pair's sets.
-    """
 
-    def exploded(rows: DataFrame, n: int, name: str) -> DataFrame:
-        g = rows.select(F.col("id").alias(name), C.grams(F.col("content"), n).alias("g"))
-        return g.select(name, F.explode("g").alias("gram"), F.size("g").alias(f"n_{name}"))
+def resembling(a: DataFrame, b: DataFrame, least: float, most: int, order: str | None = None) -> DataFrame:
+    """(a, b, score, rank): the `most` texts b (id, content) that resemble a text a best, of those that reach `least`; ties by id.
 
-    def shared(n: int) -> DataFrame:
-        met = exploded(a, n, "a").join(exploded(b, n, "b"), "gram")
-        return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    The score is the larger of 3-gram Jaccard and 2-gram Dice. A stated set of texts against all, in blocks: a block's common
+    grams are counted in its task and only the best leave it, so grams that nearly all texts have cost additions and no rows.
+    With `order` (a column of both) only texts that come before a count.
+    """
 
-    three = shared(3).select("a", "b", (F.col("s") / (F.col("n_a") + F.col("n_b") - F.col("s"))).alias("score"))
-    two = shared(2).select("a", "b", (2 * F.col("s") / (F.col("n_a") + F.col("n_b"))).alias("score"))
-    return three.union(two).groupBy("a", "b").agg(F.round(F.max("score"), 4).alias("score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                places = np.array([i or "" for i in row["ids"]], dtype=object)
+                numbers = {n: np.frombuffer(row[n], dtype=np.int64) for n in ("q_ends", "q_items", "ends", "items")}
+                sizes, q_sizes = (np.frombuffer(row[n]).reshape(-1, 2) for n in ("weights", "q_weights"))
+                place, q_place = np.frombuffer(row["scales"]), np.frombuffer(row["q_scales"])
+                found: list[tuple[str, str, float]] = []
+                for q, at, which in meeting(*numbers.values()):
+                    odd = (numbers["q_items"][which] & 1).astype(bool)
+                    three, two = np.bincount(at[~odd], minlength=len(places)), np.bincount(at[odd], minlength=len(places))
+                    jaccard = three / np.maximum(q_sizes[q, 0] + sizes[:, 0] - three, 1)
+                    dice = 2 * two / (q_sizes[q, 1] + sizes[:, 1])
+                    score = np.floor(np.maximum(jaccard, dice) * 1e4 + 0.5) / 1e4
+                    good = np.flatnonzero((score >= least) & ((place < q_place[q]) if order else True))
+                    best = sorted(good, key=lambda i: (-score[i], places[i].encode()))[:most]
+                    found += [(row["q_ids"][q], row["ids"][i], float(score[i])) for i in best]
+                columns = list(zip(*found, strict=True)) if found else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["a", "b", "score"])
+
+    met = pairs_of_blocks(pack_sets(_gram_sets(a, order), ASKED), pack_sets(_gram_sets(b, order), SETS)).mapInArrow(run, "a string, b string, score double")
+    best = met.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "b")))
+    return best.where(F.col("rank") <= most)
 
 
 def import_plan(bundle: DataFrame, existing: DataFrame) -> DataFrame:
@@ -96,14 +122,9 @@ def import_plan(bundle: DataFrame, existing: DataFrame) -> DataFrame:
     known = hashed(existing).groupBy("hash").agg(F.min("id").alias("dup_of"))
     rows = hashed(bundle).join(known, "hash", "left")
     fresh = rows.where("dup_of is null")
-    scores = overlaps(fresh.select("id", "content"), existing.select("id", "content")).where(F.col("score") >= RELATED)
-    order = W.partitionBy("a").orderBy(F.desc("score"), "b")
-    top = scores.withColumn("k", F.row_number().over(order)).where("k <= 3")
-    best = top.groupBy("a").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("matched"))
-    inside = overlaps(fresh.select("id", "content"), fresh.select("id", "content")).where(F.col("score") >= RELATED)
-    seqs = fresh.select("id", "seq")
-    earlier = inside.join(seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa")), "a").join(seqs.select(F.col("id").alias("b"), F.col("seq").alias("sb")), "b").where("sb < sa")
-    own = earlier.groupBy("a").agg(F.max("score").alias("own_best"))
+    fresh = fresh.select("id", "seq", "content")
+    best = resembling(fresh, existing, RELATED, 3).groupBy("a").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("matched"))
+    own = resembling(fresh, fresh, RELATED, 1, "seq").select("a", F.col("score").alias("own_best"))
     told = rows.join(best.withColumnRenamed("a", "id"), "id", "left").join(own.withColumnRenamed("a", "id"), "id", "left")
     score = F.coalesce("best", "own_best")
     verdict = F.when(F.col("dup_of").isNotNull(), "dup").when(score >= DUPLICATE, "near-dup").when(score >= RELATED, "conflict-candidate").otherwise("new")
@@ -115,7 +136,8 @@ def freeze_pairs(decisions: DataFrame, existing: DataFrame, open_hard: int, most
 
     Only hard pairs use the quota; the first ones by seq get what is left of it.
     """
-    new = decisions.withColumn("pair_id", C.input_digest(F.array("run_id", "winner", "loser"), "pair/v1")).dropDuplicates(["pair_id"])
+    named = decisions.withColumn("pair_id", C.input_digest(F.array("run_id", "winner", "loser"), "pair/v1"))
+    new = named.groupBy("pair_id").agg(F.min(F.struct("seq", "kind", "in_batch")).alias("d")).select("pair_id", "d.*")  # a pair's first decision
     new = new.join(existing.select("pair_id"), "pair_id", "left_anti")
     hard = new.where("kind = 'hard'").select("pair_id", "seq").orderBy("seq").limit(max(0, most_hard - open_hard)).select("pair_id", F.lit(True).alias("fits"))
     fate = F.when((F.col("kind") != "hard") | F.col("fits"), "pending").when(F.col("in_batch"), "unparked").otherwise("auto")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.shared import checkpoint, small
+
 
 def gold_match(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """Hits (query_id, rank, content) against each gold string of their query: (query_id, kind, rank, gold, match)."""
@@ -95,7 +97,7 @@ def by_position(results: DataFrame, buckets: int = 3) -> DataFrame:
     order = results.groupBy("scenario").agg(F.min("ord").alias("ord"))
     total = order.agg(F.count(F.lit(1)).alias("total"))
     placed = order.join(F.broadcast(total)).withColumn("bucket", F.ceil(F.row_number().over(W.orderBy("ord", "scenario")) * buckets / F.col("total")))
-    return results.join(F.broadcast(placed.select("scenario", "bucket")), "scenario").groupBy("bucket").agg(F.count(F.lit(1)).alias("probes"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("rate"), F.sum("contamination").alias("contamination"))
+    return results.join(small(checkpoint(placed.select("scenario", "bucket"))), "scenario").groupBy("bucket").agg(F.count(F.lit(1)).alias("probes"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("rate"), F.sum("contamination").alias("contamination"))
 
 
 def token_summary(lines: DataFrame) -> DataFrame:

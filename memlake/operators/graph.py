@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
+from memlake.operators.shared import checkpoint, components
 
 # What a token weighs by the field that has it, and the relations that count as causal.
 NODE_WEIGHTS = {"name": 6, "aliases": 5, "tags": 5, "state": 4, "facts": 4, "relations": 3, "type": 2}
@@ -42,15 +42,23 @@ def field_search(queries: DataFrame, nodes: DataFrame, weights: dict[str, int],
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("updated_ms")
 
 
+def with_seeds(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Node hits (query_id, id, rank) with further ones of another search (by vectors) behind them, each node once."""
+    more = seeds.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    both = hits.select("query_id", "id", F.lit(0).alias("lane"), "rank").union(more.select("query_id", "id", F.lit(1), "rank"))
+    return both.select("query_id", "id", F.row_number().over(W.partitionBy("query_id").orderBy("lane", "rank")).alias("rank"))
+
+
 def expand_to_records(hits: DataFrame, nodes: DataFrame, edges: DataFrame, sources: DataFrame, facts: DataFrame, cap: int = HOP_CAP) -> DataFrame:
     """(query_id, record_id, place): records behind node hits (query_id, id, rank), then those behind their neighbours.
 
     Direct records come by hit, its own sources (id, record_id, pos) before those of its active facts, once each;
     neighbours by recency, up to `cap` records that aren't there yet.
     """
+    hits = checkpoint(hits)
     own = hits.join(sources, "id").select("query_id", "record_id", F.struct("rank", F.lit(0).alias("part"), "pos").alias("o"))
     by_fact = hits.join(facts.where("status = 'active'"), "id").select("query_id", "record_id", F.struct("rank", F.lit(1).alias("part"), "pos").alias("o"))
-    direct = own.union(by_fact).groupBy("query_id", "record_id").agg(F.min("o").alias("o"))
+    direct = checkpoint(own.union(by_fact).groupBy("query_id", "record_id").agg(F.min("o").alias("o")))
     hop = hits.select("query_id", F.col("id").alias("a")).join(both_ways(edges).select("a", "b"), "a").select("query_id", F.col("b").alias("id")).distinct()
     hop = hop.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").join(visible(nodes).select("id", "updated_ms"), "id")
     reached = hop.join(sources, "id").groupBy("query_id", "record_id").agg(F.min(F.struct((-F.col("updated_ms")).alias("u"), "id", "pos")).alias("o"))
@@ -177,25 +185,18 @@ def edge_history(edges: DataFrame) -> DataFrame:
     return runs.select("from_id", "relation", "to_id", "first_seq", "last_seq", "n", F.when(last, "active").otherwise("superseded").alias("status"), F.lead("valid_from_ms").over(by_run).alias("valid_to_ms"))
 
 
-def resolve_entities(names: DataFrame, rounds: int = 20) -> DataFrame:
+def resolve_entities(names: DataFrame) -> DataFrame:
     """(id, entity): ids that share a normalised name within their type are one entity, transitively; its least id names it.
 
-    Labels go to the least label among the ids of a name, again and again, until none changes. Each round is
-    written to the checkpoint folder if there is one; the number of rounds is bounded by the longest chain of shared names.
+    Each id is linked to the least one with its name; the entities are the connected components of those links, however
+    long the chains. Names without a letter are nobody's; ids with none of another are entities by themselves.
     """
-    named = names.where(C.entity_name(F.col("name")) != "")
-    keyed = named.select("id", F.concat_ws("\u0001", "type", C.entity_name(F.col("name"))).alias("key")).distinct().cache()
-    labels = keyed.select("id", F.col("id").alias("entity")).distinct()
-    for _ in range(rounds):
-        by_key = keyed.join(labels, "id").groupBy("key").agg(F.min("entity").alias("least"))
-        new = keyed.join(by_key, "key").groupBy("id").agg(F.min("least").alias("entity"))
-        new = new.checkpoint() if names.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        moved = new.join(labels.withColumnRenamed("entity", "was"), "id").where("entity <> was")
-        done = moved.isEmpty()
-        labels = new
-        if done:
-            break
-    return labels
+    named = names.select("id", "type", C.entity_name(F.col("name")).alias("name")).where("name <> ''")
+    named = checkpoint(named.distinct())
+    first = named.groupBy("type", "name").agg(F.min("id").alias("first"))
+    links = named.join(first, ["type", "name"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    roots = components(links)
+    return named.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("entity"))
 
 
 def backlog(records: DataFrame, projected: DataFrame, size: int = 8, most: int = 1000) -> DataFrame:
@@ -205,22 +206,6 @@ def backlog(records: DataFrame, projected: DataFrame, size: int = 8, most: int =
     return open_.select("id", F.floor(place / size).alias("batch"))
 
 
-def fold_edge_group(group: pd.DataFrame) -> pd.DataFrame:
-    """The exact ordered fold of one (from, relation) group in which proposals arrive closed already."""
-    out: list[dict] = []
-    for row in group.sort_values("seq").to_dict("records"):
-        same = [e for e in out if e["to_id"] == row["to_id"] and e["status"] == row["status"]]
-        if same:
-            same[-1]["last_seq"], same[-1]["n"] = row["seq"], same[-1]["n"] + 1
-            continue
-        if row["status"] == "active":
-            for e in out:
-                if e["status"] == "active":
-                    e["status"] = "superseded"
-        out.append({k: row[k] for k in ("from_id", "relation", "to_id", "status")} | {"first_seq": row["seq"], "last_seq": row["seq"], "n": 1})
-    return pd.DataFrame(out, columns=["from_id", "relation", "to_id", "status", "first_seq", "last_seq", "n"])
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

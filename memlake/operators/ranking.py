@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
+from memlake.operators.shared import checkpoint, containing, small
 
 WING_FLOOR, WING_HIT, WING_NEUTRAL = 0.4, 0.75, 1.0
 
@@ -24,7 +25,7 @@ def recent_per_session(messages: DataFrame, most: int) -> DataFrame:
 def latest_runs(receipts: DataFrame, most: int) -> DataFrame:
     """The receipts of the latest runs: a bounded top-k of runs, then a semi-join."""
     runs = receipts.groupBy("run_id").agg(F.max("decided_ms").alias("last")).orderBy(F.desc("last"), F.desc("run_id")).limit(most)
-    return receipts.join(F.broadcast(runs.select("run_id")), "run_id", "left_semi")
+    return receipts.join(small(checkpoint(runs.select("run_id"))), "run_id", "left_semi")
 
 
 def recall_budget(lines: DataFrame, per_line: int, total: int, suffix: str, least_tail: int = 40) -> DataFrame:
@@ -101,10 +102,10 @@ def stratified(records: DataFrame, size: int) -> DataFrame:
     by_rest = W.orderBy(F.desc("rest"), "type")
     shares = shares.withColumn("left", F.lit(size) - F.sum("share").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     quota = (F.col("share") + ((F.row_number().over(by_rest) <= F.col("left")) & (F.col("share") < F.col("n"))).cast("long")).alias("quota")
-    quotas = shares.select("type", "n", quota)
+    quotas = small(checkpoint(shares.select("type", "n", quota)))
     ranked = records.select("id", "type", (F.row_number().over(W.partitionBy("type").orderBy("id")) - 1).alias("at"))
     # row i is taken if it is floor(j * n / quota) for some j
-    met = ranked.join(F.broadcast(quotas), "type")
+    met = ranked.join(quotas, "type")
     j = F.ceil(F.col("at") * F.col("quota") / F.col("n"))
     return met.where((j < F.col("quota")) & (F.floor(j * F.col("n") / F.col("quota")) == F.col("at"))).select("id", "type")
 
@@ -139,29 +140,54 @@ def visible_state(injected: DataFrame, known: DataFrame, visible: DataFrame) ->
     return rows.select("id", F.when(F.col("seen"), "cleared").when(F.col("known"), "superseded").otherwise("unchanged").alias("mark"))
 
 
-def unique_names(rows: DataFrame, taken: DataFrame, most: int = 40, rounds: int = 8) -> DataFrame:
-    """(id, name) from stems (id, stem): stem, stem-2, stem-3, ... within a length, none of them taken or used twice.
+def unique_names(rows: DataFrame, taken: DataFrame, most: int = 40, tries: int = 999) -> DataFrame:
+    """(id, name) from stems (id, stem): in the order of ids the first of stem, stem-2, ... stem-999 that is free, within a length.
 
-    The k-th row of a stem asks for the suffix k; those that collide ask for a higher one in the next round.
+    A row without a stem, and one for which all of those are taken, is named `mem-` with the end of its id, then with suffixes,
+    then with a digest of the id: every row gets a name, and no name is taken or used twice. Names that could collide share their
+    first characters without suffixes, so names are given in one pass over partitions sorted by that; a stem can name at most
+    `tries` rows, and only so many of its rows are dealt, so a stem that most rows have is no long task.
     """
-    used = taken.select("name")
-    left = rows.withColumn("stem", F.coalesce(C.null_if_blank(F.col("stem")), F.concat(F.lit("item-"), "id"))).withColumn("base", F.lit(0))
-    done: DataFrame | None = None
-    for turn in range(rounds):
-        k = F.row_number().over(W.partitionBy("stem").orderBy("id")) + F.col("base")
-        suffix = F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise("")
-        tried = left.withColumn("k", k).withColumn("name", F.concat(F.substring("stem", F.lit(1), F.lit(most) - F.length(suffix)), suffix))
-        tried = tried.withColumn("first", F.row_number().over(W.partitionBy("name").orderBy("stem", "id")) == 1)
-        free = tried.join(used.withColumn("in_use", F.lit(True)), "name", "left").withColumn("ok", F.col("in_use").isNull() & F.col("first"))
-        free = free.cache()
-        new = free.where("ok").select("id", "name")
-        done = new if done is None else done.union(new)
-        used = used.union(new.select("name"))
-        highest = free.groupBy("stem").agg(F.max("k").alias("top"))
-        left = free.where("not ok").select("id", "stem").join(highest, "stem").select("id", "stem", F.col("top").cast("int").alias("base"))
-        if left.isEmpty():
-            break
-    return done
+    root = lambda name: F.regexp_replace(F.substring(name, 1, most - len(str(tries)) - 1), r"(-[0-9]*)+$", "")
+    key = rows.schema["id"].dataType.simpleString()
+
+    def name(left: DataFrame, used: DataFrame) -> DataFrame:
+        """left with its name; null where all of a stem's are taken."""
+        few = left.withColumn("_k", F.row_number().over(W.partitionBy("stem").orderBy("id"))).where(F.col("_k") <= tries)
+        marked = few.select(root("stem").alias("root"), F.lit(1).alias("kind"), "id", "stem").union(used.select(root("name"), F.lit(0), F.lit(None).cast(key), "name"))
+        ordered = marked.repartition("root").sortWithinPartitions("root", "kind", "id")
+        given = ordered.mapInArrow(run, f"id {key}, name string")
+        return left.select("id", "stem").join(given, "id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used, turn = None, set(), {}
+        for batch in batches:
+            ids, names = [], []
+            for start, kind, who, stem in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if start != at:
+                    at, used, turn = start, set(), {}
+                if kind == 0:
+                    used.add(stem)
+                    continue
+                k = turn.get(stem, 1)
+                while k <= tries and (given := stem[: most - len(f"-{k}")] + f"-{k}" if k > 1 else stem) in used:
+                    k += 1
+                turn[stem] = k + 1
+                if k <= tries:
+                    used.add(given)
+                    ids.append(who)
+                    names.append(given)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(2).type), pa.array(names, pa.string())], ["id", "name"])
+
+    spare = F.concat(F.lit("mem-"), F.right(F.col("id").cast("string"), F.lit(8)))
+    asked = rows.select("id", F.left(F.coalesce(C.null_if_blank(F.col("stem")), spare), F.lit(most)).alias("stem"))
+    first = checkpoint(name(asked, taken.select("name")))
+    if first.where("name is null").isEmpty():
+        return first.select("id", "name")
+    done = first.where("name is not null").select("id", "name")
+    second = checkpoint(name(first.where("name is null").select("id", spare.alias("stem")), taken.select("name").union(done.select("name"))))
+    last = F.coalesce("name", F.concat(F.lit("mem-"), F.left(F.sha2(F.col("id").cast("string"), 256), F.lit(36))))
+    return done.union(second.select("id", last))
 
 
 def budget_plan(records: DataFrame, most_records: int, most_calls: int) -> DataFrame:
@@ -195,10 +221,20 @@ def reordered(hits: DataFrame, *keys: Column, group: str = "query_id") -> DataFr
     return hits.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*keys, F.col("rank"))))
 
 
-def keyword_weights(queries: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(query_id, wing, weight): a wing with a keyword in the query weighs more; all alike if none has. Keywords are a small fixed table."""
-    hit = F.bool_or(F.contains(F.lower("query"), F.lower("keyword"))).alias("hit")
-    said = queries.crossJoin(F.broadcast(keywords.limit(5000))).groupBy("query_id", "wing").agg(hit)
+def keyword_weights(queries: DataFrame, keywords: DataFrame, few: int = 5000) -> DataFrame:
+    """(query_id, wing, weight): a wing with a keyword in the query weighs more; all alike if none has. Blank keywords count for nothing.
+
+    Up to `few` keywords are one array; more meet the queries' runs of characters in a join.
+    """
+    texts = queries.select(F.col("query_id").alias("id"), F.lower("query").alias("hay"))
+    lowered = checkpoint(keywords.select("wing", F.lower("keyword").alias("word")).where("word is not null").distinct())
+    wings = F.broadcast(lowered.groupBy("wing").agg(F.collect_list("word").alias("words")))
+    if lowered.count() <= few:
+        said = texts.join(wings).select(F.col("id").alias("query_id"), "wing", F.coalesce(F.exists("words", lambda w: (w != "") & F.contains("hay", w)), F.lit(False)).alias("hit"))
+    else:
+        found = containing(texts, lowered).join(lowered, "word").select("id", "wing").distinct().withColumn("hit", F.lit(True))
+        every = texts.select("id").join(F.broadcast(lowered.select("wing").distinct()))
+        said = every.join(found, ["id", "wing"], "left").select(F.col("id").alias("query_id"), "wing", F.coalesce("hit", F.lit(False)).alias("hit"))
     some = F.max("hit").over(W.partitionBy("query_id"))
     return said.select("query_id", "wing", F.when(~some, WING_NEUTRAL).when(F.col("hit"), WING_HIT).otherwise(WING_FLOOR).alias("weight"))
 

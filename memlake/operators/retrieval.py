@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
+from memlake.operators.shared import ASKED, SETS, checkpoint, meeting, pack_sets, pairs_of_blocks, small
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -44,20 +45,54 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def bm25(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", text_col: str = "content", stop_words: Sequence[str] = ()) -> DataFrame:
     """(query_id, id, score, rank): BM25 of distinct tokens for queries (query_id, query).
 
-    Only the postings of tokens that some query has are counted and joined: the query tokens come first, by a semi-join
-    that Spark broadcasts if they're small. Document frequencies come from those postings alone.
+    Texts are tokenised once, into hashes, and written; lengths and the frequencies of the queries' tokens come from there. Then blocks
+    of queries meet blocks of texts: a block's scores are summed in its task, and only the best k of each query leave it, by
+    rounded score and id. So tokens that nearly all texts have cost additions and no rows.
     """
-    asked = queries.select("query_id", F.explode(F.array_except(C.tokens(F.col("query")), F.array(*map(F.lit, stop_words)).cast("array<string>"))).alias("token"))
-    sized = rows.select(F.col(id_col).alias("id"), C.tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
-    posts = sized.select(F.explode("t").alias("token"), "id", F.size("t").alias("length"))
-    met = posts.join(asked.select("token").distinct(), "token", "left_semi")
-    df = met.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df.select("token", idf.alias("idf"), "mean"), "token")
-    part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = met.join(weighed, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored.where("score > 0"), k)
+    hashed = lambda t: F.transform(t, lambda x: F.xxhash64(x))
+    indexed = checkpoint(rows.select(F.col(id_col).cast("string").alias("id"), hashed(C.tokens(F.col(text_col))).alias("t")).where(F.size("t") > 0))
+    wanted = hashed(F.array_except(C.tokens(F.col("query")), F.array(*map(F.lit, stop_words)).cast("array<string>")))
+    asked = checkpoint(queries.select(F.col("query_id").cast("string").alias("query_id"), F.explode(wanted).alias("token")))
+    stats = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
+    tokens = small(checkpoint(asked.select("token").distinct()))
+    df = indexed.select(F.explode("t").alias("token")).join(tokens, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(stats["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(small(checkpoint(df.select("token", idf.alias("idf")))), "token").groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct("token", "idf")).alias("x"))
+    of_query = weighed.select("id", F.col("x.token").alias("items"), F.col("x.idf").alias("weights"), F.lit(1.0).alias("scale"))
+    scale = (K1 + 1) / (1 + K1 * (1 - B + B * F.size("t") / F.lit(float(stats["mean"] or 1.0))))
+    of_text = indexed.select("id", F.col("t").alias("items"), F.lit(None).cast("array<double>").alias("weights"), scale.alias("scale"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                scales, idfs = np.frombuffer(row["scales"]), np.frombuffer(row["q_weights"])
+                ids, places = row["ids"], _places(row["ids"])
+                found: tuple[list, list, list] = ([], [], [])
+                for q, at, which in meeting(*(np.frombuffer(row[n], dtype=np.int64) for n in ("q_ends", "q_items", "ends", "items"))):
+                    scores = np.bincount(at, weights=idfs[which], minlength=len(ids)) * scales
+                    rounded = np.floor(scores * 1e6 + 0.5).astype(np.int64)
+                    best = _best(rounded, places, k)
+                    best = best[rounded[best] > 0]
+                    found[0].extend([row["q_ids"][q]] * len(best))
+                    found[1].extend(ids[i] for i in best)
+                    found[2].extend(rounded[best] / 1e6)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())], ["query_id", "id", "score"])
+
+    met = pairs_of_blocks(pack_sets(of_query, ASKED), pack_sets(of_text, SETS))
+    return top(met.mapInArrow(run, "query_id string, id string, score double"), k)
+
+
+def _places(ids: Sequence[str | None]) -> np.ndarray:
+    """Where each id comes in Spark's order of text, nulls first."""
+    places = np.empty(len(ids), dtype=np.int64)
+    places[np.array(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, (ids[i] or "").encode())), dtype=np.int64)] = np.arange(len(ids))
+    return places
+
+
+def _best(rounded: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """The k rows of the highest rounded scores, ties by place: one whole number says both."""
+    most = min(k, len(rounded))
+    return np.argpartition(places - rounded * len(places), most - 1)[:most]
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
@@ -86,23 +121,22 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     A stated set of queries against all rows, in blocks: packed blocks of both sides meet, a matrix product gives
     each block's best k for each query by rounded score and id, and only those are shuffled.
     """
-    asked = _packed(queries.select(F.col("query_id").alias("id"), "embedding")).select("dim", F.col("ids").alias("q_ids"), F.col("units").alias("q_units"))
-    pairs = _packed(vectors).join(asked, "dim")
+    asked = _packed(queries.select(F.col("query_id").alias("id"), "embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                if row["dim"] != row["q_dim"]:
+                    continue
                 x = np.frombuffer(row["units"]).reshape(-1, row["dim"])
                 q = np.frombuffer(row["q_units"]).reshape(-1, row["dim"])
-                # in the order of ids, so that one whole number says both the rounded score and the place of a tie
-                by_id = np.array(sorted(range(len(x)), key=lambda i: (row["ids"][i] is not None, (row["ids"][i] or "").encode())), dtype=np.int64)
-                scores = q @ x[by_id].T
+                scores, places = q @ x.T, _places(row["ids"])
                 rounded = (np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5)).astype(np.int64)
-                most = min(k, len(x))
-                at = np.argpartition(np.arange(len(x)) - rounded * len(x), most - 1, axis=1)[:, :most]
-                who = np.repeat(np.arange(len(q)), most)
-                yield pa.RecordBatch.from_arrays([pa.array(row["q_ids"]).take(pa.array(who)), pa.array(row["ids"]).take(pa.array(by_id[at].reshape(-1))), pa.array(np.take_along_axis(rounded, at, 1).reshape(-1) / 1e6)], ["query_id", "id", "score"])
+                at = np.stack([_best(r, places, k) for r in rounded])
+                who = np.repeat(np.arange(len(q)), at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(row["q_ids"]).take(pa.array(who)), pa.array(row["ids"]).take(pa.array(at.reshape(-1))), pa.array(np.take_along_axis(rounded, at, 1).reshape(-1) / 1e6)], ["query_id", "id", "score"])
 
+    pairs = pairs_of_blocks(asked, _packed(vectors))
     found = pairs.mapInArrow(run, "query_id string, id string, score double")
     return top(found, k)
 

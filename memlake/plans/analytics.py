@@ -194,8 +194,8 @@ def d18_affix_pairs(spark, sf):
 
 @Q.add(f"WITH {PAIRS} SELECT coalesce(claim_key, '(none)') AS claim_key, count(DISTINCT pair_id) AS n, min(pair_id) AS first_pair FROM pairs WHERE resolution IS NULL GROUP BY 1")
 def d19_claim_groups(spark, sf):
-    open_ = pairs(spark, sf).where("resolution is null").dropDuplicates(["pair_id"])
-    return open_.groupBy(F.coalesce("claim_key", F.lit("(none)")).alias("claim_key")).agg(F.count(F.lit(1)).alias("n"), F.min("pair_id").alias("first_pair"))
+    open_ = pairs(spark, sf).where("resolution is null")
+    return open_.groupBy(F.coalesce("claim_key", F.lit("(none)")).alias("claim_key")).agg(F.countDistinct("pair_id").alias("n"), F.min("pair_id").alias("first_pair"))
 
 
 @Q.add(f"""WITH {RECORDS}, m AS (SELECT scene, priority % 20 AS step, 's' || (seq % 40) AS session, id FROM records WHERE type IN ('work_method', 'tool_experience')),

@@ -58,7 +58,7 @@ def score_sql(a: str, b: str) -> str:
     return f"round(greatest({i3} / nullif(len({a}.g3) + len({b}.g3) - {i3}, 0), 2 * {i2} / nullif(len({a}.g2) + len({b}.g2), 0)), 4)"
 
 
-@Q.add(f"""WITH {BUNDLE}, e AS (SELECT conv_id || ':' || turn AS id, text AS content FROM conversations WHERE conv_id < 40), n AS (SELECT *, {KEY.format('content')} AS t FROM b), m AS (SELECT *, {KEY.format('content')} AS t FROM e),
+@Q.add(f"""WITH {BUNDLE}, e AS (SELECT conv_id || ':' || turn AS id, text AS content FROM conversations), n AS (SELECT *, {KEY.format('content')} AS t FROM b), m AS (SELECT *, {KEY.format('content')} AS t FROM e),
 bg AS (SELECT *, {gram_sql(3, 't')} AS g3, {gram_sql(2, 't')} AS g2 FROM n), eg AS (SELECT *, {gram_sql(3, 't')} AS g3, {gram_sql(2, 't')} AS g2 FROM m),
 dups AS (SELECT DISTINCT bg.id FROM bg JOIN eg ON bg.t = eg.t), s AS (SELECT bg.id, eg.id AS e, {score_sql('bg', 'eg')} AS score FROM bg, eg WHERE bg.id NOT IN (SELECT id FROM dups)),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, e) AS k FROM s WHERE score >= 0.3), best AS (SELECT id, max(score) AS best, count(*) AS matched FROM k WHERE k <= 3 GROUP BY id),
@@ -73,11 +73,11 @@ def k4_import_plan(spark, sf):
     b = read(spark, sf, "benchmark").join(first, F.col("item_id") == F.col("conv_id"), "left")
     content = F.when(k % 4 == 1, F.col("first_text")).when(k % 4 == 2, F.concat(F.left("text", F.lit(80)), F.lit(" "), F.left("text", F.lit(40)))).otherwise(F.col("text"))
     bundle = b.select(k.alias("seq"), F.concat(F.lit("b"), k.cast("string")).alias("id"), content.alias("content"))
-    existing = messages(spark, sf).where("conv_id < 40").select("id", F.col("text").alias("content"))
+    existing = messages(spark, sf).select("id", F.col("text").alias("content"))
     return O.import_plan(bundle, existing)
 
 
-DECIDED = "d AS (SELECT o_orderkey AS seq, 'run' || (o_orderkey % 7) AS run_id, 'r' || (o_orderkey % 900) AS winner, 'r' || o_custkey AS loser, CASE WHEN o_orderpriority LIKE '1%' THEN 'hard' ELSE 'conditional' END AS kind, o_orderkey % 3 = 0 AS in_batch FROM orders WHERE o_orderkey % 10 = 0)"
+DECIDED = "d AS (SELECT o_orderkey AS seq, 'run' || (o_orderkey % 7) AS run_id, 'r' || (o_orderkey % 900) AS winner, 'r' || o_custkey AS loser, CASE WHEN o_orderpriority LIKE '1%' THEN 'hard' ELSE 'conditional' END AS kind, o_orderkey % 3 = 0 AS in_batch FROM orders)"
 
 
 @Q.add(f"""WITH {DECIDED}, x AS (SELECT *, sha256('pair/v1' || chr(10) || length(run_id) || ':' || run_id || chr(10) || length(winner) || ':' || winner || chr(10) || length(loser) || ':' || loser || chr(10)) AS pair_id FROM d),
@@ -85,7 +85,7 @@ u AS (SELECT pair_id, arg_min(kind, seq) AS kind, min(seq) AS seq, arg_min(in_ba
 SELECT seq, pair_id, CASE WHEN kind <> 'hard' OR pair_id IN (SELECT pair_id FROM h) THEN 'pending' WHEN in_batch THEN 'unparked' ELSE 'auto' END AS fate FROM u""")
 def k5_freeze_pairs(spark, sf):
     k = F.col("o_orderkey")
-    d = read(spark, sf, "orders").where("o_orderkey % 10 = 0").select(k.alias("seq"), F.concat(F.lit("run"), (k % 7).cast("string")).alias("run_id"), F.concat(F.lit("r"), (k % 900).cast("string")).alias("winner"), F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("loser"), F.when(F.col("o_orderpriority").startswith("1"), "hard").otherwise("conditional").alias("kind"), (k % 3 == 0).alias("in_batch"))
+    d = read(spark, sf, "orders").select(k.alias("seq"), F.concat(F.lit("run"), (k % 7).cast("string")).alias("run_id"), F.concat(F.lit("r"), (k % 900).cast("string")).alias("winner"), F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("loser"), F.when(F.col("o_orderpriority").startswith("1"), "hard").otherwise("conditional").alias("kind"), (k % 3 == 0).alias("in_batch"))
     existing = d.where("seq % 70 = 0").select(C.input_digest(F.array("run_id", "winner", "loser"), "pair/v1").alias("pair_id"))
     return O.freeze_pairs(d, existing, 40, 100)
 
@@ -198,15 +198,14 @@ def a5_snapshot_manifest(spark, sf):
     return merges.snapshot_manifest("records", records(spark, sf)).union(merges.snapshot_manifest("messages", messages(spark, sf)))
 
 
-@Q.add(rf"""WITH {RECORDS} SELECT id, sha256(trim(regexp_replace(replace(replace(nfc_normalize(content), 'ﬁ', 'fi'), chr(8203), ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS key FROM records WHERE NOT regexp_matches(content, '[^\x00-\x7FÀ-ÿ]')""")
+@Q.add(rf"""WITH {RECORDS} SELECT id, sha256(trim(regexp_replace(replace(replace(nfc_normalize(content), 'ﬁ', 'fi'), chr(8203), ''), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS key FROM records""")
 def h3_dedupe_key(spark, sf):
-    rows = records(spark, sf).where(~F.col("content").rlike(r"[^\x00-\x7FÀ-ÿ]"))
-    return O.dedupe_key(rows).select("id", F.sha2("key", 256).alias("key"))
+    return O.dedupe_key(records(spark, sf)).select("id", F.sha2("key", 256).alias("key"))
 
 
-@Q.add(rf"""WITH {RECORDS}, h AS (SELECT id, substr(sha256({KEY.format('content')}), 1, 16) AS hash FROM records WHERE NOT regexp_matches(content, '[^\x00-\x7FÀ-ÿ]')) SELECT id, hash, 'mp_' || substr(sha256('main|' || hash), 1, 16) AS bundle_id FROM h""")
+@Q.add(rf"""WITH {RECORDS}, h AS (SELECT id, substr(sha256({KEY.format('content')}), 1, 16) AS hash FROM records) SELECT id, hash, 'mp_' || substr(sha256('main|' || hash), 1, 16) AS bundle_id FROM h""")
 def h5_bundle_ids(spark, sf):
-    rows = O.dedupe_key(records(spark, sf).where(~F.col("content").rlike(r"[^\x00-\x7FÀ-ÿ]")))
+    rows = O.dedupe_key(records(spark, sf))
     hashed = F.substring(F.sha2(F.lower("key"), 256), 1, 16)
     return rows.select("id", hashed.alias("hash")).withColumn("bundle_id", F.concat(F.lit("mp_"), F.substring(F.sha2(F.concat(F.lit("main|"), "hash"), 256), 1, 16)))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.operators import graph as O
+from memlake.operators.retrieval import vector_search
 from memlake.plans.registry import Queries
+from memlake.plans.retrieval import vector_sql
 from memlake.sources.derived import DAY, NOW, RECORDS, epoch_ms, read, records
 
 Q = Queries()
@@ -171,7 +173,8 @@ def j14_edge_history(spark, sf):
     return O.edge_history(o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("from_id"), F.lit("status").alias("relation"), F.col("o_orderstatus").alias("to_id"), F.col("o_orderkey").alias("seq"), epoch_ms(F.col("o_orderdate")).alias("valid_from_ms")))
 
 
-@Q.add()
+@Q.add("""WITH RECURSIVE n AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || chr(1) || lower(p_name) AS key FROM part UNION SELECT CAST(p_partkey AS VARCHAR), p_brand || chr(1) || lower(p_type || ' ' || p_size) FROM part),
+l AS (SELECT DISTINCT a.id AS a, b.id AS b FROM n a JOIN n b ON a.key = b.key), r(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a) SELECT id, min(other) AS entity FROM r GROUP BY id""")
 def j13_entity_resolution(spark, sf):
     part = read(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
@@ -243,20 +246,30 @@ def h13_fact_keys(spark, sf):
     return swept(spark, sf)[1].groupBy("key", "changed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@Q.add(f"""WITH {NODES}, a AS (SELECT DISTINCT unnest({TOK.format("p_type || ' nation_3 red'")}) AS token FROM part WHERE p_partkey < 3), k AS (SELECT DISTINCT id, unnest([lower(trim(name)), lower(trim(tags))]) AS key FROM nodes),
+@Q.add(f"""WITH {NODES}, a AS (SELECT DISTINCT unnest({TOK.format("p_type || ' nation_3 red'")}) AS token FROM part), k AS (SELECT DISTINCT id, unnest([lower(trim(name)), lower(trim(tags))]) AS key FROM nodes),
 f AS (SELECT key, min(id) AS first FROM k WHERE key <> '' GROUP BY 1), cov AS (SELECT DISTINCT id FROM k JOIN f USING (key) WHERE id <> first), l AS (SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM cov)),
 r AS (SELECT id, updated_ms, len(list_intersect({TOK.format("name || ' ' || tags || ' ' || state")}, (SELECT list(token) FROM a))) > 0 AS related FROM l) SELECT id, related FROM r ORDER BY related DESC, updated_ms DESC, id LIMIT 60""")
 def f7_context_nodes(spark, sf):
-    texts = read(spark, sf, "part").where("p_partkey < 3").select(F.concat("p_type", F.lit(" nation_3 red")).alias("text"))
+    texts = read(spark, sf, "part").select(F.concat("p_type", F.lit(" nation_3 red")).alias("text"))
     return O.context_nodes(texts, nodes(spark, sf), 60)
 
 
-@Q.add(f"""WITH {RECORDS}, {NODES}, {EDGES}, {SOURCES}, {FACTS}, {ASKED_SQL}, {SEARCH}, d AS (SELECT query_id, record_id, min((rank, part, pos)) AS o FROM (SELECT query_id, record_id, rank, 0 AS part, pos FROM hits JOIN sources USING (id) UNION ALL SELECT query_id, record_id, rank, 1, pos FROM hits JOIN facts USING (id) WHERE facts.status = 'active') GROUP BY 1, 2),
-p AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM d) SELECT query_id, record_id, place FROM p JOIN records r ON p.record_id = r.id WHERE r.retired_reason IS NULL AND (r.scope = 'global' OR coalesce(r.workspace_id = 'w1', false))""")
+SEEDED = f"""v0 AS (SELECT 'q' || vec_id AS query_id, embedding FROM embeddings WHERE vec_id BETWEEN 1 AND 4), v1 AS (SELECT 'p' || vec_id AS id, embedding FROM embeddings WHERE 'p' || vec_id IN (SELECT id FROM vis)), {vector_sql('near', 'v0', 'v1', 3)},
+seeded AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY lane, rank) AS rank FROM (SELECT query_id, id, 0 AS lane, rank FROM hits UNION ALL SELECT query_id, id, 1, rank FROM near WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM hits)))"""
+
+
+@Q.add(f"""WITH {RECORDS}, {NODES}, {EDGES}, {SOURCES}, {FACTS}, {ASKED_SQL}, {SEARCH}, {SEEDED}, d AS (SELECT query_id, record_id, min((rank, part, pos)) AS o FROM (SELECT query_id, record_id, rank, 0 AS part, pos FROM seeded JOIN sources USING (id) UNION ALL SELECT query_id, record_id, rank, 1, pos FROM seeded JOIN facts USING (id) WHERE facts.status = 'active') GROUP BY 1, 2),
+h AS (SELECT DISTINCT query_id, b AS id FROM seeded JOIN ways ON seeded.id = a WHERE (query_id, b) NOT IN (SELECT (query_id, id) FROM seeded)), r AS (SELECT query_id, record_id, min((-updated_ms, h.id, pos)) AS o FROM h JOIN vis ON h.id = vis.id JOIN sources ON sources.id = h.id WHERE (query_id, record_id) NOT IN (SELECT (query_id, record_id) FROM d) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM r), p AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM d UNION ALL SELECT query_id, record_id, k + coalesce((SELECT count(*) FROM d WHERE d.query_id = k.query_id), 0) FROM k WHERE k <= 64)
+SELECT query_id, record_id, place FROM p JOIN records r ON p.record_id = r.id WHERE r.retired_reason IS NULL AND (r.scope = 'global' OR coalesce(r.workspace_id = 'w1', false))""")
 def i8_graph_lane(spark, sf):
     from memlake.functions import columns as C
 
-    none = edges(spark, sf).where("false")
-    found_ids = O.expand_to_records(found(spark, sf).select("query_id", "id", "rank"), nodes(spark, sf), none, sources(spark, sf), facts(spark, sf))
+    seen_nodes = O.visible(nodes(spark, sf))
+    e = read(spark, sf, "embeddings")
+    asked_vectors = e.where("vec_id between 1 and 4").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding")
+    of_nodes = e.select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), "embedding").join(seen_nodes.select("id"), "id", "left_semi")
+    hits = O.with_seeds(found(spark, sf).select("query_id", "id", "rank"), vector_search(asked_vectors, of_nodes, 3))
+    found_ids = O.expand_to_records(hits, nodes(spark, sf), edges(spark, sf), sources(spark, sf), facts(spark, sf))
     seen = records(spark, sf).where("retired_reason is null").where(C.scope_visible(F.col("scope"), F.col("workspace_id"), F.lit("w1"))).select(F.col("id").alias("record_id"))
     return found_ids.join(seen, "record_id").select("query_id", "record_id", "place")

@@ -48,14 +48,14 @@ def e4_slot_budget(spark, sf):
     return O.slot_budget(slots, 5000)
 
 
-@Q.add(f"""WITH {RECORDS}, h AS (SELECT lang AS query_id, 'p' || (seq % 3) AS provider, row_number() OVER (PARTITION BY lang, seq % 3 ORDER BY seq) AS rank, {KEY.format('content')} AS key, seq FROM records WHERE seq < 400),
+@Q.add(f"""WITH {RECORDS}, h AS (SELECT lang AS query_id, 'p' || (seq % 3) AS provider, row_number() OVER (PARTITION BY lang, seq % 3 ORDER BY seq) AS rank, {KEY.format('content')} AS key, seq FROM records),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY rank, provider) AS again FROM h), d AS (SELECT query_id, provider, seq, row_number() OVER (PARTITION BY query_id, provider ORDER BY rank) AS rank FROM f WHERE again = 1),
 p AS (SELECT query_id, provider, seq, row_number() OVER (PARTITION BY query_id ORDER BY rank, provider) AS place FROM d) SELECT * FROM p WHERE place <= 60""")
 def e5_rank_interleave(spark, sf):
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("lang", F.col("seq") % 3).orderBy("seq"))
-    hits = records(spark, sf).where("seq < 400").select(F.col("lang").alias("query_id"), F.concat(F.lit("p"), (F.col("seq") % 3).cast("string")).alias("provider"), rank.alias("rank"), "content", "seq")
+    hits = records(spark, sf).select(F.col("lang").alias("query_id"), F.concat(F.lit("p"), (F.col("seq") % 3).cast("string")).alias("provider"), rank.alias("rank"), "content", "seq")
     return O.interleave(hits, 60).select("query_id", "provider", "seq", "place")
 
 
@@ -168,7 +168,10 @@ def f6_conflict_queue(spark, sf):
     return O.conflict_queue(pairs(spark, sf), 946_684_800_000, 50).select("pair_id", "since")
 
 
-@Q.add()
+@Q.add("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS id, replace(p_name, ' ', '-') AS stem FROM part), taken AS (SELECT replace(p_name, ' ', '-') || '-3' AS name FROM part WHERE p_partkey % 50 = 0),
+c AS (SELECT stem, n, CASE WHEN n = 1 THEN stem ELSE left(stem, CAST(39 - length(CAST(n AS VARCHAR)) AS INT)) || '-' || n END AS name FROM (SELECT DISTINCT stem FROM s), range(1, 1000) r(n)),
+f AS (SELECT stem, name, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM c WHERE name NOT IN (SELECT name FROM taken)), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY id) AS k FROM s)
+SELECT r.id, coalesce(f.name, 'mem-' || right(r.id, 8)) AS name FROM r LEFT JOIN f ON r.stem = f.stem AND r.k = f.k""")
 def e11_unique_name_alloc(spark, sf):
     part = read(spark, sf, "part")
     stems = part.select(F.col("p_partkey").cast("string").alias("id"), F.regexp_replace("p_name", " ", "-").alias("stem"))

@@ -49,10 +49,25 @@ def a4_scan_journal_tail(spark, sf):
     return B.tail(read(spark, sf, "events").select(F.col("event_id").alias("seq"), epoch_ms(F.col("ts")).alias("ts_ms"), F.col("event_type").alias("kind")), 100, "click").select("seq", "ts_ms")
 
 
-@Q.add(rf"""WITH {RECORDS}, c AS (SELECT id, scene, left(content, 40) AS head, priority FROM records WHERE list_contains(tags, 't3')) SELECT id, id || ',' || scene || ',' || CASE WHEN regexp_matches(head, '[",\r\n]') THEN '"' || replace(head, '"', '""') || '"' ELSE head END || ',' || priority AS line FROM c""")
+QUOTED = r"""CASE WHEN regexp_matches({0}, '[",\r\n]') THEN '"' || replace({0}, '"', '""') || '"' ELSE {0} END"""
+
+
+@Q.add(rf"""WITH {RECORDS}, rooms AS (SELECT 'rooms' AS kind, t AS o1, '' AS o2, t || ',' || count(*) AS line FROM (SELECT unnest(tags) AS t FROM records) GROUP BY t),
+orphans AS (SELECT 'orphans' AS kind, '' AS o1, id AS o2, id || ',' || scene || ',' || {QUOTED.format('content')} AS line FROM records WHERE len(tags) = 0), tagged AS (SELECT 'tag' AS kind, '' AS o1, id AS o2, id || ',' || scene || ',' || {QUOTED.format('content')} || ',' || priority AS line FROM records WHERE list_contains(tags, 't3')),
+every AS (SELECT * FROM rooms UNION ALL SELECT * FROM orphans UNION ALL SELECT * FROM tagged), k AS (SELECT kind, line, row_number() OVER (PARTITION BY kind ORDER BY o1, o2) AS place, count(*) OVER (PARTITION BY kind) > 200 AS truncated FROM every)
+SELECT kind, CAST(place AS INT) AS place, md5(line) AS line_md5, truncated FROM k WHERE place <= 200""")
 def a6_csv_export(spark, sf):
-    rows = records(spark, sf).where(F.array_contains("tags", "t3"))
-    return rows.select("id", B.csv_line(F.col("id"), F.col("scene"), F.left("content", F.lit(40)), F.col("priority")).alias("line"))
+    """Rooms with their counts, records without a tag, and those of one tag: at most 200 lines each, and whether there are more."""
+    rows = records(spark, sf)
+    rooms = rows.select(F.explode("tags").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    content = [F.col("id"), F.col("scene"), F.col("content")]
+    kinds = {
+        "rooms": B.csv_export(rooms, [F.col("t"), F.col("n")], [F.col("t")], 200),
+        "orphans": B.csv_export(rows.where(F.size("tags") == 0), content, [F.col("id")], 200),
+        "tag": B.csv_export(rows.where(F.array_contains("tags", "t3")), [*content, F.col("priority")], [F.col("id")], 200),
+    }
+    parts = [lines.select(F.lit(kind).alias("kind"), "place", F.md5("line").alias("line_md5"), "truncated") for kind, lines in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @Q.add(f"""WITH {RECORDS} SELECT type || '/' || id || '.md' || CASE WHEN retired_reason IS NOT NULL THEN '.disabled' ELSE '' END AS rel_path, md5('---' || chr(10) || 'type: ' || type || chr(10) || 'priority: ' || priority || chr(10) || '---' || chr(10) || content || chr(10)) AS text_md5 FROM records""")

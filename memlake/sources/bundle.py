@@ -82,6 +82,14 @@ def csv_line(*columns: Column) -> Column:
     return F.concat_ws(",", *quoted)
 
 
+def csv_export(rows: DataFrame, columns: list[Column], order: list[Column], most: int) -> DataFrame:
+    """(place, line, truncated): the first `most` rows as CSV lines, and whether there are more."""
+    ranked = rows.select(csv_line(*columns).alias("line"), F.struct(*order).alias("o"))
+    first = ranked.orderBy("o").limit(most + 1)  # one more tells whether any are cut
+    placed = first.withColumn("place", F.row_number().over(W.orderBy("o"))).withColumn("truncated", F.max("place").over(W.partitionBy()) > most)
+    return placed.where(F.col("place") <= most).select("place", "line", "truncated")
+
+
 def tail(journal: DataFrame, most: int, kind: str | None = None) -> DataFrame:
     """The last entries of a journal: a bounded top-k."""
     rows = journal.where(F.col("kind") == kind) if kind else journal

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memlake.operators.shared import checkpoint, small
+
 #: Messages that an open turn keeps at most; the oldest go first.
 BUFFER = 500
 
@@ -21,7 +23,7 @@ def run_to_table(stream: DataFrame) -> DataFrame:
     spark: SparkSession = stream.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="memlake-stream-")
     at = f"{shared}/stream-{uuid.uuid4().hex}"
@@ -122,8 +124,8 @@ def obsolete_notices(retired: DataFrame, injected: DataFrame, most: int = 8) ->
 def outbox_enqueue(changes: DataFrame, targets: DataFrame, shadow: DataFrame, live: DataFrame, families: list[str]) -> DataFrame:
     """(driver, space, id, intent): changes (id, intent, family) for each enabled target, a family filter on what is added,
     a shadow row required for what is forgotten, jobs that wait already left out. Targets are a small table of settings."""
-    enabled = targets.where("enabled").select("driver", "space")
-    jobs = changes.join(F.broadcast(enabled.limit(1000)))
+    enabled = checkpoint(targets.where("enabled").select("driver", "space").distinct())
+    jobs = changes.join(small(enabled))  # each change for each target is what is asked for
     known = jobs.join(shadow.select("driver", "space", "id", F.lit(True).alias("known")), ["driver", "space", "id"], "left")
     wanted = known.where(((F.col("intent") != "add") | F.col("family").isin(*families)) & ((F.col("intent") != "forget") | F.col("known")))
     return wanted.join(live, ["driver", "space", "id", "intent"], "left_anti").select("driver", "space", "id", "intent")
