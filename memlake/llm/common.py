@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.operators.shared import checkpoint
+
+__all__ = ["WORD", "checkpoint", "shuffle_partitions", "table", "text_or_empty", "uniform"]
+
 #: One word: everything but the space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it from there from now on.
-
-    The folder is the one of spark.checkpoint.dir. Only where that is unset and Spark runs in
-    one process (as in tests) is a temporary folder taken; on a cluster that is an error.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not (context.master or "").startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="memlake-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,48 +1,5 @@
-"""Connected components of a graph of links."""
+"""Connected components of a graph of links: those of the library, under the name that the corpus operators use."""
 
-from __future__ import annotations
+from memlake.operators.shared import components
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from memlake.llm.common import checkpoint
-
-#: Most nodes of a round whose moves are broadcast; with more, links are shuffled to them.
-BROADCAST_NODES = 40_000
-
-
-def components(edges: DataFrame, order: int = 3) -> DataFrame:
-    """(node, root) for each end of a link (a, b): root is the least node that links lead to.
-
-    Rounds of contraction: every node goes over to its least neighbour (or stays, if it is less itself),
-    links move along, loops and repeats go. The first rounds take the order of the nodes, which ends stars
-    at once; later ones alternate with an order by hash, new each time, in which long chains shrink by a
-    constant factor. Nothing but numbers of rows comes to the driver; few moves are broadcast, so that
-    the links of one hub aren't dealt to one task.
-    """
-    edges = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    moves, turn = [], 0
-    while not edges.isEmpty():
-        rank = (lambda c: F.lit(0).cast("long")) if turn < order or turn % 2 else (lambda c, t=turn: F.xxhash64(F.col(c), F.lit(t)))
-        both = edges.union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("near"))
-        move = checkpoint(near.select(F.col("a").alias("node"), F.least(F.struct(rank("a").alias("r"), F.col("a").alias("to")), F.col("near"))["to"].alias("to")))
-        move = F.broadcast(move) if move.count() <= BROADCAST_NODES else move
-        moves.append(move)
-        from_a = move.select(F.col("node").alias("a"), F.col("to").alias("x"))
-        from_b = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        moved = edges.join(from_a, "a").join(from_b, "b").where("x <> y")
-        edges = checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        turn += 1
-    if not moves:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-    def follow(reached: DataFrame, move: DataFrame) -> DataFrame:
-        on = move.select(F.col("node").alias("at"), F.col("to").alias("next"))
-        return reached.join(on, reached["root"] == on["at"], "left").select("node", F.coalesce("next", "root").alias("root"))
-
-    reached = reduce(follow, moves[1:], moves[0].select("node", F.col("to").alias("root")))
-    least = reached.groupBy("root").agg(F.min("node").alias("least"))
-    return reached.join(least, "root").select("node", F.col("least").alias("root"))
+__all__ = ["components"]
