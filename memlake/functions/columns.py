@@ -185,22 +185,45 @@ def entity_name(name: Column) -> Column:
     return F.lower(squeezed(name))
 
 
+# What hosts put into messages, and what is left in its place; fenced code; phrases of messages that say nothing.
+INJECTED = (
+    (r"(?s)<(relevant-memories|user-persona|relevant-scenes|scene-navigation|memory-tools-guide|current_task_context)>.*?</\1>", ""),
+    (r"(?s)<history_task_context.*?</history_task_context>", ""),
+    (r"(?s)(?:Conversation info|Sender|Thread starter|Replied message|Forwarded message context|Chat history since last reply)\s*\(untrusted.*?\):\s*```json\s*.*?```", ""),
+    (r"(?s)```json\s*\{.*?\"session.*?\}\s*```", ""),
+    (r"\[\[reply_to[^\]]*\]\]\s*", ""),
+    (r"(?s)¥¥\[.*?\]¥¥", ""),
+    (r"(?m)^\[[\w\d\-:+ ]+\]\s*", ""),
+    (r"\[media attached:[^\]]*\]\s*", ""),
+    (r"(?s)To send an image back,.*?(?:Keep caption in the text body\.)\s*", ""),
+    (r"(?m)^System:\s*\[[\s\S]*?$", ""),
+    (r"(?i)data:image/[a-z+]+;base64,[A-Za-z0-9+/=]+", ""),
+    (r"\x00", ""),
+    (r"\n{3,}", "\n\n"),
+)
+FENCED = ((r"(?s)```[^\n]*\n.*?```", ""), (r"\n{3,}", "\n\n"))
+NOISE = (r"^\(session bootstrap\)$", r"^A new session was started via", r"^✅\s*New session started", r"^Pre-compaction memory flush", r"^NO_REPLY\s*$")
+
+
+#: What is cut from both ends of a message.
+SPACES = " \t\n\x0b\x0c\r\xa0\ufeff\u2028\u2029\u3000"
+
+
+def _cut(text: Column, rules: tuple) -> Column:
+    return F.btrim(reduce(lambda c, rule: F.regexp_replace(c, *rule), rules, text), F.lit(SPACES))
+
+
 def sanitized(text: Column) -> Column:
-    """A message without injected context, attachments and code of other tools; blank lines folded."""
-    rules = [
-        (r"(?s)<(relevant-memories|user-persona|relevant-scenes|scene-navigation|memory-tools-guide|current_task_context)>.*?</\1>", ""),
-        (r"(?s)<history_task_context.*?</history_task_context>", ""),
-        (r"\[\[reply_to[^\]]*\]\]\s*", ""),
-        (r"(?m)^\[[\w\d\-:+ ]+\]\s*", ""),
-        (r"\[media attached:[^\]]*\]\s*", ""),
-        (r"(?i)data:image/[a-z+]+;base64,[A-Za-z0-9+/=]+", ""),
-        (r"\x00", ""),
-        (r"\n{3,}", "\n\n"),
-    ]
-    return F.trim(reduce(lambda c, rule: F.regexp_replace(c, *rule), rules, text))
+    """A message without injected context, metadata, attachments and host directives; blank lines folded."""
+    return _cut(text, INJECTED)
+
+
+def without_code(text: Column) -> Column:
+    """An answer without its fenced code."""
+    return _cut(text, FENCED)
 
 
 def capturable(text: Column) -> Column:
-    t = F.trim(text)
-    noise = (t == "(session bootstrap)") | t.startswith("A new session was started via") | t.startswith("Pre-compaction memory flush") | t.rlike(r"^(✅\s*New session started|NO_REPLY\s*$)")
+    t = F.btrim(text, F.lit(SPACES))
+    noise = reduce(lambda x, y: x | y, (t.rlike(pattern) for pattern in NOISE))
     return F.coalesce((t != "") & ~noise & ~text.startswith("/"), F.lit(False))

@@ -21,19 +21,30 @@ def m2_injection_precision(spark, sf):
     return E.injection_precision(lines, gold(spark, sf).withColumn("stale", F.left("gold", F.lit(12))))
 
 
-@Q.add()
+def flood_sql(n: int, level: int) -> str:
+    return f"""x{level} AS (SELECT id, content FROM records UNION ALL SELECT 'n' || id, array_to_string(list_reverse(string_split(content, ' ')), ' ') FROM records WHERE seq < {n}), {bm25_sql(f'f{level}', f'x{level}', 'probes', 5)},
+m{level} AS (SELECT {level} AS level, g.query_id, g.kind, min(rank) FILTER (contains(r.content, g.gold)) AS best FROM gold g LEFT JOIN f{level} f ON f.query_id = g.query_id LEFT JOIN x{level} r ON f.id = r.id GROUP BY 2, 3)"""
+
+
+LEVELS = (0, 100, 1000)
+
+
+@Q.add(f"""WITH {RECORDS}, {PROBES}, {GOLD}, {', '.join(flood_sql(n, k) for k, n in enumerate(LEVELS))}, m AS ({' UNION ALL '.join(f'SELECT * FROM m{k}' for k in range(len(LEVELS)))}),
+r AS (SELECT level, coalesce(kind, 'all') AS kind, count(*) AS probes, round(avg(CASE WHEN best IS NULL THEN 0 ELSE 1 END), 6) AS recall, round(avg(coalesce(1 / best, 0)), 6) AS mrr FROM m GROUP BY GROUPING SETS ((level, kind), (level)))
+SELECT level, kind, probes, recall, mrr, round(recall - first_value(recall) OVER (PARTITION BY kind ORDER BY level), 6) AS delta FROM r""")
 def m3_flood_curve(spark, sf):
-    """Recall as unrelated records, made of the corpus's own words, are added: one run for each level."""
-    rows = records(spark, sf).select("id", "content")
-    noise = rows.select(F.concat(F.lit("n"), "id").alias("id"), F.reverse(F.split(F.col("content"), " ")).alias("w")).select("id", F.array_join("w", " ").alias("content"))
-    found = None
-    for level in (0, 1, 2):
-        taken = F.abs(F.xxhash64("id")) % 2 < level
-        flooded = rows.unionByName(noise.where(taken))
+    """Recall as unrelated records are added, made of the corpus's own words: one run for each level, and the change to the first."""
+    from pyspark.sql import Window as W
+
+    rows = records(spark, sf).select("id", "seq", "content")
+    backwards = F.array_join(F.reverse(F.split(F.col("content"), " ")), " ")
+    found = []
+    for level, n in enumerate(LEVELS):
+        flooded = rows.select("id", "content").union(rows.where(F.col("seq") < n).select(F.concat(F.lit("n"), "id"), backwards))
         hits = O.bm25(probes(spark, sf), flooded, 5).join(flooded, "id")
-        rates = E.recall_and_mrr(hits, gold(spark, sf)).withColumn("level", F.lit(level))
-        found = rates if found is None else found.unionByName(rates)
-    return found
+        found.append(E.recall_and_mrr(hits, gold(spark, sf)).withColumn("level", F.lit(level)))
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.withColumn("delta", F.round(F.col("recall") - F.first("recall").over(W.partitionBy("kind").orderBy("level")), 6))
 
 
 def results(spark, sf):

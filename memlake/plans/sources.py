@@ -36,10 +36,10 @@ def bundles(spark, sf):
 BAD = "bad AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING conv_id % 7 = 0 OR (conv_id % 9 = 0 AND max(turn) >= 1) OR count(DISTINCT replace(text, '|', '/')) < count(*))"
 
 
-@Q.add(f"""WITH {BAD} SELECT 'b' || conv_id AS path, turn + 2 AS seq, CASE WHEN turn % 2 = 0 THEN '2026-01-02' ELSE '2026-01-03' END AS updated, CASE WHEN turn % 3 = 0 THEN '2026-01-02' ELSE '-' END AS vt, md5(replace(text, '|', '/') || '|end') AS content_md5 FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM bad)""")
+@Q.add(f"""WITH {BAD} SELECT 'b' || conv_id AS path, turn + 2 AS seq, 'work_fact' AS type, 'a:b' AS tags, CASE WHEN turn % 2 = 0 THEN '2026-01-02' ELSE '2026-01-03' END AS updated, CASE WHEN turn % 3 = 0 THEN '2026-01-02' ELSE '-' END AS vt, md5(replace(text, '|', '/') || '|end') AS content_md5 FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM bad)""")
 def a3_load_bundle(spark, sf):
     good, _ = B.load_bundle(bundles(spark, sf))
-    return good.select("path", F.col("seq").cast("long").alias("seq"), "updated", "vt", F.md5("content").alias("content_md5"))
+    return good.select("path", F.col("seq").cast("long").alias("seq"), "type", F.array_join("tags", ",").alias("tags"), "updated", "vt", F.md5("content").alias("content_md5"))
 
 
 @Q.add("SELECT event_id AS seq, (epoch_us(ts) // 1000) AS ts_ms FROM events WHERE event_type = 'click' ORDER BY 2 DESC, 1 DESC LIMIT 100")

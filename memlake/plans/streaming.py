@@ -28,8 +28,9 @@ def with_types(events):
 
 
 TURNS = f"""WITH {SESSION_EVENTS}, s AS (SELECT *, count(*) FILTER (type = 'turn/start') OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS seg FROM session_events),
-e AS (SELECT *, min(seq) FILTER (type = 'turn/end') OVER (PARTITION BY session_id, seg) AS done, min(turn) FILTER (type = 'turn/start') OVER (PARTITION BY session_id, seg) AS open FROM s WHERE seg > 0)
-SELECT session_id, open AS turn, seq, type, payload FROM e WHERE seq < done AND type LIKE '%/message'"""
+e AS (SELECT *, min(seq) FILTER (type = 'turn/end') OVER (PARTITION BY session_id, seg) AS done, min(turn) FILTER (type = 'turn/start') OVER (PARTITION BY session_id, seg) AS open,
+  CAST(count(*) FILTER (type = 'assistant/message') OVER (PARTITION BY session_id, seg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS INT) AS step FROM s WHERE seg > 0)
+SELECT session_id, open AS turn, seq, type, trim(payload) AS payload, step FROM e WHERE seq < done AND type LIKE '%/message'"""
 
 
 @Q.add(TURNS)
@@ -48,6 +49,15 @@ def l2_watermark_dedupe(spark, sf):
     return S.run_to_table(S.without_replays(stream, ["user_id", "event_type", "slot"])).select("user_id", "event_type", "slot")
 
 
+@Q.add(f"""WITH {MESSAGES}, f AS (SELECT session_id, CASE WHEN conv_id % 4 = 0 THEN 1 END AS kept, CASE WHEN conv_id % 5 = 0 THEN min(ts_ms) + 120000 END AS start_ms FROM messages WHERE conv_id % 2 = 0 GROUP BY session_id, conv_id)
+SELECT m.id FROM messages m LEFT JOIN f ON m.session_id = f.session_id WHERE (kept IS NULL OR turn IS NULL OR turn > kept) AND (start_ms IS NULL OR ts_ms >= start_ms)""")
+def l2_session_floor(spark, sf):
+    rows = messages(spark, sf)
+    own = rows.where("conv_id % 2 = 0").groupBy("session_id", "conv_id").agg(F.min("ts_ms").alias("first_ms"))
+    floors = own.select("session_id", F.when(F.col("conv_id") % 4 == 0, 1).alias("turn"), F.when(F.col("conv_id") % 5 == 0, F.col("first_ms") + 120_000).alias("start_ms"))
+    return S.above_watermark(rows, floors).select("id")
+
+
 @Q.add(f"""WITH {SESSION_EVENTS}, n AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w < {6 * HOUR} THEN 0 ELSE 1 END AS new FROM session_events WHERE session_id NOT LIKE '%7' WINDOW w AS (PARTITION BY session_id ORDER BY ts_ms, seq)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS run FROM n) SELECT session_id, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS n FROM r GROUP BY session_id, run""")
 def l3_idle_flush(spark, sf):

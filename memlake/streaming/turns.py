@@ -12,11 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from memlake.functions import columns as C
 from memlake.operators.shared import checkpoint, small
 
-#: Messages that an open turn keeps at most; the oldest go first.
-BUFFER = 500
-
 
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Run a stream over what is there now into a table of the shared folder (spark.checkpoint.dir), and read it."""
@@ -32,11 +30,21 @@ def run_to_table(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def clean_events(events: DataFrame) -> DataFrame:
+    """Events whose messages have a cleaned payload; those with nothing to keep go. Marks of turns stay."""
+    message = F.col("type").endswith("/message")
+    payload = C.sanitized(F.col("payload"))
+    payload = F.when(F.col("type") == "assistant/message", C.without_code(payload)).otherwise(payload)
+    kept = events.withColumn("payload", F.when(message, payload).otherwise(F.col("payload")))
+    return kept.where(~message | C.capturable(F.col("payload")))
+
+
 def assemble_turns(events: DataFrame) -> DataFrame:
-    """(session_id, turn, seq, type, payload): messages of a turn once its end has come, from a stream (session_id, seq, type, turn, payload).
+    """(session_id, turn, seq, type, payload, step): cleaned messages of a turn once its end has come, from a stream (session_id, seq, type, turn, payload).
 
-    State is the open turn of a session and its messages. A start drops what an open turn had; an end without a
-    start does nothing. Within a micro-batch events go by seq.
+    State is the open turn of a session and its messages, however many: none of an open turn is given up. A start drops what an
+    open turn had; an end without a start does nothing. step counts the assistant's messages so far. Within a micro-batch events
+    go by seq.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,24 +55,38 @@ def assemble_turns(events: DataFrame) -> DataFrame:
             if row.type == "turn/start":
                 turn, seqs, types, payloads = int(row.turn), [], [], []
             elif row.type == "turn/end":
-                out += [(key[0], turn, s, t, p) for s, t, p in zip(seqs, types, payloads, strict=True)] if turn is not None else []
+                step = 0
+                for s, t, p in zip(seqs, types, payloads, strict=True) if turn is not None else ():
+                    step += t == "assistant/message"
+                    out.append((key[0], turn, s, t, p, step))
                 turn, seqs, types, payloads = None, [], [], []
             elif turn is not None and row.type.endswith("/message"):
-                seqs, types, payloads = (seqs + [int(row.seq)])[-BUFFER:], (types + [row.type])[-BUFFER:], (payloads + [row.payload])[-BUFFER:]
+                seqs.append(int(row.seq))
+                types.append(row.type)
+                payloads.append(row.payload)
         state.update((turn, seqs, types, payloads))
-        yield pd.DataFrame(out, columns=["session_id", "turn", "seq", "type", "payload"])
+        yield pd.DataFrame(out, columns=["session_id", "turn", "seq", "type", "payload", "step"])
 
-    return events.groupBy("session_id").applyInPandasWithState(fold, "session_id string, turn int, seq long, type string, payload string", "turn int, seqs array<long>, types array<string>, payloads array<string>", "append", GroupStateTimeout.NoTimeout)
+    said = "session_id string, turn int, seq long, type string, payload string, step int"
+    return clean_events(events).groupBy("session_id").applyInPandasWithState(fold, said, "turn int, seqs array<long>, types array<string>, payloads array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def assembled(events: DataFrame) -> DataFrame:
     """The same over a whole table: what a start begins and an end closes."""
     order = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = events.withColumn("segment", F.count(F.when(F.col("type") == "turn/start", True)).over(order)).where("segment > 0")
+    rows = clean_events(events).withColumn("segment", F.count(F.when(F.col("type") == "turn/start", True)).over(order)).where("segment > 0")
     own = W.partitionBy("session_id", "segment")
     rows = rows.withColumn("end", F.min(F.when(F.col("type") == "turn/end", F.col("seq"))).over(own)).withColumn("open", F.min(F.when(F.col("type") == "turn/start", F.col("turn"))).over(own))
-    held = rows.where((F.col("seq") < F.col("end")) & F.col("type").endswith("/message")).withColumn("back", F.row_number().over(W.partitionBy("session_id", "segment").orderBy(F.desc("seq"))))
-    return held.where(F.col("back") <= BUFFER).select("session_id", F.col("open").alias("turn"), "seq", "type", "payload")
+    step = F.count(F.when(F.col("type") == "assistant/message", True)).over(own.orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    held = rows.withColumn("step", step.cast("int")).where((F.col("seq") < F.col("end")) & F.col("type").endswith("/message"))
+    return held.select("session_id", F.col("open").alias("turn"), "seq", "type", "payload", "step")
+
+
+def above_watermark(messages: DataFrame, floors: DataFrame) -> DataFrame:
+    """Messages (session_id, turn, ts_ms) of turns that a session hasn't kept yet and not before its start: floors (session_id, turn, start_ms), either null."""
+    rows = messages.join(floors.select("session_id", F.col("turn").alias("kept_turn"), "start_ms"), "session_id", "left")
+    new = F.col("kept_turn").isNull() | F.col("turn").isNull() | (F.col("turn") > F.col("kept_turn"))
+    return rows.where(new & (F.col("start_ms").isNull() | (F.col("ts_ms") >= F.col("start_ms")))).select(messages.columns)
 
 
 def without_replays(events: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
@@ -72,9 +94,9 @@ def without_replays(events: DataFrame, keys: list[str], delay: str = "1 hour") -
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def cost_stream(ledger: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Calls and tokens by window and model; a window comes out once the watermark has passed it."""
-    grouped = ledger.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
+def cost_stream(ledger: DataFrame, width: str = "1 day", delay: str = "1 hour", since: str | None = None) -> DataFrame:
+    """Calls and tokens by window and model; a window comes out once the watermark has passed it. Entries before `since` (a time) are past their retention."""
+    grouped = (ledger.where(F.col("ts") >= F.lit(since).cast("timestamp")) if since else ledger).withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
     return grouped.select(F.col("w.start").alias("start"), "model", "calls", "tokens")
 
 

@@ -98,7 +98,8 @@ def test_turn_brackets_and_streams_agree(spark):
         if kind == "turn/start":
             state[s] = (turn, [])
         elif kind == "turn/end" and s in state:
-            expected += [(s, state[s][0], *m) for m in state[s][1]]
+            steps = [sum(m[1] == "assistant/message" for m in state[s][1][: n + 1]) for n in range(len(state[s][1]))]
+            expected += [(s, state[s][0], *m, step) for m, step in zip(state[s][1], steps, strict=True)]
             del state[s]
         elif kind.endswith("/message") and s in state:
             state[s][1].append((k, kind, p))
@@ -117,7 +118,7 @@ def test_streaming_turns_equal_their_twin(spark, tmp_path):
     events = spark.createDataFrame([("s", 0, "turn/start", 1, None), ("s", 1, "user/message", None, "a"), ("s", 3, "turn/end", 1, None), ("t", 4, "turn/end", 1, None), ("t", 5, "user/message", None, "b"), ("s", 6, "turn/start", 2, None), ("s", 7, "user/message", None, "c")], "session_id string, seq long, type string, turn int, payload string")
     events.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
-    assert rows(turns.run_to_table(turns.assemble_turns(stream))) == rows(turns.assembled(events)) == [("s", 1, 1, "user/message", "a")]
+    assert rows(turns.run_to_table(turns.assemble_turns(stream))) == rows(turns.assembled(events)) == [("s", 1, 1, "user/message", "a", 0)]
 
 
 def test_warmup_and_backoff(spark):

@@ -1,5 +1,6 @@
 """Operators on inputs that a cap or a cut would show."""
 
+import hashlib
 import math
 import random
 import re
@@ -7,8 +8,11 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from memlake.functions import columns as C
 from memlake.operators import analytics, dedupe, filters, graph, ranking, redaction, retrieval, shared
 from memlake.plans import sources
+from memlake.sources import bundle
+from memlake.streaming import turns
 
 
 def test_vector_search_takes_ties_by_id(spark):
@@ -227,3 +231,43 @@ def test_redacted_spans(spark):
     }
     got = {r["id"]: r["text"] for r in redaction.redact(spark.createDataFrame([(t, t) for t in texts], "id string, text string")).collect()}
     assert got == texts
+
+
+def test_a_long_open_turn_loses_nothing(spark, tmp_path):
+    rows = [("s", 0, "turn/start", 1, None)] + [("s", k, "assistant/message" if k % 2 else "user/message", None, f"m{k}") for k in range(1, 1201)] + [("s", 1201, "turn/end", 1, None)]
+    rows += [("t", 0, "turn/start", 2, None), ("t", 1, "user/message", None, "/command"), ("t", 2, "user/message", None, "<user-persona>x</user-persona> hi"), ("t", 3, "assistant/message", None, "see\n```py\ncode\n```\nend"), ("t", 4, "assistant/message", None, "```\nonly\n```"), ("t", 5, "turn/end", 2, None)]
+    events = spark.createDataFrame(rows, "session_id string, seq long, type string, turn int, payload string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    expected = sorted([("s", 1, k, r[2], r[4], (k + 1) // 2) for k, r in enumerate(rows[:1201]) if k] + [("t", 2, 2, "user/message", "hi", 0), ("t", 2, 3, "assistant/message", "see\n\nend", 1)])
+    assert sorted(map(tuple, turns.assembled(events).collect())) == expected
+    assert sorted(map(tuple, turns.run_to_table(turns.assemble_turns(stream)).collect())) == expected
+
+
+def test_what_hosts_inject_goes(spark):
+    cases = {
+        'Sender (untrusted metadata):\n```json\n{"a": 1}\n```\nhello': "hello",
+        'a ```json\n{"session": "x"}\n``` b': "a  b",
+        "¥¥[skill]¥¥do it": "do it",
+        "To send an image back, use x. Keep caption in the text body. ok": "ok",
+        "System: [2026] ran\nnext": "next",
+        "keep\x00 this\n\n\n\nplease [[reply_to: 3]] now": "keep this\n\nplease now",
+        "data:image/png;base64,AAAA= end": "end",
+    }
+    got = {r["t"]: r["c"] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", C.sanitized(F.col("t")).alias("c")).collect()}
+    assert got == cases
+
+
+def test_bundles_say_version_digest_and_types(spark):
+    body = "wf|1|1|-|-|p|0|1|a:b, c:d|first text\nmystery|1|1|-|-|p|0|1||second text\npersona|1|1|-|-|?|?|?|x|third text"
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    files = {
+        "good": f"﻿#bundle v1.1\r\n#count=3; sha256={digest[:12]}\r\n" + body.replace("\n", "\r\n"),
+        "bare": f"#bundle\n{body}",
+        "version": f"#bundle 2; x=1\n{body}",
+        "digest": f"#bundle 1\n#sha256=0{digest[1:] if digest[0] != '0' else '1' + digest[1:]}\n{body}".replace("sha256=0", "sha256=f" if digest[0] != "f" else "sha256=e"),
+    }
+    good, errors = bundle.load_bundle(spark.createDataFrame(list(files.items()), "path string, text string"))
+    got = sorted((r["path"], r["type"], tuple(r["tags"])) for r in good.collect())
+    assert got == sorted((path, *x) for path in ("good", "bare") for x in (("work_fact", ("a:b", "c:d")), ("episodic", ()), ("persona", ("x",))))
+    assert sorted((r["path"], r["fault"]) for r in errors.collect()) == [("digest", "sha256"), ("version", "version")]
