@@ -28,6 +28,12 @@ def latest_runs(receipts: DataFrame, most: int) -> DataFrame:
     return receipts.join(small(checkpoint(runs.select("run_id"))), "run_id", "left_semi")
 
 
+def cut(line: Column, most: Column, suffix: str) -> Column:
+    """The line within so many characters, the suffix among them."""
+    room = most - len(suffix)
+    return F.when(F.length(line) <= most, line).when(room <= 0, F.substring(line, F.lit(1), most)).otherwise(F.concat(F.rtrim(F.substring(line, F.lit(1), room)), F.lit(suffix)))
+
+
 def recall_budget(lines: DataFrame, per_line: int, total: int, suffix: str, least_tail: int = 40) -> DataFrame:
     """Lines (query_id, rank, line) cut to a length each and filled up to a total, a separator counting 1.
 
@@ -35,11 +41,7 @@ def recall_budget(lines: DataFrame, per_line: int, total: int, suffix: str, leas
     are left for it, and nothing after it does.
     """
 
-    def cut(line: Column, most: Column) -> Column:
-        room = most - len(suffix)
-        return F.when(F.length(line) <= most, line).when(room <= 0, F.substring(line, F.lit(1), most)).otherwise(F.concat(F.rtrim(F.substring(line, F.lit(1), room)), F.lit(suffix)))
-
-    rows = lines.withColumn("line", cut(F.col("line"), F.lit(per_line)))
+    rows = lines.withColumn("line", cut(F.col("line"), F.lit(per_line), suffix))
     order = W.partitionBy("query_id").orderBy("rank")
     before = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("room", F.lit(total) - before)
@@ -47,7 +49,7 @@ def recall_budget(lines: DataFrame, per_line: int, total: int, suffix: str, leas
     rows = rows.withColumn("over", over).withColumn("overs", F.sum(over.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     fits = (F.col("overs") == 0) | ((F.col("overs") == 1) & F.col("over") & (F.col("room") >= least_tail))
     kept = rows.where(fits)
-    return kept.select("query_id", "rank", F.when(F.col("over"), cut(F.col("line"), F.col("room"))).otherwise(F.col("line")).alias("line"))
+    return kept.select("query_id", "rank", F.when(F.col("over"), cut(F.col("line"), F.col("room"), suffix)).otherwise(F.col("line")).alias("line"))
 
 
 def slot_budget(slots: DataFrame, most_bytes: int) -> DataFrame:

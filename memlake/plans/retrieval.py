@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
 from memlake.operators import evaluation as E
-from memlake.operators import filters, ranking
+from memlake.operators import filters, ranking, recall
 from memlake.operators import retrieval as O
+from memlake.operators.shared import checkpoint
 from memlake.plans.filters import FAMILY, KEY, STATE, family
 from memlake.plans.registry import Queries
 from memlake.sources.derived import DAY, MESSAGES, NOW, RECORDS, messages, read, records
@@ -79,8 +80,9 @@ def i5_vector_search(spark, sf):
     return O.vector_search(asked, vectors(spark, sf), 10)
 
 
-LANES = f"""{RECORDS}, {PROBES}, {VECTORS}, live AS (SELECT * FROM records WHERE retired_reason IS NULL), qv AS (SELECT CAST(item_id AS VARCHAR) AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
-livev AS (SELECT v.* FROM vectors v JOIN live ON live.id = v.id), {bm25_sql('fts', 'live', 'probes', 15)}, {vector_sql('vec', 'qv', 'livev', 15)},
+def lanes_sql(queries: str, asked: str) -> str:
+    """CTEs from live records and a table of queries and of their vectors to `fts`, `vec`, `rec`, `lanes` and `fused`."""
+    return f"""livev AS (SELECT v.* FROM vectors v JOIN live ON live.id = v.id), {bm25_sql('fts', 'live', queries, 15)}, {vector_sql('vec', asked, 'livev', 15)},
 found_ids AS (SELECT query_id, id FROM fts UNION SELECT query_id, id FROM vec), aged AS (SELECT query_id, b.id, round(greatest(0.5, pow(0.5, greatest(0, {NOW} - updated_ms) / {DAY}.0 / 30)), 9) AS score FROM found_ids b JOIN records r ON b.id = r.id),
 rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM aged) WHERE rank <= 15),
 lanes AS (SELECT query_id, id, rank, 0 AS lane, 'fts' AS name FROM fts UNION ALL SELECT query_id, id, rank, 1, 'vec' FROM vec UNION ALL SELECT query_id, id, rank, 2, 'recency' FROM rec),
@@ -88,15 +90,23 @@ merged AS (SELECT query_id, id, round(sum(1 / (60 + rank)) * 61 / 3, 9) AS score
 fused AS (SELECT query_id, id, score, lanes, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM merged)"""
 
 
-def lanes(spark, sf):
+LIVE = "live AS (SELECT * FROM records WHERE retired_reason IS NULL)"
+LANES = f"{RECORDS}, {PROBES}, {VECTORS}, {LIVE}, qv AS (SELECT CAST(item_id AS VARCHAR) AS query_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id), {lanes_sql('probes', 'qv')}"
+
+
+def lanes_of(spark, sf, queries, asked):
+    """The live records, and for queries (query_id, query) with vectors (query_id, embedding) the text, vector and recency lanes."""
     live = records(spark, sf).where("retired_reason is null")
-    fts = O.bm25(probes(spark, sf), live, 15)
-    embedded = vectors(spark, sf)
-    asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("k")).join(read(spark, sf, "embeddings"), F.col("k") == F.col("vec_id")).select(F.col("k").cast("string").alias("query_id"), "embedding")
-    vec = O.vector_search(asked, embedded.join(live.select("id"), "id", "left_semi"), 15)
+    fts = checkpoint(O.bm25(queries, live, 15))
+    vec = checkpoint(O.vector_search(asked, vectors(spark, sf).join(live.select("id"), "id", "left_semi"), 15))
     return live, fts, vec, O.recency_lane([fts, vec], live, NOW, 30, 15)
 
 
+def lanes(spark, sf):
+    of_probe = read(spark, sf, "benchmark").select(F.col("item_id").alias("k")).join(read(spark, sf, "embeddings"), F.col("k") == F.col("vec_id"))
+    return lanes_of(spark, sf, probes(spark, sf), of_probe.select(F.col("k").cast("string").alias("query_id"), "embedding"))
+
+
 def fused(spark, sf, k):
     live, fts, vec, recent = lanes(spark, sf)
     return live, O.fuse({"fts": fts, "vec": vec, "recency": recent}, k)
@@ -135,25 +145,41 @@ def i12_search_with_validity(spark, sf):
 TALK = f"{MESSAGES}, recent AS (SELECT session_id, text, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms DESC, id DESC) AS back FROM messages), turns AS (SELECT session_id AS query_id, right(array_to_string(list(text ORDER BY back DESC), chr(10)), 2000) AS query FROM recent WHERE back <= 8 GROUP BY session_id)"
 
 
-@Q.add(f"""WITH {RECORDS}, {TALK}, live AS (SELECT * FROM records WHERE retired_reason IS NULL AND {STATE} <> 'expired'), {bm25_sql('f', 'live', 'turns', 15)},
-w AS (SELECT f.*, l.content, CASE l.wing WHEN 'work' THEN 0.75 WHEN 'health' THEN 0.4 ELSE 1.0 END AS weight FROM f JOIN live l ON f.id = l.id WHERE NOT (l.seq % 10 = 0)),
-o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, score DESC, rank) AS rank, CASE WHEN length(content) <= 300 THEN content ELSE rtrim(substr(content, 1, 292)) || '...(cut)' END AS line FROM w),
-b AS (SELECT *, 1000 - coalesce(sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM o),
-v AS (SELECT *, sum(CASE WHEN length(line) > room THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS overs FROM b)
-SELECT query_id, id, rank, CAST(least(length(line), room) >= length(line) AS BOOLEAN) AS whole FROM v WHERE overs = 0 OR (overs = 1 AND length(line) > room AND room >= 40)""")
+WEIGHTS = {"work": 0.75, "health": 0.4}
+RECALL = f"""WITH {RECORDS}, {TALK}, {VECTORS}, {LIVE}, tv AS (SELECT 's' || vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT conv_id FROM conversations)), {lanes_sql('turns', 'tv')},
+h AS (SELECT f.query_id, f.id, f.score, f.rank, r.content, r.wing, r.tags, r.seq, {STATE} AS state, {FAMILY} AS family, repo_key, applicability, CAST(substr(f.query_id, 2) AS BIGINT) % 7 = 0 AS locked FROM fused f JOIN records r ON f.id = r.id WHERE f.rank <= 15),
+a1 AS (SELECT h.*, q.query, row_number() OVER (PARTITION BY h.query_id ORDER BY CASE WHEN locked THEN 1.0 ELSE CASE wing WHEN 'work' THEN 0.75 WHEN 'health' THEN 0.4 ELSE 1.0 END END DESC, CASE WHEN locked THEN 0.0 ELSE score END DESC, rank) AS p1 FROM h JOIN turns q ON h.query_id = q.query_id WHERE NOT locked OR coalesce(wing = '', true) OR wing = 'work'),
+a2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score * CAST(CASE WHEN coalesce(family = 'work' AND repo_key <> '' AND repo_key <> 'repo1' AND NOT coalesce(applicability = 'cross-project', false), false) THEN 0.2 ELSE 1.0 END AS DOUBLE), 9) DESC, p1) AS p2 FROM a1),
+a3 AS (SELECT *, (SELECT coalesce(max(len(list_intersect(list_distinct(regexp_extract_all(lower(query), '[0-9a-z]{{2,}}')), list_distinct(regexp_extract_all(lower(u.p), '[0-9a-z]{{2,}}'))))), 0) FROM unnest(tags) u(p)) AS m FROM a2),
+a4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, p2) AS p3 FROM a3),
+a5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE CASE WHEN seq % 3 = 0 THEN seq % 7 - 1 END WHEN 5 THEN 1.0 WHEN 4 THEN 0.5 WHEN 2 THEN -0.4 WHEN 1 THEN -0.7 WHEN 0 THEN -1.0 ELSE 0 END DESC, p3) AS p4 FROM a4),
+scoped AS (SELECT query_id, id, p4 AS rank, seq, content, CASE WHEN length(content) <= 300 THEN content ELSE rtrim(substr(content, 1, 292)) || '...(cut)' END AS line FROM a5 WHERE state <> 'expired'), fresh AS (SELECT * FROM scoped WHERE seq % 10 <> 0),
+b AS (SELECT *, 1000 - coalesce(sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM fresh),
+v AS (SELECT *, sum(CASE WHEN length(line) > room THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS overs FROM b),
+inj AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, CAST(least(length(line), room) >= length(line) AS BOOLEAN) AS whole FROM v WHERE overs = 0 OR (overs = 1 AND length(line) > room AND room >= 40))"""
+
+
+def recalled(spark, sf):
+    conv = F.substring("query_id", 2, 20).cast("long")
+    turns = checkpoint(recall.recall_query(messages(spark, sf)))
+    of_turn = read(spark, sf, "embeddings").select(F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("query_id"), "embedding").join(turns.select("query_id"), "query_id", "left_semi")
+    live, fts, vec, recent = lanes_of(spark, sf, turns, of_turn)
+    hits = O.fuse({"fts": fts, "vec": vec, "recency": recent}, 15).select("query_id", "id", "score", "rank")
+    marked = live.withColumn("mark", F.when(F.col("seq") % 3 == 0, F.col("seq") % 7 - 1))
+    locks = turns.where(conv % 7 == 0).select("query_id", F.array(F.lit("work")).alias("wings"), F.lit(True).alias("unlabeled"), F.lit(False).alias("general"))
+    seen = hits.join(live.where("seq % 10 = 0").select("id"), "id", "left_semi").select("query_id", "id")
+    return recall.recall(turns, hits, marked, locks, seen, NOW, recall.Settings(WEIGHTS, "repo1"))
+
+
+@Q.add(f"{RECALL} SELECT query_id, id, rank, whole FROM inj")
 def i13_recall_pipeline(spark, sf):
-    last = ranking.recent_per_session(messages(spark, sf), 8)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n")
-    turns = last.groupBy(F.col("session_id").alias("query_id")).agg(F.right(joined, F.lit(2000)).alias("query"))
-    live = filters.validity_gate(records(spark, sf), NOW)
-    hits = O.bm25(turns, live, 15)
-    seen = live.where("seq % 10 = 0").select("id")
-    fresh = hits.join(live.select("id", "content", "wing"), "id").join(seen, "id", "left_anti")
-    weight = F.when(F.col("wing") == "work", 0.75).when(F.col("wing") == "health", 0.4).otherwise(1.0)
-    placed = ranking.reordered(fresh, weight.desc(), F.desc("score")).select("query_id", "id", F.col("place").alias("rank"), F.col("content").alias("line"))
-    kept = ranking.recall_budget(placed.select("query_id", "rank", "line"), 300, 1000, "...(cut)")
-    whole = F.length("line") >= F.when(F.length("full") <= 300, F.length("full")).otherwise(F.length(F.concat(F.rtrim(F.substring("full", 1, 292)), F.lit("...(cut)"))))
-    return kept.join(placed.select("query_id", "rank", "id", F.col("line").alias("full")), ["query_id", "rank"]).select("query_id", "id", "rank", whole.alias("whole"))
+    return recalled(spark, sf)[0].select("query_id", "id", "rank", "whole")
+
+
+@Q.add(f"""{RECALL}, n AS (SELECT q.query_id, (SELECT count(*) FROM scoped s WHERE s.query_id = q.query_id) AS hits, (SELECT count(*) FROM fresh s WHERE s.query_id = q.query_id) AS fresh, (SELECT count(*) FROM inj s WHERE s.query_id = q.query_id) AS injected FROM turns q)
+SELECT query_id, hits, hits - fresh AS suppressed, injected, CASE WHEN injected > 0 THEN 'injected' WHEN hits > 0 THEN 'suppressed' ELSE 'none' END AS outcome FROM n""")
+def i13_recall_trace(spark, sf):
+    return recalled(spark, sf)[1]
 
 
 GOLD = "gold AS (SELECT CAST(item_id AS VARCHAR) AS query_id, left(text, 60) AS gold, CASE WHEN item_id % 3 = 0 THEN 'extraction' WHEN item_id % 3 = 1 THEN 'multi-hop' ELSE 'update' END AS kind FROM benchmark)"
