@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from memlake.functions import columns as C
+from memlake.operators.merges import merge_axes
 from memlake.operators.shared import ASKED, SETS, meeting, pack_sets, pairs_of_blocks
 
 DUPLICATE, RELATED = 0.62, 0.30
@@ -156,17 +157,60 @@ def resolve_pairs(pairs: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rows.select("pair_id", now.alias("resolution"), count.alias("defer_count"), retired.alias("retired"))
 
 
+def _claims(decisions: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of decisions that fold records: (id, seq, target) for each target there is, and (id, member) with the new record itself."""
+    act = decisions.where(F.col("action").isin("update", "merge"))
+    claims = act.select("id", "seq", F.explode("targets").alias("target")).join(records.select(F.col("id").alias("target")), "target", "left_semi")
+    return claims, act.select("id", F.col("id").alias("member")).union(claims.select("id", F.col("target").alias("member"))).distinct()
+
+
+def merged_records(decisions: DataFrame, records: DataFrame, now: int) -> DataFrame:
+    """The rows `m-<id>` that update and merge make: (id, content, tags, wing, ext_key, timestamps).
+
+    decisions may have `merged_content`; where it is blank the new record's own content stands. Tags and wing are merged by
+    `merge_axes`, the first key of another system in order is taken over, and times are those of all members, and now.
+    """
+    _, own = _claims(decisions, records)
+    parts = own.join(records.select(F.col("id").alias("member"), "seq", "content", "tags", "wing", "ext_key", F.array("created_ms", "updated_ms").alias("times")), "member")
+    members = parts.select(F.col("id").alias("survivor"), "seq", (F.col("member") == F.col("id")).alias("is_self"), "content", "tags", "wing", "ext_key", "times")
+    order = F.struct((~F.col("is_self")).alias("later"), F.col("seq"))
+    rest = members.groupBy("survivor").agg(
+        F.max(F.when(F.col("is_self"), F.col("content"))).alias("own"),
+        F.min_by("ext_key", F.when(F.col("ext_key").isNotNull(), order)).alias("ext_key"),
+        F.array_sort(F.array_distinct(F.concat(F.flatten(F.collect_set("times")), F.array(F.lit(now))))).alias("timestamps"),
+    )
+    said = decisions.select(F.col("id").alias("survivor"), C.null_if_blank(F.trim("merged_content")).alias("merged"))
+    rows = merge_axes(members).join(rest, "survivor").join(said, "survivor")
+    return rows.select(F.concat(F.lit("m-"), "survivor").alias("id"), F.coalesce("merged", "own").alias("content"), "tags", "wing", "ext_key", "timestamps")
+
+
+def usage_moves(decisions: DataFrame, records: DataFrame) -> DataFrame:
+    """(old, new): whose counters a merged row takes over, for `analytics.rekey`: each target once, by its first claimant."""
+    claims, _ = _claims(decisions, records)
+    return claims.groupBy(F.col("target").alias("old")).agg(F.concat(F.lit("m-"), F.min_by("id", "seq")).alias("new"))
+
+
+def conflict_pairs(decisions: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, winner, loser, in_batch, rejected) of conflict decisions (id, winner, loser): a pair is the new record and one that is there or
+    came with it; any other is rejected, with the reason, and its record is plainly stored."""
+    rows = decisions.where("action = 'conflict'").select("id", "winner", "loser")
+    other = F.when(F.col("winner") == F.col("id"), F.col("loser")).when(F.col("loser") == F.col("id"), F.col("winner"))
+    there = records.select(F.col("id").alias("other"), F.lit(True).alias("there"))
+    batch = decisions.select(F.col("id").alias("other"), F.lit(True).alias("batch"))
+    met = rows.withColumn("other", other).join(there, "other", "left").join(batch, "other", "left")
+    reason = F.when(F.col("winner").isNull() | F.col("loser").isNull(), "incomplete").when(F.col("winner") == F.col("loser"), "same").when(F.col("other").isNull(), "not-its-own").when(F.col("there").isNull() & F.col("batch").isNull(), "unknown")
+    return met.select("id", "winner", "loser", F.coalesce("batch", F.lit(False)).alias("in_batch"), reason.alias("rejected"))
+
+
 def apply_decisions(decisions: DataFrame, records: DataFrame, now: int) -> DataFrame:
     """What becomes of records: (id, fate, by, version, valid_from_ms, valid_to_ms) for decisions (id, seq, action, targets).
 
     store keeps the new record; update and merge make a row `m-<id>` of it and its targets and retire both;
-    skip drops it. A target falls to the first decision that claims it.
+    skip drops it, and a conflict stores it beside the other (see `conflict_pairs`). A target falls to the first decision that claims it.
     """
-    act = decisions.where(F.col("action").isin("update", "merge"))
-    claims = act.select("id", "seq", F.explode("targets").alias("target")).join(records.select(F.col("id").alias("target")), "target", "left_semi")
+    claims, own = _claims(decisions, records)
     firsts = claims.groupBy("target").agg(F.min_by("id", "seq").alias("by"))
-    own = act.select("id", F.col("id").alias("member")).union(claims.select("id", F.col("target").alias("member")))
-    parts = own.distinct().join(records.select(F.col("id").alias("member"), "version", "valid_from_ms", "valid_to_ms"), "member")
+    parts = own.join(records.select(F.col("id").alias("member"), "version", "valid_from_ms", "valid_to_ms"), "member")
     merged = parts.groupBy("id").agg(F.max("version").alias("version"), F.min("valid_from_ms").alias("valid_from_ms"), F.bool_or(F.col("valid_to_ms").isNull()).alias("open"), F.max("valid_to_ms").alias("last"))
     none = F.lit(None).cast("string")
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("version", "int"), ("valid_from_ms", "long"), ("valid_to_ms", "long"))]

@@ -124,6 +124,44 @@ def k8_apply_decisions(spark, sf):
     return O.apply_decisions(rows.where("seq % 10 = 1").select("id", "seq", action.alias("action"), F.array(target(3), target(13)).alias("targets")), rows, NOW)
 
 
+DECISIONS = "d AS (SELECT id, seq, CASE seq % 30 WHEN 1 THEN 'conflict' WHEN 11 THEN 'update' ELSE 'merge' END AS action, ['r' || (seq + 3), 'r' || (seq + 13)] AS targets, CASE WHEN seq % 20 = 1 THEN 'merged ' || seq ELSE ' ' END AS merged_content, CASE seq % 4 WHEN 0 THEN NULL ELSE id END AS winner, CASE seq % 7 WHEN 0 THEN id WHEN 1 THEN 'gone' WHEN 2 THEN 'r' || (seq + 60) ELSE 'r' || (seq + 5) END AS loser FROM records WHERE seq % 10 = 1), cl AS (SELECT d.id, d.seq, u.t AS target FROM d, unnest(targets) u(t) WHERE action IN ('update', 'merge') AND u.t IN (SELECT id FROM records)), own AS (SELECT id, id AS member FROM d WHERE action IN ('update', 'merge') UNION SELECT id, target FROM cl)"
+
+
+def decisions(spark, sf):
+    rows, k = records(spark, sf), F.col("seq")
+    other = lambda n: F.concat(F.lit("r"), (k + n).cast("string"))
+    action = F.when(k % 30 == 1, "conflict").when(k % 30 == 11, "update").otherwise("merge")
+    loser = F.when(k % 7 == 0, F.col("id")).when(k % 7 == 1, "gone").when(k % 7 == 2, other(60)).otherwise(other(5))
+    said = rows.where("seq % 10 = 1").select("id", "seq", action.alias("action"), F.array(other(3), other(13)).alias("targets"), F.when(k % 20 == 1, F.concat(F.lit("merged "), k.cast("string"))).otherwise(" ").alias("merged_content"), F.when(k % 4 != 0, F.col("id")).alias("winner"), loser.alias("loser"))
+    return said, rows
+
+
+@Q.add(f"""WITH {RECORDS}, {DECISIONS}, m AS (SELECT own.id AS survivor, r.seq, member = own.id AS is_self, content, tags, wing, ext_key, created_ms, updated_ms FROM own JOIN records r ON own.member = r.id),
+t AS (SELECT survivor, u.t, min((NOT is_self, seq, u.o)) AS o FROM m, unnest(tags) WITH ORDINALITY AS u(t, o) GROUP BY 1, 2), g AS (SELECT survivor, array_to_string(list(t ORDER BY o)[1:6], ',') AS tags FROM t GROUP BY 1),
+w AS (SELECT survivor, max(wing) FILTER (is_self) AS mine, count(DISTINCT wing) FILTER (NOT is_self) AS n, min(wing) FILTER (NOT is_self) AS one, max(content) FILTER (is_self) AS content, arg_min(ext_key, (NOT is_self, seq)) FILTER (ext_key IS NOT NULL) AS ext_key FROM m GROUP BY 1),
+x AS (SELECT survivor, count(DISTINCT t) AS n_times FROM (SELECT survivor, unnest([created_ms, updated_ms, {NOW}]) AS t FROM m) GROUP BY 1)
+SELECT 'm-' || w.survivor AS id, md5(CASE WHEN trim(d.merged_content) <> '' THEN trim(d.merged_content) ELSE w.content END) AS content_md5, coalesce(g.tags, '') AS tags, coalesce(mine, CASE WHEN n = 1 THEN one END) AS wing, w.ext_key, n_times FROM w JOIN d ON d.id = w.survivor JOIN x ON x.survivor = w.survivor LEFT JOIN g ON g.survivor = w.survivor""")
+def k8_merged_records(spark, sf):
+    said, rows = decisions(spark, sf)
+    return O.merged_records(said, rows, NOW).select("id", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"), "wing", "ext_key", F.size("timestamps").cast("long").alias("n_times"))
+
+
+@Q.add(f"""WITH {RECORDS}, {DECISIONS}, c AS (SELECT id, winner, loser, CASE WHEN winner = id THEN loser WHEN loser = id THEN winner END AS other FROM d WHERE action = 'conflict')
+SELECT id, winner, loser, coalesce(other IN (SELECT id FROM d), false) AS in_batch, CASE WHEN winner IS NULL OR loser IS NULL THEN 'incomplete' WHEN winner = loser THEN 'same' WHEN other IS NULL THEN 'not-its-own' WHEN other NOT IN (SELECT id FROM records) AND other NOT IN (SELECT id FROM d) THEN 'unknown' END AS rejected FROM c""")
+def k8_conflict_pairs(spark, sf):
+    said, rows = decisions(spark, sf)
+    return O.conflict_pairs(said, rows)
+
+
+@Q.add(f"""WITH {RECORDS}, {DECISIONS}, u AS (SELECT id, priority AS attempts, seq % 3 AS used FROM records), f AS (SELECT target, 'm-' || arg_min(id, seq) AS new FROM cl GROUP BY target)
+SELECT coalesce(f.new, u.id) AS id, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(used) AS BIGINT) AS used FROM u LEFT JOIN f ON u.id = f.target GROUP BY 1""")
+def k8_usage_rekeyed(spark, sf):
+    from memlake.operators.analytics import rekey
+
+    said, rows = decisions(spark, sf)
+    return rekey(rows.select("id", F.col("priority").alias("attempts"), (F.col("seq") % 3).alias("used")), O.usage_moves(said, rows))
+
+
 @Q.add(f"WITH {RECORDS}, s AS (SELECT id, CASE WHEN seq % 2 = 0 THEN 'current' ELSE 'historical' END AS stored, {STATE} AS state FROM records) SELECT id, state FROM s WHERE state <> stored")
 def k9_reclassify(spark, sf):
     rows = filters.with_state(records(spark, sf), NOW)
