@@ -113,11 +113,27 @@ def record_links(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, sources:
     return reached
 
 
-def ego(center: str, nodes: DataFrame, edges: DataFrame, depth: int, cap: int) -> DataFrame:
-    """(id, depth): the nodes up to `depth` (3 at most) edges from one, the nearest `cap` by (depth, id)."""
+def hints(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(from_id, line): up to `most` lines of active edges for each node they leave, and a line with the name of each visible node that no active edge touches."""
+    live = edges.where("status = 'active'")
+    lines = live.select("from_id", F.concat("from_id", F.lit(" —["), "relation", F.lit("]→ "), "to_id").alias("line"))
+    first = lines.withColumn("n", F.row_number().over(W.partitionBy("from_id").orderBy("line"))).where(F.col("n") <= most).drop("n")
+    touched = live.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    return first.union(visible(nodes).join(touched, "id", "left_anti").select("id", "name"))
+
+
+def ego_counts(center: str, nodes: DataFrame, edges: DataFrame, depth: int, cap: int) -> DataFrame:
+    """(shown, cut): how many nodes `ego` shows, and how many its cap leaves out."""
+    n = F.count(F.lit(1))
+    return ego(center, nodes, edges, depth, None).agg(F.least(n, F.lit(cap)).alias("shown"), F.greatest(n - cap, F.lit(0)).alias("cut"))
+
+
+def ego(center: str, nodes: DataFrame, edges: DataFrame, depth: int, cap: int | None) -> DataFrame:
+    """(id, depth): the nodes up to `depth` (3 at most) edges from one, the nearest `cap` (or all) by (depth, id)."""
     start = visible(nodes).where(F.col("id") == center).select(F.lit("ego").alias("record_id"), "id")
     found = record_links(start.select("record_id").distinct(), nodes, edges, start, min(depth, 3))
-    return found.select("id", F.col("hop").alias("depth")).orderBy("depth", "id").limit(cap)
+    reached = found.select("id", F.col("hop").alias("depth"))
+    return reached if cap is None else reached.orderBy("depth", "id").limit(cap)
 
 
 def full_view(nodes: DataFrame, edges: DataFrame, now: int, most_nodes: int = 1500, most_edges: int = 3000, least: float = 0.2) -> tuple[DataFrame, DataFrame]:

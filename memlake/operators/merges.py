@@ -73,3 +73,20 @@ def purge(records: DataFrame, exported: DataFrame) -> DataFrame:
     """The records without those that are retired and have been exported."""
     gone = records.where("retired_reason is not null").join(exported.select("id"), "id", "left_semi")
     return records.join(gone.select("id"), "id", "left_anti")
+
+
+def purge_checked(records: DataFrame, wanted: DataFrame, exported: DataFrame) -> DataFrame:
+    """The records without the wanted ones that are retired, if an export (id, digest) has all of them as they are; an error if it hasn't.
+
+    The digest is `record_digest`'s. What else the export holds, or has changed outside, doesn't matter.
+    """
+    gone = records.where("retired_reason is not null").join(wanted.select("id").distinct(), "id", "left_semi")
+    lacking = record_digest(gone).join(exported.select("id", "digest"), ["id", "digest"], "left_anti")
+    if not lacking.isEmpty():
+        raise ValueError("the export lacks records that are to be purged, or has them otherwise")
+    return records.join(gone.select("id"), "id", "left_anti")
+
+
+def record_digest(records: DataFrame) -> DataFrame:
+    """(id, digest) of whole rows."""
+    return records.select("id", F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256).alias("digest"))

@@ -228,7 +228,9 @@ def g7_verify_snapshot(spark, sf):
 def g8_retire_restore_purge(spark, sf):
     rows = records(spark, sf)
     changes = rows.where("seq % 4 in (0, 1)").select("id", F.when(F.col("seq") % 4 == 0, "retire").otherwise("restore").alias("action"), F.lit("manual").alias("reason"))
-    return merges.purge(merges.retire(rows, changes), rows.where("seq % 5 = 0")).select("id", "retired_reason")
+    now = merges.retire(rows, changes)
+    wanted = now.where("seq % 5 = 0")
+    return merges.purge_checked(now, wanted, merges.record_digest(wanted)).select("id", "retired_reason")
 
 
 @Q.add()

@@ -139,6 +139,14 @@ def j9_k_hop_ego(spark, sf):
     return O.ego("s1", nodes(spark, sf), edges(spark, sf), 3, 300)
 
 
+@Q.add(f"""WITH {NODES}, {EDGES}, z AS (SELECT 's1' AS id), o AS (SELECT DISTINCT b AS id FROM ways WHERE a = 's1' AND b <> 's1' AND b IN (SELECT id FROM vis)),
+t AS (SELECT DISTINCT b AS id FROM ways JOIN o ON a = o.id WHERE b IN (SELECT id FROM vis) AND b <> 's1' AND b NOT IN (SELECT id FROM o)),
+h AS (SELECT DISTINCT b AS id FROM ways JOIN t ON a = t.id WHERE b IN (SELECT id FROM vis) AND b <> 's1' AND b NOT IN (SELECT id FROM o) AND b NOT IN (SELECT id FROM t))
+SELECT least(count(*), 300) AS shown, greatest(count(*) - 300, 0) AS cut FROM (SELECT id FROM z UNION ALL SELECT id FROM o UNION ALL SELECT id FROM t UNION ALL SELECT id FROM h)""")
+def j9_ego_counts(spark, sf):
+    return O.ego_counts("s1", nodes(spark, sf), edges(spark, sf), 3, 300)
+
+
 @Q.add(f"""WITH {NODES}, {EDGES}, s AS (SELECT id FROM vis WHERE pow(0.5, greatest(0, {NOW} - updated_ms) / {DAY}.0 / 30) >= 0.3 ORDER BY id LIMIT 1500)
 SELECT id FROM edges WHERE status = 'active' AND from_id IN (SELECT id FROM s) AND to_id IN (SELECT id FROM s) ORDER BY id LIMIT 3000""")
 def j10_full_view(spark, sf):
@@ -202,12 +210,10 @@ def j20_forget_records(spark, sf):
     return sources(spark, sf).join(gone, "record_id", "left_anti").select("id", "record_id", "pos")
 
 
-@Q.add(f"""WITH {NODES}, {EDGES}, l AS (SELECT 'n' || (row_number() OVER (PARTITION BY from_id ORDER BY to_id, relation)) AS k, from_id, from_id || ' —[' || relation || ']→ ' || to_id AS line FROM edges WHERE status = 'active' AND from_id LIKE 's%'), k AS (SELECT from_id, line, row_number() OVER (PARTITION BY from_id ORDER BY line) AS n FROM l) SELECT from_id, line FROM k WHERE n <= 5""")
+@Q.add(f"""WITH {NODES}, {EDGES}, l AS (SELECT from_id, from_id || ' —[' || relation || ']→ ' || to_id AS line FROM edges WHERE status = 'active'), k AS (SELECT from_id, line, row_number() OVER (PARTITION BY from_id ORDER BY line) AS n FROM l)
+SELECT from_id, line FROM k WHERE n <= 5 UNION ALL SELECT id, name FROM vis WHERE id NOT IN (SELECT from_id FROM edges WHERE status = 'active') AND id NOT IN (SELECT to_id FROM edges WHERE status = 'active')""")
 def d27_graph_hints(spark, sf):
-    from pyspark.sql import Window as W
-
-    live = edges(spark, sf).where("status = 'active' and from_id like 's%'").select("from_id", F.concat("from_id", F.lit(" —["), "relation", F.lit("]→ "), "to_id").alias("line"))
-    return live.withColumn("n", F.row_number().over(W.partitionBy("from_id").orderBy("line"))).where("n <= 5").drop("n")
+    return O.hints(nodes(spark, sf), edges(spark, sf), 5)
 
 
 SCORED = f"{DEG}, sc AS (SELECT v.id, v.updated_ms, coalesce(degree, 0) + 2 * coalesce(causal, 0) AS score FROM vis v LEFT JOIN deg d ON v.id = d.id), l1 AS (SELECT id, score, 'skeleton' AS layer FROM sc ORDER BY score DESC, id LIMIT 120), l2 AS (SELECT id, score, 'fresh' AS layer FROM sc WHERE id NOT IN (SELECT id FROM l1) ORDER BY updated_ms DESC, id LIMIT 40), l3 AS (SELECT id, score, 'tail' AS layer FROM sc WHERE id NOT IN (SELECT id FROM l1) AND id NOT IN (SELECT id FROM l2) ORDER BY score DESC, id LIMIT 40), ch AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"

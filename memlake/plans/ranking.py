@@ -145,6 +145,17 @@ def f2_domain_weights(spark, sf):
     return O.keyword_weights(messages(spark, sf).select(F.col("id").alias("query_id"), F.col("text").alias("query")), keywords)
 
 
+@Q.add("""WITH a AS (SELECT 'wing' || vec_id AS wing, embedding AS e FROM embeddings WHERE vec_id < 8), q AS (SELECT vec_id, embedding AS e FROM embeddings),
+s AS (SELECT vec_id, wing, list_sum(list_transform(list_zip(q.e, a.e), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (sqrt(list_sum(list_transform(q.e, lambda z: CAST(z AS DOUBLE) * z))) * sqrt(list_sum(list_transform(a.e, lambda z: CAST(z AS DOUBLE) * z)))) AS c FROM q, a)
+SELECT vec_id, wing, round(0.4 + 0.6 * greatest(0.0, least(1.0, coalesce(c, 0.0))), 6) AS weight FROM s""")
+def f2_vector_gate(spark, sf):
+    """Every vector's weight for each of eight domains, whose anchors are an array in one row."""
+    e = read(spark, sf, "embeddings")
+    anchors = e.where("vec_id < 8").agg(F.collect_list(F.struct(F.concat(F.lit("wing"), F.col("vec_id").cast("string")).alias("wing"), F.col("embedding").alias("anchor"))).alias("anchors"))
+    near = e.join(F.broadcast(anchors)).select("vec_id", "embedding", F.explode("anchors").alias("a"))
+    return near.select("vec_id", "a.wing", F.round(O.vector_weight(C.cosine(F.col("embedding"), F.col("a.anchor"))), 6).alias("weight"))
+
+
 @Q.add(f"""WITH {RECORDS}, {HITS}, m AS (SELECT *, (SELECT coalesce(max(len(list_intersect(['t3', 'area2', 'x', 't5'], list_distinct(regexp_extract_all(lower(u.p), '[0-9a-z]{{2,}}'))))), 0) FROM unnest(tags) u(p)) AS m FROM hits)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY m DESC, rank) AS place FROM m""")
 def f3_usage_sort(spark, sf):

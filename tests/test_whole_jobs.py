@@ -6,12 +6,13 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
-from memlake.operators import analytics, dedupe, filters, graph, ranking, redaction, retrieval, shared
+from memlake.operators import analytics, dedupe, filters, graph, merges, ranking, redaction, retrieval, shared
 from memlake.plans import sources
-from memlake.sources import bundle
+from memlake.sources import bundle, derived
 from memlake.streaming import turns
 
 
@@ -271,3 +272,28 @@ def test_bundles_say_version_digest_and_types(spark):
     got = sorted((r["path"], r["type"], tuple(r["tags"])) for r in good.collect())
     assert got == sorted((path, *x) for path in ("good", "bare") for x in (("work_fact", ("a:b", "c:d")), ("episodic", ()), ("persona", ("x",))))
     assert sorted((r["path"], r["fault"]) for r in errors.collect()) == [("digest", "sha256"), ("version", "version")]
+
+
+def test_nothing_is_purged_without_its_export(spark):
+    rows = spark.createDataFrame([("a", "manual", 1), ("b", None, 2), ("c", "merge", 3)], "id string, retired_reason string, version int")
+    assert sorted(r["id"] for r in merges.purge_checked(rows, rows, merges.record_digest(rows)).collect()) == ["b"]
+    for export in (rows.where("id = 'a'"), rows.withColumn("version", F.lit(9))):
+        with pytest.raises(ValueError):
+            merges.purge_checked(rows, rows, merges.record_digest(export))
+
+
+def test_manifests_ignore_order_and_see_changes(spark):
+    rows = spark.range(500).select("id", (F.col("id") * 7 % 13).alias("v"))
+    said = lambda df: [tuple(r) for r in merges.snapshot_manifest("s", df).collect()]
+    assert said(rows) == said(rows.orderBy(F.desc("v")).repartition(7)) and said(rows)[0][1] == 500
+    assert said(rows) != said(rows.withColumn("v", F.when(F.col("id") == 3, 99).otherwise(F.col("v")))) and said(rows) != said(rows.union(rows.limit(1)))
+
+
+def test_days_of_an_archive(spark):
+    """Rows, findings and completeness by day, against a count of the messages."""
+    data = "/root/testdata/sf0.001"
+    days = {}
+    for r in derived.messages(spark, data).select("ts_ms").collect():
+        days[r["ts_ms"] // 86_400_000] = days.get(r["ts_ms"] // 86_400_000, 0) + 1
+    got = sources.a8_archive_redacted(spark, data).collect()
+    assert {r["day"]: r["n"] for r in got} == days and all(r["whole"] for r in got)
