@@ -215,6 +215,56 @@ def resolve_entities(names: DataFrame) -> DataFrame:
     return named.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("entity"))
 
 
+def apply_nodes(nodes: DataFrame, proposals: DataFrame, allowed: DataFrame, most_aliases: int = 64, most_tags: int = 8, most_sources: int = SOURCE_CAP) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name, aliases, tags, sources, status) after proposals (ref, seq, type, name, aliases, tags, sources, status), and the refs that are dropped.
+
+    A proposal without a name or a source, or with a source that isn't an allowed record (id), is dropped. The others join the
+    node or the proposals that share a type and a name or alias (see `resolve_entities`), and fold into it by seq: spellings and tags are
+    added in order, sources are the latest, and the last status counts, but an archived node doesn't become active again. A new node
+    is named by its first proposal's ref, `new-<ref>`.
+    """
+    each = proposals.select("ref", F.explode_outer("sources").alias("source"))
+    held = each.join(allowed.select(F.col("id").alias("source"), F.lit(True).alias("held")), "source", "left").groupBy("ref").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("good"))
+    told = checkpoint(proposals.join(held, "ref").withColumn("good", F.col("good") & (C.entity_name(F.coalesce("name", F.lit(""))) != "")))
+    good = told.where("good").select(F.concat(F.lit("p"), "ref").alias("key"), F.concat(F.lit("new-"), "ref").alias("id"), "seq", "type", "name", "aliases", "tags", "sources", "status")
+    old = nodes.select(F.concat(F.lit("n"), "id").alias("key"), "id", F.lit(-1).cast("long").alias("seq"), "type", "name", "aliases", "tags", "sources", "status")
+    every = checkpoint(old.unionByName(good))
+    names = every.select(F.col("key").alias("id"), "type", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    members = every.join(resolve_entities(names).select(F.col("id").alias("key"), "entity"), "key")
+    at = F.struct("seq", "key").alias("at")
+    ends = members.groupBy("entity").agg(F.min(F.struct(at, "id", "name", "status")).alias("first"), F.max(F.struct(at, "status")).alias("last"))
+    ends = checkpoint(ends)
+
+    def bounded(values: DataFrame, most: int, latest: bool) -> DataFrame:
+        """(entity, list): of rows (entity, o, value) each value once, in order, the first or the latest ones: no entity is gathered whole."""
+        once = values.groupBy("entity", "value").agg((F.max("o") if latest else F.min("o")).alias("o"))
+        k = F.row_number().over(W.partitionBy("entity").orderBy(F.desc("o") if latest else F.col("o")))
+        return once.withColumn("k", k).where(F.col("k") <= most).groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "value"))), lambda x: x["value"]).alias("list"))
+
+    listed = lambda field: members.select("entity", "seq", "key", F.posexplode(field).alias("pos", "value"))
+    order = lambda kind: F.struct(F.lit(kind).alias("kind"), "seq", "key", "pos").alias("o")
+    named = members.select("entity", "seq", "key", F.lit(0).alias("pos"), F.col("name").alias("value")).select("entity", order(0), "value")
+    spellings = named.union(listed("aliases").select("entity", order(1), "value")).join(ends.select("entity", F.col("first.name").alias("own")), "entity")
+    spellings = spellings.where(C.entity_name(F.col("value")) != C.entity_name(F.col("own"))).select("entity", "o", "value")
+    lists = {
+        "aliases": bounded(spellings, most_aliases, False),
+        "tags": bounded(listed("tags").select("entity", order(0), "value"), most_tags, False),
+        "sources": bounded(listed("sources").select("entity", order(0), "value"), most_sources, True),
+    }
+    rows = ends
+    for name, values in lists.items():
+        rows = rows.join(values.withColumnRenamed("list", name), "entity", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    was = (F.col("first.at.seq") == -1) & (F.col("first.status") == "archived") & (F.col("last.status") == "active")
+    done = rows.select(F.col("first.id").alias("id"), F.col("first.name").alias("name"), "aliases", "tags", "sources", F.when(was, "archived").otherwise(F.col("last.status")).alias("status"))
+    return done, told.where("not good").select("ref")
+
+
+def state_text(facts: DataFrame) -> DataFrame:
+    """(node, state): a node's active facts (node, key, value, status, seq) as `key: value` lines, the latest of each key, by key."""
+    live = facts.where("status = 'active'").groupBy("node", "key").agg(F.max_by("value", "seq").alias("value"))
+    return live.groupBy("node").agg(F.array_join(F.sort_array(F.collect_list(F.concat("key", F.lit(": "), "value"))), "\n").alias("state"))
+
+
 def backlog(records: DataFrame, projected: DataFrame, size: int = 8, most: int = 1000) -> DataFrame:
     """(id, batch): records not projected at their version, by priority and age, in batches; the order is global over the first `most` only."""
     open_ = records.join(projected.select("id", "version"), ["id", "version"], "left_anti").orderBy(F.desc("priority"), "updated_ms", "id").limit(most)

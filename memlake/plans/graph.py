@@ -172,6 +172,26 @@ def j12_fact_history(spark, sf):
     return O.fact_history(order_facts(spark, sf))
 
 
+@Q.add(f"""WITH f AS (SELECT 'c' || o_custkey AS node, substr(o_orderpriority, 1, 1) AS key, o_orderstatus AS value, o_orderkey AS seq, CASE WHEN o_orderkey % 9 = 0 THEN 'disputed' ELSE 'active' END AS status FROM orders),
+l AS (SELECT node, key, arg_max(value, seq) AS value FROM f WHERE status = 'active' GROUP BY 1, 2) SELECT node, string_agg(key || ': ' || value, chr(10) ORDER BY key || ': ' || value) AS state FROM l GROUP BY node""")
+def j12_state_text(spark, sf):
+    o = read(spark, sf, "orders")
+    rows = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.substring("o_orderpriority", 1, 1).alias("key"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 9 == 0, "disputed").otherwise("active").alias("status"))
+    return O.state_text(rows)
+
+
+@Q.add()
+def j12_apply_nodes(spark, sf):
+    """Parts as proposals to nodes of every tenth; tests compare the fold with one by hand."""
+    part, k = read(spark, sf, "part"), F.col("p_partkey")
+    key = k.cast("string")
+    shape = lambda status, *more: [*more, F.col("p_brand").alias("type"), F.col("p_name").alias("name"), F.array(F.concat("p_type", F.lit(" "), F.col("p_size").cast("string"))).alias("aliases"), F.array(F.lower("p_type")).alias("tags"), F.array(F.concat(F.lit("r"), (k % 1200).cast("string"))).alias("sources"), status.alias("status")]
+    old = part.where("p_partkey % 10 = 0").select(*shape(F.when(k % 20 == 0, "archived").otherwise("active"), key.alias("id")))
+    proposals = part.where("p_partkey % 10 <> 0").select(*shape(F.when(k % 3 == 0, "disputed").otherwise("active"), key.alias("ref"), k.alias("seq")))
+    done, _ = O.apply_nodes(old, proposals, records(spark, sf).select("id"))
+    return done.select("id", "name", F.array_join("aliases", ",").alias("aliases"), F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources"), "status")
+
+
 @Q.add("""WITH e AS (SELECT 'c' || o_custkey AS from_id, 'status' AS relation, o_orderstatus AS to_id, o_orderkey AS seq, (epoch_us(o_orderdate) // 1000) AS vf FROM orders),
 c AS (SELECT *, CASE WHEN lag(to_id) OVER w = to_id THEN 0 ELSE 1 END AS ch FROM e WINDOW w AS (PARTITION BY from_id, relation ORDER BY seq)), i AS (SELECT *, sum(ch) OVER (PARTITION BY from_id, relation ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM c),
 r AS (SELECT from_id, relation, island, to_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, arg_min(vf, seq) AS vf FROM i GROUP BY 1, 2, 3, 4)

@@ -297,3 +297,29 @@ def test_days_of_an_archive(spark):
         days[r["ts_ms"] // 86_400_000] = days.get(r["ts_ms"] // 86_400_000, 0) + 1
     got = sources.a8_archive_redacted(spark, data).collect()
     assert {r["day"]: r["n"] for r in got} == days and all(r["whole"] for r in got)
+
+
+def test_proposals_fold_into_nodes(spark):
+    shape = "type string, name string, aliases array<string>, tags array<string>, sources array<string>, status string"
+    nodes = spark.createDataFrame([("n1", "tool", "Spark", ["apache spark"], ["t1"], ["r1"], "archived"), ("n2", "tool", "Duck", None, None, ["r2"], "active")], f"id string, {shape}")
+    proposals = spark.createDataFrame(
+        [
+            ("a", 3, "tool", " spark ", ["PySpark"], ["t2", "t1"], ["r3", "r1"], "active"),
+            ("b", 1, "tool", "pyspark", [], ["t3"], ["r4"], "active"),
+            ("c", 2, "person", "Duck", [], [], ["r2"], "active"),
+            ("d", 5, "tool", "duck", ["Ducky"], ["x"], ["r5"], "disputed"),
+            ("e", 4, "tool", "Other", [], [], ["r9"], "active"),
+            ("f", 6, "tool", " ", [], [], ["r1"], "active"),
+            ("g", 7, "tool", "Nothing", [], [], [], "active"),
+        ],
+        f"ref string, seq long, {shape}",
+    )
+    allowed = spark.createDataFrame([(f"r{k}",) for k in range(1, 6)], "id string")
+    done, dropped = graph.apply_nodes(nodes, proposals, allowed)
+    got = {r["id"]: (r["name"], r["aliases"], r["tags"], r["sources"], r["status"]) for r in done.collect()}
+    assert got == {
+        "n1": ("Spark", ["pyspark", "apache spark", "PySpark"], ["t1", "t3", "t2"], ["r4", "r3", "r1"], "archived"),
+        "n2": ("Duck", ["Ducky"], ["x"], ["r2", "r5"], "disputed"),
+        "new-c": ("Duck", [], [], ["r2"], "active"),
+    }
+    assert sorted(r["ref"] for r in dropped.collect()) == ["e", "f", "g"]
