@@ -166,9 +166,13 @@ def tokens(text: Column) -> Column:
 
 def grams(text: Column, n: int) -> Column:
     """Different runs of n characters; a text of at most n is one, an empty one has none."""
-    t = F.lower(squeezed(text))
-    slid = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= n, F.array(t)).otherwise(F.array_distinct(slid))
+
+    def of(t: Column) -> Column:
+        slid = F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= n, F.array(t)).otherwise(F.array_distinct(slid))
+
+    # a list of one text binds it: an expression inside the inner function would be evaluated for every run
+    return F.element_at(F.transform(F.array(F.lower(squeezed(text))), of), 1)
 
 
 def dot(a: Column, b: Column) -> Column:

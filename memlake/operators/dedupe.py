@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from memlake.functions import columns as C
 from memlake.operators.merges import merge_axes
-from memlake.operators.shared import ASKED, SETS, meeting, pack_sets, pairs_of_blocks
+from memlake.operators.shared import ASKED, SETS, checkpoint, meeting, pack_sets, pairs_of_blocks
 
 DUPLICATE, RELATED = 0.62, 0.30
 
@@ -72,13 +72,33 @@ def leader_clusters(items: DataFrame, tau: float = 0.92) -> DataFrame:
     return items.groupBy("batch", "family", "type").applyInPandas(run, "id string, leader string")
 
 
+def _runs(codes: np.ndarray, n: int) -> np.ndarray:
+    """Different runs of n characters, each as one number of 21 bits a character; a text of at most n characters is one run."""
+    if len(codes) <= n:
+        codes = np.concatenate([codes, np.full(n - len(codes), 0x1FFFFF, dtype=np.uint64)])  # no character
+    total = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        total = (total << np.uint64(21)) | codes[k : k + len(total)]
+    return np.unique(total)
+
+
 def _gram_sets(rows: DataFrame, order: str | None) -> DataFrame:
-    """(id, items, weights, scale): hashes of the 3-grams (even) and 2-grams (odd) of a content, how many of each, and its place."""
-    grams = lambda n: F.coalesce(C.grams(F.col("content"), n), F.array().cast("array<string>"))
-    hashed = lambda n, odd: F.transform(grams(n), lambda g: F.shiftleft(F.xxhash64(g), 1) + F.lit(odd))
-    sets = rows.select(F.col("id").cast("string").alias("id"), hashed(3, 0).alias("three"), hashed(2, 1).alias("two"), (F.col(order).cast("double") if order else F.lit(0.0)).alias("scale"))
-    sizes = F.array(F.size("three").cast("double"), F.size("two").cast("double"))
-    return sets.where(F.size("two") > 0).select("id", F.concat("three", "two").alias("items"), sizes.alias("weights"), "scale")
+    """(id, items, weights, scale): the 3-grams (even numbers) and 2-grams (odd ones) of a content, how many of each, and its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+                three, two = _runs(codes, 3) << np.uint64(1), _runs(codes, 2) << np.uint64(1) | np.uint64(1)
+                items.append(np.concatenate([three, two]).view(np.int64))
+                sizes.append([float(len(three)), float(len(two))])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(items) if items else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.list_(pa.float64())), batch.column(2)], ["id", "items", "weights", "scale"])
+
+    texts = rows.select(F.col("id").cast("string").alias("id"), C.content_key(F.col("content")).alias("text"), (F.col(order).cast("double") if order else F.lit(0.0)).alias("scale"))
+    return texts.where("text <> ''").mapInArrow(run, "id string, items array<long>, weights array<double>, scale double")
 
 
 def resembling(a: DataFrame, b: DataFrame, least: float, most: int, order: str | None = None) -> DataFrame:
@@ -123,7 +143,7 @@ def import_plan(bundle: DataFrame, existing: DataFrame) -> DataFrame:
     known = hashed(existing).groupBy("hash").agg(F.min("id").alias("dup_of"))
     rows = hashed(bundle).join(known, "hash", "left")
     fresh = rows.where("dup_of is null")
-    fresh = fresh.select("id", "seq", "content")
+    fresh = checkpoint(fresh.select("id", "seq", "content"))
     best = resembling(fresh, existing, RELATED, 3).groupBy("a").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("matched"))
     own = resembling(fresh, fresh, RELATED, 1, "seq").select("a", F.col("score").alias("own_best"))
     told = rows.join(best.withColumnRenamed("a", "id"), "id", "left").join(own.withColumnRenamed("a", "id"), "id", "left")
