@@ -45,31 +45,41 @@ def exact_dedupe(items: DataFrame) -> DataFrame:
 
 
 def leader_clusters(items: DataFrame, tau: float = 0.92) -> DataFrame:
-    """(id, leader) within a batch's (batch, family, type): the most similar earlier leader at tau or above, else itself.
+    """(id, leader) within a batch's (batch, family, type): the most similar earlier leader at tau or above, else itself; of equally similar ones the first.
 
-    A batch is what one distillation returned, so a group is small by contract.
+    A batch is what one distillation returned. Sorted partitions pass by as batches, and only the leaders of the group at hand are kept.
+    Vectors that are null, zero or not finite lead nobody and follow nobody.
     """
     least = min(0.99, max(0.85, tau))
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    group = ["batch", "family", "type"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        leaders: list[tuple[str, np.ndarray]] = []
-        out = []
-        for record, vector in zip(group["id"], group["embedding"], strict=True):
-            x = None if vector is None else np.asarray(vector, dtype=np.float64)
-            size = 0.0 if x is None else float(np.sqrt(x @ x))
-            found = record
-            if size > 0 and np.isfinite(size):
-                x = x / size
-                near = [(float(x @ y), -k, name) for k, (name, y) in enumerate(leaders) if len(y) == len(x)]
-                if near and max(near)[0] >= least:
-                    found = max(near)[2]
-                else:
-                    leaders.append((record, x))
-            out.append((record, found))
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    return items.groupBy("batch", "family", "type").applyInPandas(run, "id string, leader string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, names, leaders = False, None, {}, {}
+        for batch in batches:
+            found = []
+            for *own, record, vector in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if not begun or own != at:
+                    begun, at, names, leaders = True, own, {}, {}
+                x = np.array([np.nan if v is None else v for v in vector or ()], dtype=np.float64)
+                size = np.sqrt(x @ x) if len(x) else 0.0
+                best = record
+                if size > 0 and np.isfinite(size):
+                    x = x / size
+                    held, n = leaders.get(len(x), np.zeros((16, len(x)))), len(names.setdefault(len(x), []))
+                    near = held[:n] @ x if n else np.zeros(0)
+                    if n and near.max() >= least:
+                        best = names[len(x)][int(np.argmax(near))]
+                    else:
+                        held = held if n < len(held) else np.concatenate([held, np.zeros_like(held)])
+                        held[n] = x
+                        leaders[len(x)] = held
+                        names[len(x)].append(record)
+                found.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(found, batch.schema.field(3).type)], ["id", "leader"])
+
+    ordered = items.select(*group, "id", "embedding", "seq").repartition(*group).sortWithinPartitions(*group, "seq")
+    return ordered.drop("seq").mapInArrow(run, f"id {kinds['id']}, leader {kinds['id']}")
 
 
 def _runs(codes: np.ndarray, n: int) -> np.ndarray:
