@@ -50,7 +50,8 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", text_c
     rounded score and id. So tokens that nearly all texts have cost additions and no rows.
     """
     hashed = lambda t: F.transform(t, lambda x: F.xxhash64(x))
-    indexed = checkpoint(rows.select(F.col(id_col).cast("string").alias("id"), hashed(C.tokens(F.col(text_col))).alias("t")).where(F.size("t") > 0))
+    indexed = checkpoint(rows.select(F.col(id_col).cast("string").alias("id"), hashed(C.tokens(F.col(text_col))).alias("t")))
+    indexed = indexed.where(F.size("t") > 0)  # of what is written: before that, the filter would tokenise once more
     wanted = hashed(F.array_except(C.tokens(F.col("query")), F.array(*map(F.lit, stop_words)).cast("array<string>")))
     asked = checkpoint(queries.select(F.col("query_id").cast("string").alias("query_id"), F.explode(wanted).alias("token")))
     stats = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
