@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL that some are compared with."""
 
-from memlake.llm import bpe, compression_rules, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, quality, secrets, sharding, spelling, substring_dedup
+from memlake.llm import bpe, compression_rules, conversation_repair, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, quality, secrets, sharding, spelling, substring_dedup
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         quality.op10_bradley_terry,
         compression_rules.op11_compression_bands,
         spelling.op12_fm_spelling,
+        conversation_repair.op13_checkpointed_repair,
     )
 }
 
-ORACLE = {**exact_dedup.ORACLE, **mixing.ORACLE}
+ORACLE = {**exact_dedup.ORACLE, **mixing.ORACLE, **conversation_repair.ORACLE}

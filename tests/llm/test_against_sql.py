@@ -19,7 +19,8 @@ def plain(v):
 def test_query(spark, name):
     frame = queries.QUERIES[name](spark, DATA)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     columns = sorted(frame.columns)
     cursor = con.execute(queries.ORACLE[name])
     names = [d[0] for d in cursor.description]
