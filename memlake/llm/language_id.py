@@ -67,7 +67,10 @@ def follow_the_leader(examples: list, classes: int, alpha: float, beta: float, l
     examples: (features, values, class). A weight whose summed gradient stays below l1 is exactly zero.
     """
     z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
-    shrunk = lambda z, n: np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+
+    def shrunk(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+
     draw = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in draw.permutation(len(examples)):
@@ -79,7 +82,9 @@ def follow_the_leader(examples: list, classes: int, alpha: float, beta: float, l
             grown = n[at] + g * g
             z[at] += g - (np.sqrt(grown) - np.sqrt(n[at])) / alpha * w
             n[at] = grown
-    return shrunk(z, n)
+    for start in range(0, len(z), 1024):  # in parts: with many classes these are the largest arrays
+        z[start : start + 1024] = shrunk(z[start : start + 1024], n[start : start + 1024])
+    return z
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -133,7 +138,7 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = 1000,
-    max_languages: int = 4096,
+    max_languages: int = 1024,
     alpha: float = 0.5,
     beta: float = 1.0,
     l1: float = 0.02,
@@ -144,20 +149,23 @@ def fit(
     """Learn from rows where `learn` holds and text and language are not null; nothing else of other rows is used.
 
     Document frequencies are of all those rows. The weights are fitted, in one task, on a sample of at most
-    2 * per_language documents of each language, of which the max_languages most frequent are learned. Bounded by the buckets and languages, the model comes to the driver.
+    2 * per_language different documents of each language, of which the max_languages most frequent are learned: with 1,024 the task holds 0.6 GB of
+    weights and sums, and the model that comes to the driver and is broadcast has 134 MB.
     """
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample, counts = labelled_sample(rows, "id", "lang", per_language, max_languages)
+    sample, counts = labelled_sample(rows, "lang", per_language, max_languages)
     labels = sorted(counts)
     if not labels:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS + 1, 0)), 1.0)
     having, of = _frequencies(rows.select("text"))
     idf = np.log((1.0 + of) / (1.0 + having)) + 1.0
 
+    place = {label: k for k, label in enumerate(labels)}
+
     def train(group: pa.Table) -> pa.Table:
         order = np.argsort(group["key"].to_numpy(), kind="stable")
         langs, texts = group["lang"].to_pylist(), group["text"]
-        examples = [(*weighed(*grams(texts[int(k)].as_py()), idf), labels.index(langs[k])) for k in order]
+        examples = [(*weighed(*grams(texts[int(k)].as_py()), idf), place[langs[k]]) for k in order]
         held = [e for k, e in enumerate(examples) if k % OF < CALIBRATE]
         weights = follow_the_leader([e for k, e in enumerate(examples) if k % OF >= CALIBRATE], len(labels), alpha, beta, l1, l2, epochs, seed)
         logits = np.array([x @ weights[at] for at, x, _ in held]).reshape(len(held), len(labels))
@@ -168,7 +176,7 @@ def fit(
     if row is None:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
     weights = np.frombuffer(row["weights"], dtype=np.float32).reshape(BUCKETS + 1, len(labels))
-    return Model(labels, idf, weights.astype(np.float64), row["temperature"])
+    return Model(labels, idf, weights, row["temperature"])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -113,11 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """
     known = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    sample, counts = labelled_sample(known, "id", "label", per_label)
+    sample, counts = labelled_sample(known, "label", per_label)
     if set(counts) != {0, 1}:
         return Ranking(np.zeros(FEATURES), -1.0, 1.0, pass_score)
     chosen = checkpoint(sample)  # at most 4 * per_label narrow rows, so they can be broadcast
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "label", "text").limit(4 * per_label)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of documents that share an id, one
 
     def train(group: pa.Table) -> pa.Table:
         order = np.argsort(group["key"].to_numpy(), kind="stable")
