@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memlake.functions.names import SPACE
+
 # Types and their families, and the five-way hall of a type.
 CHAT_TYPES = ("persona", "episodic", "instruction", "user_info", "user_hobby", "user_communication", "user_behavior", "unclassified")
 WORK_TYPES = (
@@ -113,7 +115,8 @@ def rrf_term(rank0: Column, k: int = 60) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+    """Each run of white space, that beyond ASCII too, as one space; none at the ends."""
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def content_key(text: Column) -> Column:
@@ -185,10 +188,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
 
 
-def entity_name(name: Column) -> Column:
-    return F.lower(squeezed(name))
-
-
 # What hosts put into messages, and what is left in its place; fenced code; phrases of messages that say nothing.
 INJECTED = (
     (r"(?s)<(relevant-memories|user-persona|relevant-scenes|scene-navigation|memory-tools-guide|current_task_context)>.*?</\1>", ""),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memlake.functions import columns as C
+from memlake.functions import names as N
 from memlake.operators.shared import checkpoint, components
 
 DAY = 86_400_000
@@ -116,10 +116,13 @@ def session_watermark(messages: DataFrame) -> DataFrame:
 
 
 def claim_classes(claims: DataFrame) -> DataFrame:
-    """Claims (entity, attribute, scope, value, time_ms) by subject: agreement, conditional, supersession or hard."""
-    key = [C.entity_name(F.col(c)).alias(c) for c in ("entity", "attribute")]
-    groups = claims.select(*key, "scope", "value", "time_ms").groupBy("entity", "attribute").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"), F.countDistinct(F.coalesce("scope", F.lit(""))).alias("scopes"), F.count("time_ms").alias("timed"), F.countDistinct("time_ms").alias("times")
+    """Claims (entity, attribute, scope, value, time_ms) by subject: agreement, conditional, supersession or hard.
+
+    All four are compared by their keys (see `claim_key`), so `5 GB` and `5gb` agree; claims without an entity are left out.
+    """
+    keyed = claims.select(*(N.claim_key(F.col(c)).alias(c) for c in ("entity", "attribute", "scope", "value")), "time_ms").where("entity <> ''")
+    groups = keyed.groupBy("entity", "attribute").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"), F.countDistinct("scope").alias("scopes"), F.count("time_ms").alias("timed"), F.countDistinct("time_ms").alias("times")
     )
     verdict = F.when(F.col("values") <= 1, "agreement").when(F.col("scopes") > 1, "conditional").when((F.col("timed") == F.col("n")) & (F.col("times") == F.col("n")), "supersession").otherwise("hard")
     return groups.select("entity", "attribute", "n", "values", verdict.alias("verdict"))
@@ -127,7 +130,7 @@ def claim_classes(claims: DataFrame) -> DataFrame:
 
 def spellings(names: DataFrame) -> DataFrame:
     """Normalised names that are written in several ways: (key, spellings)."""
-    return names.groupBy(C.entity_name(F.col("name")).alias("key")).agg(F.countDistinct("name").alias("spellings")).where("spellings > 1")
+    return names.groupBy(N.claim_key(F.col("name")).alias("key")).agg(F.countDistinct("name").alias("spellings")).where("spellings > 1 and key <> ''")
 
 
 def affix_pairs(names: DataFrame, least: int = 4) -> DataFrame:
@@ -135,7 +138,7 @@ def affix_pairs(names: DataFrame, least: int = 4) -> DataFrame:
 
     Every name's affixes of that length meet the names in an equi-join, so no pairs are tried.
     """
-    keys = names.select(C.entity_name(F.col("name")).alias("key")).where("key <> ''").distinct()
+    keys = names.select(N.claim_key(F.col("name")).alias("key")).where("key <> ''").distinct()
     n = F.length("key")
     low = F.greatest(F.lit(least), F.ceil(n / 2).cast("int"))
     lengths = F.when(low <= n - 1, F.sequence(low, n - 1)).otherwise(F.array().cast("array<int>"))

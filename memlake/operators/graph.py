@@ -9,12 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
+from memlake.functions import names as N
 from memlake.operators.shared import checkpoint, components
 
 # What a token weighs by the field that has it, and the relations that count as causal.
 NODE_WEIGHTS = {"name": 6, "aliases": 5, "tags": 5, "state": 4, "facts": 4, "relations": 3, "type": 2}
 CONCEPT_WEIGHTS = {"name": 6, "aliases": 5, "definition": 5, "category": 3, "facts": 4}
-HOP_CAP, SOURCE_CAP = 64, 128
+HOP_CAP = 64
 
 
 def visible(nodes: DataFrame) -> DataFrame:
@@ -202,61 +203,23 @@ def edge_history(edges: DataFrame) -> DataFrame:
 
 
 def resolve_entities(names: DataFrame) -> DataFrame:
-    """(id, entity): ids that share a normalised name within their type are one entity, transitively; its least id names it.
+    """(id, entity): ids that share a spelling within their type and qualifier are one entity, transitively; its least id names it.
 
-    Each id is linked to the least one with its name; the entities are the connected components of those links, however
-    long the chains. Names without a letter are nobody's; ids with none of another are entities by themselves.
+    names: (id, type, name, own), where own marks an id's own name, not its aliases; without that column every name is its own. The
+    qualifier of an id is that of its own name (of several the least), and only its names with that qualifier join it to others. So ids of two
+    qualifiers are never one entity, though a third name links them. Each id is linked to the least one with its spelling; the
+    entities are the connected components of those links, however long the chains. Blank names are nobody's; ids without another are entities by themselves.
     """
-    named = names.select("id", "type", C.entity_name(F.col("name")).alias("name")).where("name <> ''")
-    named = checkpoint(named.distinct())
-    first = named.groupBy("type", "name").agg(F.min("id").alias("first"))
-    links = named.join(first, ["type", "name"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    own = F.col("own") if "own" in names.columns else F.lit(True)
+    parts = names.select("id", "type", own.alias("own"), N.base_of(F.col("name")).alias("base"), N.qualifier_of(F.col("name")).alias("qualifier")).where("base <> ''")
+    keyed = checkpoint(parts.select("id", "type", "own", N.name_key(F.col("base")).alias("name"), F.coalesce(N.name_key(F.col("qualifier")), F.lit("")).alias("qualifier")).distinct())
+    ids = keyed.select("id").distinct()
+    mine = keyed.where("own").groupBy("id").agg(F.min("qualifier").alias("of"))
+    named = keyed.join(mine, "id", "left").where(F.col("qualifier") == F.coalesce("of", F.lit(""))).select("id", "type", "qualifier", "name").distinct()
+    first = named.groupBy("type", "qualifier", "name").agg(F.min("id").alias("first"))
+    links = named.join(first, ["type", "qualifier", "name"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
     roots = components(links)
-    return named.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("entity"))
-
-
-def apply_nodes(nodes: DataFrame, proposals: DataFrame, allowed: DataFrame, most_aliases: int = 64, most_tags: int = 8, most_sources: int = SOURCE_CAP) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, name, aliases, tags, sources, status) after proposals (ref, seq, type, name, aliases, tags, sources, status), and the refs that are dropped.
-
-    A proposal without a name or a source, or with a source that isn't an allowed record (id), is dropped. The others join the
-    node or the proposals that share a type and a name or alias (see `resolve_entities`), and fold into it by seq: spellings and tags are
-    added in order, sources are the latest, and the last status counts, but an archived node doesn't become active again. A new node
-    is named by its first proposal's ref, `new-<ref>`.
-    """
-    each = proposals.select("ref", F.explode_outer("sources").alias("source"))
-    held = each.join(allowed.select(F.col("id").alias("source"), F.lit(True).alias("held")), "source", "left").groupBy("ref").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("good"))
-    told = checkpoint(proposals.join(held, "ref").withColumn("good", F.col("good") & (C.entity_name(F.coalesce("name", F.lit(""))) != "")))
-    good = told.where("good").select(F.concat(F.lit("p"), "ref").alias("key"), F.concat(F.lit("new-"), "ref").alias("id"), "seq", "type", "name", "aliases", "tags", "sources", "status")
-    old = nodes.select(F.concat(F.lit("n"), "id").alias("key"), "id", F.lit(-1).cast("long").alias("seq"), "type", "name", "aliases", "tags", "sources", "status")
-    every = checkpoint(old.unionByName(good))
-    names = every.select(F.col("key").alias("id"), "type", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    members = every.join(resolve_entities(names).select(F.col("id").alias("key"), "entity"), "key")
-    at = F.struct("seq", "key").alias("at")
-    ends = members.groupBy("entity").agg(F.min(F.struct(at, "id", "name", "status")).alias("first"), F.max(F.struct(at, "status")).alias("last"))
-    ends = checkpoint(ends)
-
-    def bounded(values: DataFrame, most: int, latest: bool) -> DataFrame:
-        """(entity, list): of rows (entity, o, value) each value once, in order, the first or the latest ones: no entity is gathered whole."""
-        once = values.groupBy("entity", "value").agg((F.max("o") if latest else F.min("o")).alias("o"))
-        k = F.row_number().over(W.partitionBy("entity").orderBy(F.desc("o") if latest else F.col("o")))
-        return once.withColumn("k", k).where(F.col("k") <= most).groupBy("entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "value"))), lambda x: x["value"]).alias("list"))
-
-    listed = lambda field: members.select("entity", "seq", "key", F.posexplode(field).alias("pos", "value"))
-    order = lambda kind: F.struct(F.lit(kind).alias("kind"), "seq", "key", "pos").alias("o")
-    named = members.select("entity", "seq", "key", F.lit(0).alias("pos"), F.col("name").alias("value")).select("entity", order(0), "value")
-    spellings = named.union(listed("aliases").select("entity", order(1), "value")).join(ends.select("entity", F.col("first.name").alias("own")), "entity")
-    spellings = spellings.where(C.entity_name(F.col("value")) != C.entity_name(F.col("own"))).select("entity", "o", "value")
-    lists = {
-        "aliases": bounded(spellings, most_aliases, False),
-        "tags": bounded(listed("tags").select("entity", order(0), "value"), most_tags, False),
-        "sources": bounded(listed("sources").select("entity", order(0), "value"), most_sources, True),
-    }
-    rows = ends
-    for name, values in lists.items():
-        rows = rows.join(values.withColumnRenamed("list", name), "entity", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    was = (F.col("first.at.seq") == -1) & (F.col("first.status") == "archived") & (F.col("last.status") == "active")
-    done = rows.select(F.col("first.id").alias("id"), F.col("first.name").alias("name"), "aliases", "tags", "sources", F.when(was, "archived").otherwise(F.col("last.status")).alias("status"))
-    return done, told.where("not good").select("ref")
+    return ids.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("entity"))
 
 
 def state_text(facts: DataFrame) -> DataFrame:
@@ -298,29 +261,14 @@ def explorer_sample(nodes: DataFrame, edges: DataFrame, causal: tuple[str, ...],
     return chosen.select("id", "layer"), ranked.select("id", "relation")
 
 
-def sweep(nodes: DataFrame, facts: DataFrame, role_words: list[str], synonyms: dict[str, str], hub: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Maintenance: nodes (id, name, type, family) whose name is a bare role are archived, or named with their family if they
-    have many facts and that name is free; facts (node, key) get canonical keys. Gives both, with what was done."""
-    counts = facts.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("facts"))
-    bare = C.entity_name(F.col("name")).isin(*role_words)
-    wanted = F.concat("name", F.lit(" ("), "family", F.lit(")"))
-    rows = nodes.join(counts, "id", "left").withColumn("wanted", F.when(bare & (F.coalesce("facts", F.lit(0)) >= hub), wanted))
-    taken = nodes.select(C.entity_name(F.col("name")).alias("taken")).distinct()
-    rows = rows.join(taken, C.entity_name(F.col("wanted")) == F.col("taken"), "left")
-    first = F.row_number().over(W.partitionBy("wanted").orderBy("id")) == 1
-    free = F.col("wanted").isNotNull() & F.col("taken").isNull() & first
-    done = rows.withColumn("free", free).select("id", F.when(F.col("free"), F.col("wanted")).otherwise(F.col("name")).alias("name"), F.when(F.col("free"), "qualified").when(bare, "archived").otherwise("kept").alias("done"))
-    key = F.coalesce(C.text_map(synonyms)[F.col("key")], F.col("key"))
-    return done, facts.select("node", key.alias("key"), (key != F.col("key")).alias("changed"))
-
-
 def context_nodes(record_texts: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     """(id, related): nodes for a batch of texts, those that share a token with it first, then the rest, by recency.
 
     Of nodes with a name or tag in common the first by id counts.
     """
     asked = record_texts.select(F.explode(C.tokens(F.col("text"))).alias("token")).distinct()
-    keys = nodes.select("id", F.explode(F.array_distinct(F.array(C.entity_name(F.col("name")), C.entity_name(F.col("tags"))))).alias("key")).where("key <> ''")
+    named = nodes.select("id", N.name_key(F.col("name")).alias("name"), N.name_key(F.col("tags")).alias("tags"))
+    keys = named.select("id", F.explode(F.array_distinct(F.array("name", "tags"))).alias("key")).where("key <> ''")
     first = keys.groupBy("key").agg(F.min("id").alias("first"))
     covered = keys.join(first, "key").where("id <> first").select("id").distinct()
     left = nodes.join(covered, "id", "left_anti")

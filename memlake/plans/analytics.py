@@ -159,15 +159,16 @@ def d16_session_watermark(spark, sf):
 
 @Q.add("""WITH g AS (SELECT 'customer' || (o_custkey % 700) AS entity, CASE WHEN o_orderkey % 3 = 0 THEN 'status' ELSE 'priority' END AS attribute, CASE WHEN o_orderkey % 50 = 0 THEN 'eu' END AS scope,
   CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE substr(o_orderpriority, 1, 1) END AS value, CASE WHEN o_custkey % 2 = 0 THEN (epoch_us(o_orderdate) // 1000) END AS time_ms FROM orders),
-a AS (SELECT entity, attribute, count(*) AS n, count(DISTINCT value) AS vals, count(DISTINCT coalesce(scope, '')) AS scopes, count(time_ms) AS timed, count(DISTINCT time_ms) AS times FROM g GROUP BY 1, 2)
+a AS (SELECT entity, attribute, count(*) AS n, count(DISTINCT lower(value)) AS vals, count(DISTINCT coalesce(scope, '')) AS scopes, count(time_ms) AS timed, count(DISTINCT time_ms) AS times FROM g GROUP BY 1, 2)
 SELECT entity, attribute, n, vals AS values, CASE WHEN vals <= 1 THEN 'agreement' WHEN scopes > 1 THEN 'conditional' WHEN timed = n AND times = n THEN 'supersession' ELSE 'hard' END AS verdict FROM a""")
 def d17_claim_classification(spark, sf):
     o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    value = F.when(k % 3 == 0, F.col("o_orderstatus")).otherwise(F.substring("o_orderpriority", 1, 1))
     claims = o.select(
         F.concat(F.lit("Customer"), (F.col("o_custkey") % 700).cast("string"), F.lit(" ")).alias("entity"),
         F.when(k % 3 == 0, "Status").otherwise("PRIORITY").alias("attribute"),
-        F.when(k % 50 == 0, "eu").alias("scope"),
-        F.when(k % 3 == 0, F.col("o_orderstatus")).otherwise(F.substring("o_orderpriority", 1, 1)).alias("value"),
+        F.when(k % 50 == 0, F.when(k % 100 == 0, "E U").otherwise("(eu)")).alias("scope"),
+        F.when(k % 2 == 0, F.concat(F.lit('"'), value, F.lit('" '))).otherwise(F.lower(value)).alias("value"),
         F.when(F.col("o_custkey") % 2 == 0, epoch_ms(F.col("o_orderdate"))).alias("time_ms"),
     )
     return O.claim_classes(claims)
@@ -181,12 +182,12 @@ def names(spark, sf):
     return read(spark, sf, "part").select(F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.concat("p_name", F.lit(" x"), (k % 9).cast("string"))).otherwise(F.col("p_name")).alias("name"))
 
 
-@Q.add(f"WITH {NAMES} SELECT lower(trim(name)) AS key, count(DISTINCT name) AS spellings FROM names GROUP BY 1 HAVING count(DISTINCT name) > 1")
+@Q.add(f"WITH {NAMES} SELECT lower(replace(name, ' ', '')) AS key, count(DISTINCT name) AS spellings FROM names GROUP BY 1 HAVING count(DISTINCT name) > 1")
 def d18_entity_spellings(spark, sf):
     return O.spellings(names(spark, sf))
 
 
-@Q.add(f"""WITH {NAMES}, k AS (SELECT DISTINCT lower(trim(name)) AS key FROM names)
+@Q.add(f"""WITH {NAMES}, k AS (SELECT DISTINCT lower(replace(name, ' ', '')) AS key FROM names)
 SELECT a.key AS short, b.key AS long FROM k a JOIN k b ON length(a.key) >= 4 AND length(b.key) > length(a.key) AND length(b.key) <= 2 * length(a.key) AND (starts_with(b.key, a.key) OR ends_with(b.key, a.key))""")
 def d18_affix_pairs(spark, sf):
     return O.affix_pairs(names(spark, sf))

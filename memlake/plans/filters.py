@@ -18,7 +18,7 @@ STATE = f"""CASE WHEN retired_reason IN ('manual','obsolete') THEN 'retired' WHE
   WHEN persistence IS NULL THEN CASE WHEN valid_to_ms > 0 AND valid_to_ms <= {NOW} THEN 'expired_suspect' ELSE 'current' END
   WHEN persistence = 'o' THEN CASE WHEN valid_to_ms IS NULL OR valid_to_ms <= 0 OR valid_to_ms > {NOW} THEN 'current' WHEN valid_to_source = 'evidence' THEN 'expired' ELSE 'expired_suspect' END
   ELSE 'historical' END"""
-KEY = r"lower(trim(regexp_replace({0}, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
+KEY = r"lower(trim(regexp_replace({0}, '[ \t\n\x0B\f\r\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', ' ', 'g')))"
 
 
 def family():
@@ -152,9 +152,13 @@ def h1_tokens(spark, sf):
     return rows.select("id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("tokens_md5"))
 
 
-@Q.add(f"WITH {RECORDS} SELECT id, sha256({KEY.format('content')}) AS digest FROM records")
+@Q.add(f"""WITH {RECORDS}, t AS (SELECT id, CASE seq % 4 WHEN 1 THEN replace(content, ' ', chr(12288)) WHEN 2 THEN chr(160) || replace(content, ' ', ' ' || chr(8195)) ELSE content END AS content FROM records)
+SELECT id, sha256({KEY.format('content')}) AS digest FROM t""")
 def h4_content_digest(spark, sf):
-    return records(spark, sf).select("id", C.content_digest(F.col("content")).alias("digest"))
+    """Digests of contents, of which half are written with other spaces."""
+    seq = F.col("seq") % 4
+    wide = F.when(seq == 1, F.replace("content", F.lit(" "), F.lit("\u3000"))).when(seq == 2, F.concat(F.lit("\xa0"), F.replace("content", F.lit(" "), F.lit(" \u2003")))).otherwise(F.col("content"))
+    return records(spark, sf).select("id", C.content_digest(wide).alias("digest"))
 
 
 @Q.add(f"WITH {RECORDS} SELECT id, sha256('inputs/v1' || chr(10) || length(id) || ':' || id || chr(10) || length(scene) || ':' || scene || chr(10)) AS digest FROM records")
@@ -182,13 +186,6 @@ def h10_norm_tags(spark, sf):
     return records(spark, sf).where(F.size("tags") > 0).select("id", F.array_join(C.norm_tags(raw), ",").alias("tags"))
 
 
-@Q.add("SELECT p_partkey, lower(trim(regexp_replace('  ' || upper(p_name) || chr(9) || ' (' || p_brand || ') ', '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS name, trim(regexp_extract(p_brand, '#(\\d+)$', 1)) AS qualifier FROM part".replace("\\\\", "\\"))
-def h12_entity_name(spark, sf):
-    part = read(spark, sf, "part")
-    raw = F.concat(F.lit("  "), F.upper("p_name"), F.lit("\t ("), "p_brand", F.lit(") "))
-    return part.select("p_partkey", C.entity_name(raw).alias("name"), F.regexp_extract("p_brand", r"#(\d+)$", 1).alias("qualifier"))
-
-
 @Q.add("""WITH a AS (SELECT vec_id, embedding FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.embedding AS x, b.embedding AS y FROM a JOIN a b ON b.vec_id = a.vec_id + 1)
 SELECT a, b, round(list_sum(list_transform(list_zip(x, y), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(x, lambda z: CAST(z AS DOUBLE) * z))) * sqrt(list_sum(list_transform(y, lambda z: CAST(z AS DOUBLE) * z)))), 6) AS cosine FROM p""")
 def h15_cosine(spark, sf):

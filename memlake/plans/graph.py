@@ -180,18 +180,6 @@ def j12_state_text(spark, sf):
     return O.state_text(rows)
 
 
-@Q.add()
-def j12_apply_nodes(spark, sf):
-    """Parts as proposals to nodes of every tenth; tests compare the fold with one by hand."""
-    part, k = read(spark, sf, "part"), F.col("p_partkey")
-    key = k.cast("string")
-    shape = lambda status, *more: [*more, F.col("p_brand").alias("type"), F.col("p_name").alias("name"), F.array(F.concat("p_type", F.lit(" "), F.col("p_size").cast("string"))).alias("aliases"), F.array(F.lower("p_type")).alias("tags"), F.array(F.concat(F.lit("r"), (k % 1200).cast("string"))).alias("sources"), status.alias("status")]
-    old = part.where("p_partkey % 10 = 0").select(*shape(F.when(k % 20 == 0, "archived").otherwise("active"), key.alias("id")))
-    proposals = part.where("p_partkey % 10 <> 0").select(*shape(F.when(k % 3 == 0, "disputed").otherwise("active"), key.alias("ref"), k.alias("seq")))
-    done, _ = O.apply_nodes(old, proposals, records(spark, sf).select("id"))
-    return done.select("id", "name", F.array_join("aliases", ",").alias("aliases"), F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources"), "status")
-
-
 @Q.add("""WITH e AS (SELECT 'c' || o_custkey AS from_id, 'status' AS relation, o_orderstatus AS to_id, o_orderkey AS seq, (epoch_us(o_orderdate) // 1000) AS vf FROM orders),
 c AS (SELECT *, CASE WHEN lag(to_id) OVER w = to_id THEN 0 ELSE 1 END AS ch FROM e WINDOW w AS (PARTITION BY from_id, relation ORDER BY seq)), i AS (SELECT *, sum(ch) OVER (PARTITION BY from_id, relation ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM c),
 r AS (SELECT from_id, relation, island, to_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, arg_min(vf, seq) AS vf FROM i GROUP BY 1, 2, 3, 4)
@@ -201,16 +189,6 @@ def j14_edge_history(spark, sf):
     return O.edge_history(o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("from_id"), F.lit("status").alias("relation"), F.col("o_orderstatus").alias("to_id"), F.col("o_orderkey").alias("seq"), epoch_ms(F.col("o_orderdate")).alias("valid_from_ms")))
 
 
-@Q.add("""WITH RECURSIVE n AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || chr(1) || lower(p_name) AS key FROM part UNION SELECT CAST(p_partkey AS VARCHAR), p_brand || chr(1) || lower(p_type || ' ' || p_size) FROM part),
-l AS (SELECT DISTINCT a.id AS a, b.id AS b FROM n a JOIN n b ON a.key = b.key), r(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a) SELECT id, min(other) AS entity FROM r GROUP BY id""")
-def j13_entity_resolution(spark, sf):
-    part = read(spark, sf, "part")
-    key = F.col("p_partkey").cast("string")
-    own = part.select(key.alias("id"), F.col("p_brand").alias("type"), F.col("p_name").alias("name"))
-    alias = part.select(key.alias("id"), F.col("p_brand").alias("type"), F.concat(F.upper("p_type"), F.lit(" "), F.col("p_size").cast("string")).alias("name"))
-    return O.resolve_entities(own.union(alias))
-
-
 @Q.add(f"""WITH {RECORDS}, {NODES}, {SOURCES}, s AS (SELECT s.id, bool_and(r.id IS NULL) AS gone, bool_and(coalesce(r.retired_reason IS NOT NULL, true) OR r.id IS NULL) AS exited, bool_and(r.id IS NOT NULL AND r.retired_reason IS NULL) AS live, bool_or(r.id IS NOT NULL AND r.seq % 23 = 0) AS disputed FROM (SELECT DISTINCT id, record_id FROM sources) s LEFT JOIN records r ON s.record_id = r.id GROUP BY s.id)
 SELECT n.id, CASE WHEN n.status IN ('active', 'disputed') AND (gone OR exited) THEN 'archived' WHEN n.status = 'archived' AND live THEN 'active' WHEN n.status = 'active' AND disputed THEN 'disputed' WHEN n.status = 'disputed' AND NOT disputed THEN 'active' ELSE n.status END AS status FROM nodes n LEFT JOIN s ON n.id = s.id""")
 def j15_j16_j17_propagation(spark, sf):
@@ -249,30 +227,7 @@ def j7_explorer_edges(spark, sf):
     return O.explorer_sample(nodes(spark, sf), edges(spark, sf), CAUSAL, 200, 300)[1]
 
 
-ROLES = ["red widget", "blue bolt", "small ring"]
-
-
-def swept(spark, sf):
-    part = read(spark, sf, "part")
-    named = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("family"))
-    lines = read(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("node"), F.col("l_returnflag").alias("key"))
-    return O.sweep(named, lines, ROLES, {"R": "returned", "A": "accepted"})
-
-
-@Q.add(f"""WITH p AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_brand AS family FROM part), c AS (SELECT 'p' || l_partkey AS id, count(*) AS facts FROM lineitem GROUP BY 1),
-w AS (SELECT p.*, lower(name) IN ({', '.join(repr(r) for r in ROLES)}) AS bare, CASE WHEN lower(name) IN ({', '.join(repr(r) for r in ROLES)}) AND coalesce(facts, 0) >= 20 THEN name || ' (' || family || ')' END AS wanted FROM p LEFT JOIN c ON p.id = c.id),
-f AS (SELECT *, wanted IS NOT NULL AND lower(wanted) NOT IN (SELECT lower(name) FROM p) AND row_number() OVER (PARTITION BY wanted ORDER BY id) = 1 AS free FROM w)
-SELECT id, CASE WHEN free THEN wanted ELSE name END AS name, CASE WHEN free THEN 'qualified' WHEN bare THEN 'archived' ELSE 'kept' END AS done FROM f""")
-def j18_graph_sweep(spark, sf):
-    return swept(spark, sf)[0]
-
-
-@Q.add("SELECT CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE l_returnflag END AS key, l_returnflag IN ('R', 'A') AS changed, count(*) AS n FROM lineitem GROUP BY 1, 2")
-def h13_fact_keys(spark, sf):
-    return swept(spark, sf)[1].groupBy("key", "changed").agg(F.count(F.lit(1)).alias("n"))
-
-
-@Q.add(f"""WITH {NODES}, a AS (SELECT DISTINCT unnest({TOK.format("p_type || ' nation_3 red'")}) AS token FROM part), k AS (SELECT DISTINCT id, unnest([lower(trim(name)), lower(trim(tags))]) AS key FROM nodes),
+@Q.add(f"""WITH {NODES}, a AS (SELECT DISTINCT unnest({TOK.format("p_type || ' nation_3 red'")}) AS token FROM part), k AS (SELECT DISTINCT id, unnest([regexp_replace(lower(name), '[ _-]+', '', 'g'), regexp_replace(lower(tags), '[ _-]+', '', 'g')]) AS key FROM nodes),
 f AS (SELECT key, min(id) AS first FROM k WHERE key <> '' GROUP BY 1), cov AS (SELECT DISTINCT id FROM k JOIN f USING (key) WHERE id <> first), l AS (SELECT * FROM nodes WHERE id NOT IN (SELECT id FROM cov)),
 r AS (SELECT id, updated_ms, len(list_intersect({TOK.format("name || ' ' || tags || ' ' || state")}, (SELECT list(token) FROM a))) > 0 AS related FROM l) SELECT id, related FROM r ORDER BY related DESC, updated_ms DESC, id LIMIT 60""")
 def f7_context_nodes(spark, sf):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
-from memlake.operators import analytics, dedupe, filters, graph, merges, ranking, redaction, retrieval, shared
+from memlake.operators import analytics, dedupe, filters, graph, merges, projection, ranking, redaction, retrieval, shared
 from memlake.plans import sources
 from memlake.sources import bundle, derived
 from memlake.streaming import turns
@@ -315,7 +315,7 @@ def test_proposals_fold_into_nodes(spark):
         f"ref string, seq long, {shape}",
     )
     allowed = spark.createDataFrame([(f"r{k}",) for k in range(1, 6)], "id string")
-    done, dropped = graph.apply_nodes(nodes, proposals, allowed)
+    done, dropped = projection.apply_nodes(nodes, proposals, allowed)
     got = {r["id"]: (r["name"], r["aliases"], r["tags"], r["sources"], r["status"]) for r in done.collect()}
     assert got == {
         "n1": ("Spark", ["pyspark", "apache spark", "PySpark"], ["t1", "t3", "t2"], ["r4", "r3", "r1"], "archived"),
