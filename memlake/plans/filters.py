@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
 from memlake.operators import filters as O
+from memlake.operators.spans import as_of_join
 from memlake.plans.registry import Queries
 from memlake.sources.derived import DAY, MESSAGES, NOW, RECORDS, messages, read, records
 
@@ -83,7 +84,7 @@ SELECT at_ms AS at, count(*) AS n, sum(seq) AS ids FROM t JOIN records ON retire
 def b8_as_of_join(spark, sf):
     rows = records(spark, sf)
     times = spark.range(12).select((F.lit(NOW) - F.col("id") * 7 * DAY).alias("at"))
-    found = O.as_of_join(rows, times, 7 * DAY)
+    found = as_of_join(rows, times, 7 * DAY)
     return found.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.sum(F.substring("id", 2, 20).cast("long")).alias("ids"))
 
 

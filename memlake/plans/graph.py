@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlake.functions import columns as C
+from memlake.operators import asof as A
 from memlake.operators import graph as O
 from memlake.operators.retrieval import vector_search
+from memlake.operators.shared import checkpoint
 from memlake.plans.registry import Queries
 from memlake.plans.retrieval import vector_sql
 from memlake.sources.derived import DAY, NOW, RECORDS, epoch_ms, read, records
@@ -17,10 +20,11 @@ CAUSAL = ("supplies_first", "caused_by")
 def nodes(spark, sf):
     def kind(name, key, label, type_, tags, state):
         k = F.col(key)
-        status = F.when(k % 19 == 0, "archived").when(k % 7 == 0, "disputed").otherwise("active")
+        status = F.when(k % 19 == 0, "archived").when(k % 7 == 0, "disputed").when(k % 23 == 0, "superseded").otherwise("active")
+        updated = F.lit(NOW) - (k % 60) * DAY
         return read(spark, sf, name).select(
             F.concat(F.lit(type_[0]), k.cast("string")).alias("id"), label.alias("name"), F.lit(type_).alias("type"), tags.alias("tags"), state.alias("state"), F.lit("").alias("aliases"), F.lit("").alias("facts"), F.lit("").alias("relations"),
-            status.alias("status"), (F.lit(NOW) - (k % 60) * DAY).alias("updated_ms"))
+            status.alias("status"), updated.alias("updated_ms"), (updated - (k % 500) * DAY).alias("created_ms"))
 
     none = F.lit("")
     return O.union_all(
@@ -34,7 +38,7 @@ def nodes(spark, sf):
 
 
 def node_sql(table, key, label, type_, tags="''", state="''"):
-    return f"SELECT '{type_[0]}' || {key} AS id, {label} AS name, '{type_}' AS type, {tags} AS tags, {state} AS state, CASE WHEN {key} % 19 = 0 THEN 'archived' WHEN {key} % 7 = 0 THEN 'disputed' ELSE 'active' END AS status, {NOW} - ({key} % 60) * {DAY} AS updated_ms FROM {table}"
+    return f"SELECT '{type_[0]}' || {key} AS id, {label} AS name, '{type_}' AS type, {tags} AS tags, {state} AS state, CASE WHEN {key} % 19 = 0 THEN 'archived' WHEN {key} % 7 = 0 THEN 'disputed' WHEN {key} % 23 = 0 THEN 'superseded' ELSE 'active' END AS status, {NOW} - ({key} % 60) * {DAY} AS updated_ms, {NOW} - ({key} % 60) * {DAY} - ({key} % 500) * {DAY} AS created_ms FROM {table}"
 
 
 NODES = "nodes AS (" + " UNION ALL ".join([node_sql("customer", "c_custkey", "c_name", "customer", "lower(c_mktsegment)"), node_sql("supplier", "s_suppkey", "s_name", "supplier"), node_sql("part", "p_partkey", "p_name", "part", "lower(p_type)", "lower(p_brand)"), node_sql("nation", "n_nationkey", "n_name", "nation")]) + ")"
@@ -42,15 +46,15 @@ NODES = "nodes AS (" + " UNION ALL ".join([node_sql("customer", "c_custkey", "c_
 
 def edges(spark, sf):
     lines = read(spark, sf, "lineitem")
-    supply = lines.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to_id"), F.when(F.col("l_linenumber") == 1, "supplies_first").otherwise("supplies").alias("relation")).agg(F.max(F.col("l_returnflag") == "R").alias("r"))
-    place = lambda t, key, n: read(spark, sf, t).select(F.concat(F.lit(t[0]), F.col(key).cast("string")).alias("from_id"), F.concat(F.lit("n"), F.col(n).cast("string")).alias("to_id"), F.lit("located_in").alias("relation"), F.lit(False).alias("r"))
+    supply = lines.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to_id"), F.when(F.col("l_linenumber") == 1, "supplies_first").otherwise("supplies").alias("relation")).agg(F.max(F.col("l_returnflag") == "R").alias("r"), epoch_ms(F.min("l_shipdate")).alias("from_ms"), (epoch_ms(F.max("l_shipdate")) + F.max(F.col("l_partkey") % 400) * DAY).alias("to_ms"))
+    place = lambda t, key, n: read(spark, sf, t).select(F.concat(F.lit(t[0]), F.col(key).cast("string")).alias("from_id"), F.concat(F.lit("n"), F.col(n).cast("string")).alias("to_id"), F.lit("located_in").alias("relation"), F.lit(False).alias("r"), F.lit(None).cast("long").alias("from_ms"), F.lit(None).cast("long").alias("to_ms"))
     every = O.union_all([supply, place("customer", "c_custkey", "c_nationkey"), place("supplier", "s_suppkey", "s_nationkey")])
-    return every.select(F.concat_ws("/", "from_id", "relation", "to_id").alias("id"), "from_id", "to_id", "relation", F.when(F.col("r"), "superseded").otherwise("active").alias("status"))
+    return every.select(F.concat_ws("/", "from_id", "relation", "to_id").alias("id"), "from_id", "to_id", "relation", F.when(F.col("r"), "superseded").otherwise("active").alias("status"), "from_ms", F.when(F.col("r"), F.col("to_ms")).alias("to_ms"))
 
 
-EDGES = """edges AS (SELECT f || '/' || relation || '/' || t AS id, f AS from_id, t AS to_id, relation, CASE WHEN r THEN 'superseded' ELSE 'active' END AS status FROM (
-  SELECT 's' || l_suppkey AS f, 'p' || l_partkey AS t, CASE WHEN l_linenumber = 1 THEN 'supplies_first' ELSE 'supplies' END AS relation, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1, 2, 3
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'located_in', false FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in', false FROM supplier)),
+EDGES = f"""edges AS (SELECT f || '/' || relation || '/' || t AS id, f AS from_id, t AS to_id, relation, CASE WHEN r THEN 'superseded' ELSE 'active' END AS status, vf, CASE WHEN r THEN vt END AS vt FROM (
+  SELECT 's' || l_suppkey AS f, 'p' || l_partkey AS t, CASE WHEN l_linenumber = 1 THEN 'supplies_first' ELSE 'supplies' END AS relation, bool_or(l_returnflag = 'R') AS r, epoch_us(min(l_shipdate)) // 1000 AS vf, epoch_us(max(l_shipdate)) // 1000 + max(l_partkey % 400) * {DAY} AS vt FROM lineitem GROUP BY 1, 2, 3
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'located_in', false, NULL, NULL FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in', false, NULL, NULL FROM supplier)),
 ways AS (SELECT from_id AS a, to_id AS b, relation FROM edges WHERE status = 'active' UNION ALL SELECT to_id, from_id, relation FROM edges WHERE status = 'active'),
 vis AS (SELECT * FROM nodes WHERE status IN ('active', 'disputed'))"""
 DEG = "deg AS (SELECT id, count(*) AS degree, count(*) FILTER (relation IN ('supplies_first', 'caused_by')) AS causal FROM (SELECT unnest([from_id, to_id]) AS id, relation FROM edges WHERE status = 'active' AND from_id IN (SELECT id FROM vis) AND to_id IN (SELECT id FROM vis)) GROUP BY id)"
@@ -63,30 +67,50 @@ def sources(spark, sf):
     return nodes(spark, sf).select("id", F.explode(each).alias("x")).select("id", F.concat(F.lit("r"), ((k * F.col("x.m")) % 1200).cast("string")).alias("record_id"), "x.pos")
 
 
+EPOCH_1996 = 820_454_400_000
+
+
 def facts(spark, sf):
-    k = F.substring("id", 2, 20).cast("long")
-    return nodes(spark, sf).where("type = 'part'").select("id", F.concat(F.lit("r"), ((k * 11) % 1200).cast("string")).alias("record_id"), F.lit(0).alias("pos"), F.when(k % 3 == 0, "superseded").otherwise("active").alias("status"))
+    rows = read(spark, sf, "part")
+    k = F.col("p_partkey")
+    since = F.lit(EPOCH_1996) + (k % 2000) * DAY
+    return rows.select(F.concat(F.lit("p"), k.cast("string")).alias("id"), F.concat(F.lit("r"), ((k * 11) % 1200).cast("string")).alias("record_id"), F.lit(0).alias("pos"), F.when(k % 3 == 0, "superseded").otherwise("active").alias("status"), F.concat(F.lit("size_"), F.col("p_size").cast("string")).alias("text"), since.alias("from_ms"), F.when(k % 5 != 0, since + (k % 900) * DAY).alias("to_ms"))
 
 
-FACTS = "facts AS (SELECT id, 'r' || ((CAST(substr(id, 2) AS BIGINT) * 11) % 1200) AS record_id, 0 AS pos, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 = 0 THEN 'superseded' ELSE 'active' END AS status FROM nodes WHERE type = 'part')"
-ASKED = [("q1", "red widget brand"), ("q2", "small ring economy"), ("q3", "customer#000000007 machinery"), ("q4", "nation_3 blue bolt")]
-ASKED_SQL = "asked(query_id, query) AS (VALUES " + ", ".join(map(str, ASKED)) + ")"
+FACTS = f"facts AS (SELECT 'p' || p_partkey AS id, 'r' || ((p_partkey * 11) % 1200) AS record_id, 0 AS pos, CASE WHEN p_partkey % 3 = 0 THEN 'superseded' ELSE 'active' END AS status, 'size_' || p_size AS text, {EPOCH_1996} + (p_partkey % 2000) * {DAY} AS vf, CASE WHEN p_partkey % 5 <> 0 THEN {EPOCH_1996} + (p_partkey % 2000) * {DAY} + (p_partkey % 900) * {DAY} END AS vt FROM part)"
 TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9_-]+'))"
-SEARCH = f"""hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_ms DESC, id) AS rank FROM (
-  SELECT query_id, n.id, sum(w) AS score, max(updated_ms) AS updated_ms FROM (SELECT id, updated_ms, unnest([6, 5, 4, 2]) AS w, unnest([name, tags, state, type]) AS f FROM vis) n, (SELECT query_id, unnest({TOK.format('query')}) AS token FROM asked) q WHERE list_contains({TOK.format('f')}, token) GROUP BY 1, 2)) WHERE rank <= 10)"""
+#: Questions: every twentieth part asks for its name, the customer and the supplier of its number and a nation, two of three times for a time in the past.
+ASKED_SQL = f"asked AS (SELECT 'q' || p_partkey AS query_id, p_name || ' ' || lpad(p_partkey::VARCHAR, 9, '0') || ' nation_' || (p_partkey % 25) || ' size_' || p_size || CASE WHEN p_partkey % 200 = 0 THEN ' supplies_first' ELSE '' END AS query, CASE WHEN p_partkey % 60 = 20 THEN {NOW} - (p_partkey % 300) * {DAY} WHEN p_partkey % 60 = 40 THEN {EPOCH_1996} + (p_partkey % 1500) * {DAY} END AS at_ms FROM part WHERE p_partkey % 20 = 0)"
 
 
-def asked(spark):
-    return spark.createDataFrame(ASKED, "query_id string, query string")
+def asked(spark, sf):
+    k = F.col("p_partkey")
+    text = F.concat("p_name", F.lit(" "), F.lpad(k.cast("string"), 9, "0"), F.lit(" nation_"), (k % 25).cast("string"), F.lit(" size_"), F.col("p_size").cast("string"), F.when(k % 200 == 0, " supplies_first").otherwise(""))
+    at = F.when(k % 60 == 20, F.lit(NOW) - (k % 300) * DAY).when(k % 60 == 40, F.lit(EPOCH_1996) + (k % 1500) * DAY)
+    return read(spark, sf, "part").where(k % 20 == 0).select(F.concat(F.lit("q"), k.cast("string")).alias("query_id"), text.alias("query"), at.alias("at_ms"))
 
 
-def found(spark, sf):
-    return O.field_search(asked(spark), O.visible(nodes(spark, sf)), O.NODE_WEIGHTS, 10)
+def found(spark, sf, links):
+    return A.search(asked(spark, sf), nodes(spark, sf), facts(spark, sf), links)
 
 
-@Q.add(f"WITH {NODES}, {EDGES}, {ASKED_SQL}, {SEARCH} SELECT query_id, id, CAST(score AS BIGINT) AS score, rank FROM hits")
+#: What holds for a query: active rows, and superseded ones in whose span its time lies.
+HELD = "({0}.status = 'active' OR ({0}.status = 'superseded' AND at_ms IS NOT NULL AND ({0}.vf IS NULL OR {0}.vf <= at_ms) AND ({0}.vt IS NULL OR at_ms < {0}.vt)))"
+SEARCH = f"""qt AS (SELECT query_id, at_ms, unnest({TOK.format('query')}) AS token FROM asked),
+hit0 AS (SELECT query_id, id, field, w, token FROM (SELECT id, unnest(['name', 'tags', 'state', 'type']) AS field, unnest([6, 5, 4, 2]) AS w, unnest([{TOK.format('name')}, {TOK.format('tags')}, {TOK.format('state')}, {TOK.format('type')}]) AS t FROM vis) n JOIN qt ON list_contains(t, token)
+  UNION SELECT query_id, f.id, 'facts', 4, token FROM (SELECT facts.*, unnest({TOK.format('text')}) AS token FROM facts SEMI JOIN vis ON vis.id = facts.id) f JOIN qt USING (token) WHERE {HELD.format('f')}
+  UNION SELECT query_id, e.id, 'relations', 3, token FROM (SELECT unnest([from_id, to_id]) AS id, status, vf, vt, unnest([{TOK.format('relation')}, {TOK.format('relation')}]) AS t FROM edges) e JOIN qt ON list_contains(t, token) SEMI JOIN vis ON vis.id = e.id WHERE {HELD.format('e')}),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, updated_ms DESC, id) AS rank FROM (SELECT query_id, hit0.id, sum(w) AS score, any_value(updated_ms) AS updated_ms, list_sort(list(DISTINCT field)) AS fields FROM hit0 JOIN vis ON vis.id = hit0.id GROUP BY 1, 2) WHERE fields <> ['relations']) WHERE rank <= 10)"""
+#: Records of hits (a table of query_id, id, rank) at the queries' times: places of direct ones, then of those of neighbours.
+EXPAND = f"""d AS (SELECT query_id, record_id, min((rank, part, pos)) AS o FROM (SELECT query_id, record_id, rank, 0 AS part, pos FROM {{0}} JOIN sources USING (id) UNION ALL SELECT query_id, record_id, rank, 1, pos FROM {{0}} JOIN asked USING (query_id) JOIN facts USING (id) WHERE {HELD.format('facts')}) GROUP BY 1, 2),
+near AS (SELECT DISTINCT query_id, at_ms, other FROM {{0}} h JOIN asked USING (query_id) JOIN (SELECT from_id AS id, to_id AS other, status, vf, vt FROM edges UNION ALL SELECT to_id, from_id, status, vf, vt FROM edges) e ON e.id = h.id WHERE {HELD.format('e')}),
+r AS (SELECT query_id, record_id, min((-updated_ms, other, pos)) AS o FROM near JOIN nodes n ON n.id = other JOIN sources s ON s.id = other WHERE (n.status IN ('active', 'disputed') OR (n.status = 'superseded' AND created_ms <= at_ms AND at_ms < updated_ms)) AND (query_id, other) NOT IN (SELECT (query_id, id) FROM {{0}}) AND (query_id, record_id) NOT IN (SELECT (query_id, record_id) FROM d) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM r), p AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM d UNION ALL SELECT k.query_id, record_id, k + coalesce(n, 0) FROM k LEFT JOIN (SELECT query_id, count(*) AS n FROM d GROUP BY 1) USING (query_id) WHERE k <= 64)"""
+
+
+@Q.add(f"WITH {NODES}, {EDGES}, {FACTS}, {ASKED_SQL}, {SEARCH} SELECT query_id, id, CAST(score AS BIGINT) AS score, array_to_string(fields, ',') AS fields, rank FROM hits")
 def j1_node_search(spark, sf):
-    return found(spark, sf).select("query_id", "id", "score", "rank")
+    return found(spark, sf, edges(spark, sf)).select("query_id", "id", "score", F.array_join("fields", ",").alias("fields"), "rank")
 
 
 @Q.add(f"""WITH {ASKED_SQL}, c AS (SELECT 't' || p_partkey AS id, p_name AS name, p_type || ' of ' || p_brand AS definition, p_type AS category, p_partkey AS updated_ms FROM part),
@@ -94,15 +118,13 @@ s AS (SELECT query_id, n.id, sum(w) AS score, max(updated_ms) AS u FROM (SELECT
 SELECT query_id, id, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, u DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def j2_concept_search(spark, sf):
     concepts = read(spark, sf, "part").select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.concat("p_type", F.lit(" of "), "p_brand").alias("definition"), F.col("p_type").alias("category"), F.lit("").alias("aliases"), F.lit("").alias("facts"), F.col("p_partkey").alias("updated_ms"))
-    return O.field_search(asked(spark), concepts, O.CONCEPT_WEIGHTS, 10, None).select("query_id", "id", "score", "rank")
+    return O.field_search(asked(spark, sf), concepts, O.CONCEPT_WEIGHTS, 10, None).select("query_id", "id", "score", "rank")
 
 
-@Q.add(f"""WITH {NODES}, {EDGES}, {SOURCES}, {FACTS}, {ASKED_SQL}, {SEARCH}, d AS (SELECT query_id, record_id, min((rank, part, pos)) AS o FROM (SELECT query_id, record_id, rank, 0 AS part, pos FROM hits JOIN sources USING (id) UNION ALL SELECT query_id, record_id, rank, 1, pos FROM hits JOIN facts USING (id) WHERE facts.status = 'active') GROUP BY 1, 2),
-h AS (SELECT DISTINCT query_id, b AS id FROM hits JOIN ways ON hits.id = a WHERE (query_id, b) NOT IN (SELECT (query_id, id) FROM hits)), r AS (SELECT query_id, record_id, min((-updated_ms, h.id, pos)) AS o FROM h JOIN vis ON h.id = vis.id JOIN sources ON sources.id = h.id WHERE (query_id, record_id) NOT IN (SELECT (query_id, record_id) FROM d) GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM r) SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM d
-UNION ALL SELECT query_id, record_id, k + coalesce((SELECT count(*) FROM d WHERE d.query_id = k.query_id), 0) FROM k WHERE k <= 64""")
+@Q.add(f"WITH {NODES}, {EDGES}, {SOURCES}, {FACTS}, {ASKED_SQL}, {SEARCH}, {EXPAND.format('hits')} SELECT query_id, record_id, place FROM p")
 def j3_expand_to_records(spark, sf):
-    return O.expand_to_records(found(spark, sf).select("query_id", "id", "rank"), nodes(spark, sf), edges(spark, sf), sources(spark, sf), facts(spark, sf))
+    links = checkpoint(edges(spark, sf))
+    return A.expand(found(spark, sf, links), asked(spark, sf), nodes(spark, sf), links, sources(spark, sf), facts(spark, sf))
 
 
 @Q.add(f"WITH {NODES}, {EDGES}, {DEG} SELECT * FROM deg")
@@ -235,22 +257,19 @@ def f7_context_nodes(spark, sf):
     return O.context_nodes(texts, nodes(spark, sf), 60)
 
 
-SEEDED = f"""v0 AS (SELECT 'q' || vec_id AS query_id, embedding FROM embeddings WHERE vec_id BETWEEN 1 AND 4), v1 AS (SELECT 'p' || vec_id AS id, embedding FROM embeddings WHERE 'p' || vec_id IN (SELECT id FROM vis)), {vector_sql('near', 'v0', 'v1', 3)},
-seeded AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY lane, rank) AS rank FROM (SELECT query_id, id, 0 AS lane, rank FROM hits UNION ALL SELECT query_id, id, 1, rank FROM near WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM hits)))"""
+SEEDED = f"""v0 AS (SELECT 'q' || vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0 AND 'q' || vec_id IN (SELECT query_id FROM asked)), v1 AS (SELECT 'p' || vec_id AS id, embedding FROM embeddings WHERE 'p' || vec_id IN (SELECT id FROM vis)), {vector_sql('nearest', 'v0', 'v1', 3)},
+seeded AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY lane, rank) AS rank FROM (SELECT query_id, id, 0 AS lane, rank FROM hits UNION ALL SELECT query_id, id, 1, rank FROM nearest WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM hits)))"""
 
 
-@Q.add(f"""WITH {RECORDS}, {NODES}, {EDGES}, {SOURCES}, {FACTS}, {ASKED_SQL}, {SEARCH}, {SEEDED}, d AS (SELECT query_id, record_id, min((rank, part, pos)) AS o FROM (SELECT query_id, record_id, rank, 0 AS part, pos FROM seeded JOIN sources USING (id) UNION ALL SELECT query_id, record_id, rank, 1, pos FROM seeded JOIN facts USING (id) WHERE facts.status = 'active') GROUP BY 1, 2),
-h AS (SELECT DISTINCT query_id, b AS id FROM seeded JOIN ways ON seeded.id = a WHERE (query_id, b) NOT IN (SELECT (query_id, id) FROM seeded)), r AS (SELECT query_id, record_id, min((-updated_ms, h.id, pos)) AS o FROM h JOIN vis ON h.id = vis.id JOIN sources ON sources.id = h.id WHERE (query_id, record_id) NOT IN (SELECT (query_id, record_id) FROM d) GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM r), p AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM d UNION ALL SELECT query_id, record_id, k + coalesce((SELECT count(*) FROM d WHERE d.query_id = k.query_id), 0) FROM k WHERE k <= 64)
+@Q.add(f"""WITH {RECORDS}, {NODES}, {EDGES}, {SOURCES}, {FACTS}, {ASKED_SQL}, {SEARCH}, {SEEDED}, {EXPAND.format('seeded')}
 SELECT query_id, record_id, place FROM p JOIN records r ON p.record_id = r.id WHERE r.retired_reason IS NULL AND (r.scope = 'global' OR coalesce(r.workspace_id = 'w1', false))""")
 def i8_graph_lane(spark, sf):
-    from memlake.functions import columns as C
-
     seen_nodes = O.visible(nodes(spark, sf))
-    e = read(spark, sf, "embeddings")
-    asked_vectors = e.where("vec_id between 1 and 4").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding")
+    e, questions = read(spark, sf, "embeddings"), asked(spark, sf)
+    asked_vectors = e.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query_id"), "embedding").join(questions.select("query_id"), "query_id", "left_semi")
     of_nodes = e.select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("id"), "embedding").join(seen_nodes.select("id"), "id", "left_semi")
-    hits = O.with_seeds(found(spark, sf).select("query_id", "id", "rank"), vector_search(asked_vectors, of_nodes, 3))
-    found_ids = O.expand_to_records(hits, nodes(spark, sf), edges(spark, sf), sources(spark, sf), facts(spark, sf))
+    links = checkpoint(edges(spark, sf))
+    hits = O.with_seeds(found(spark, sf, links).select("query_id", "id", "rank"), vector_search(asked_vectors, of_nodes, 3))
+    found_ids = A.expand(hits, questions, nodes(spark, sf), links, sources(spark, sf), facts(spark, sf))
     seen = records(spark, sf).where("retired_reason is null").where(C.scope_visible(F.col("scope"), F.col("workspace_id"), F.lit("w1"))).select(F.col("id").alias("record_id"))
     return found_ids.join(seen, "record_id").select("query_id", "record_id", "place")

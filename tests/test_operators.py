@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
-from memlake.operators import analytics, dedupe, filters, graph, joins, merges, ranking, redaction, retrieval
+from memlake.operators import analytics, dedupe, graph, joins, merges, ranking, redaction, retrieval, spans
 from memlake.sources import bundle
 from memlake.streaming import turns
 
@@ -226,10 +226,10 @@ def test_redaction_kinds(spark):
 def test_as_of_join_both_ways(spark, monkeypatch):
     records = spark.createDataFrame([("a", None, 0, None, None), ("b", None, 5, 2, 8), ("c", "manual", 0, None, None), ("d", None, 7, None, 7)], "id string, retired_reason string, created_ms long, valid_from_ms long, valid_to_ms long")
     times = spark.createDataFrame([(t,) for t in range(-1, 12)], "at long")
-    few = rows(filters.as_of_join(records, times, 3))
+    few = rows(spans.as_of_join(records, times, 3))
     assert (2, "b") in few and (8, "b") not in few and not any(i in ("c", "d") for _, i in few)
     many = spark.range(-1, 10_050).select(F.col("id").alias("at"))
-    wide = filters.as_of_join(records, many, 100)
+    wide = spans.as_of_join(records, many, 100)
     assert [r for r in rows(wide.where("at < 12"))] == few and wide.where("id = 'a'").count() == 10_050
 
 
