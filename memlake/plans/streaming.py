@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.plans.registry import Queries
 from memlake.sources.derived import DAY, EVENT_TYPES, HOUR, MESSAGES, RECORDS, SESSION_EVENTS, messages, read, records, session_events
+from memlake.streaming import slices as L
 from memlake.streaming import turns as S
 
 Q = Queries()
@@ -70,6 +71,39 @@ def l4_warmup_trigger(spark, sf):
     return S.warmup_flush(messages(spark, sf)).select("id", "flush")
 
 
+#: Slices of messages by thresholds of 1, 2, 4, 6, 6, ... and pauses of six hours, up to an hour before the last message: one recursion step a message.
+SLICED = f"""WITH RECURSIVE e AS (SELECT 'u' || user_id AS session_id, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_type IN ('click', 'view')), m AS (SELECT max(ts_ms) - {HOUR} AS mark FROM e),
+k AS (SELECT session_id, seq, ts_ms, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS k FROM e, m WHERE ts_ms <= mark),
+r(session_id, k, done, seqs, first_ms, last_ms, cause, o_slice, o_first, o_last, o_seqs) AS (
+  SELECT DISTINCT session_id, 0::BIGINT, 0::BIGINT, []::BIGINT[], 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM k
+  UNION ALL
+  SELECT session_id, k, done1 + CASE WHEN is_full THEN 1 ELSE 0 END, CASE WHEN is_full THEN []::BIGINT[] ELSE seqs1 END, first1, ts_ms, CASE WHEN quiet THEN 'idle' WHEN is_full THEN 'full' END, done + 1, CASE WHEN quiet THEN first_ms ELSE first1 END, CASE WHEN quiet THEN last_ms ELSE ts_ms END, CASE WHEN quiet THEN seqs ELSE seqs1 END
+  FROM (SELECT *, done + CASE WHEN quiet THEN 1 ELSE 0 END AS done1, CASE WHEN quiet THEN [seq] ELSE list_append(seqs, seq) END AS seqs1, CASE WHEN quiet OR len(seqs) = 0 THEN ts_ms ELSE first_ms END AS first1, len(seqs1) >= least(6, pow(2, done1)) AS is_full
+    FROM (SELECT r.session_id, n.k, n.seq, n.ts_ms, done, seqs, first_ms, last_ms, len(seqs) > 0 AND n.ts_ms - last_ms >= {6 * HOUR} AS quiet FROM r JOIN k n ON n.session_id = r.session_id AND n.k = r.k + 1))),
+ended AS (SELECT session_id, o_slice AS slice, cause, o_first AS first_ms, o_last AS last_ms, o_seqs AS seqs FROM r WHERE cause IS NOT NULL
+  UNION ALL SELECT session_id, done + 1, 'idle', first_ms, last_ms, seqs FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY k DESC) AS back FROM r), m WHERE back = 1 AND len(seqs) > 0 AND mark - last_ms >= {6 * HOUR})
+SELECT session_id, slice, cause, first_ms, last_ms, array_to_string(seqs, ',') AS seqs FROM ended"""
+
+
+def spoken(events):
+    said = events.where(F.col("event_type").isin("click", "view"))
+    utc = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")))
+    return said.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("seq"), utc.alias("ts"))
+
+
+@Q.add(SLICED)
+def l3_l4_slices(spark, sf):
+    rows = spoken(read(spark, sf, "events")).select("session_id", "seq", F.unix_millis("ts").alias("ts_ms"))
+    mark = rows.agg(F.max("ts_ms")).first()[0] or 0
+    return L.slices(rows, mark - HOUR, 6, 6 * HOUR).withColumn("seqs", F.array_join(F.col("seqs").cast("array<string>"), ","))
+
+
+@Q.add(SLICED)
+def l3_l4_slice_stream(spark, sf):
+    out = S.run_to_table(L.slice_stream(spoken(event_stream(spark, sf)), 6, 6 * HOUR, "1 hour"), L.ROCKS)
+    return out.withColumn("seqs", F.array_join(F.col("seqs").cast("array<string>"), ","))
+
+
 @Q.add(f"WITH {RECORDS} SELECT id, updated_ms + CAST(least(1800000, 60000 * pow(2, greatest(seq % 8, 1) - 1)) AS BIGINT) AS next_ms, CASE WHEN seq % 8 >= 6 THEN 'dead' ELSE 'retry' END AS status FROM records")
 def l5_backoff(spark, sf):
     return S.next_attempts(records(spark, sf).select("id", (F.col("seq") % 8).alias("fails"), F.col("updated_ms").alias("failed_ms")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -106,17 +106,12 @@ class SliceStream(StatefulProcessor):
 def slice_stream(messages: DataFrame, steady: int = 6, idle_ms: int = 1_800_000, delay: str = "10 minutes") -> DataFrame:
     """Slices (see SLICES) of a stream of messages (session_id, seq, ts timestamp): each once it is full or has been idle, as the watermark tells.
 
-    Messages of a session are told apart by seq. Sessions that are off are to be left out before. Needs the RocksDB state store: see `rocks`.
+    Messages of a session are told apart by seq. Sessions that are off are to be left out before. Timers and maps need the state store ROCKS: see `run_to_table`.
     """
     rows = messages.select("session_id", "seq", F.unix_millis("ts").alias("ts_ms"), "ts").withWatermark("ts", delay)
     return rows.groupBy("session_id").transformWithStateInPandas(SliceStream(steady, idle_ms), SLICES, "Append", "EventTime")
 
 
-def rocks(spark: SparkSession) -> None:
-    """Let streams of this session keep their state in RocksDB, which timers and maps need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
-
 def slices(messages: DataFrame, mark_ms: int, steady: int = 6, idle_ms: int = 1_800_000) -> DataFrame:
     """The slices that `slice_stream` has given out once its watermark is mark_ms, of a table of messages (session_id, seq, ts_ms).
 

@@ -16,8 +16,8 @@ from memlake.functions import columns as C
 from memlake.operators.shared import checkpoint, small
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
-    """Run a stream over what is there now into a table of the shared folder (spark.checkpoint.dir), and read it."""
+def run_to_table(stream: DataFrame, store: str | None = None) -> DataFrame:
+    """Run a stream over what is there now into a table of the shared folder (spark.checkpoint.dir), and read it. store: the class that keeps its state, if not the session's."""
     spark: SparkSession = stream.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
@@ -25,8 +25,16 @@ def run_to_table(stream: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="memlake-stream-")
     at = f"{shared}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if store is not None:
+        spark.conf.set(name, store)
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if store is not None:
+            spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 

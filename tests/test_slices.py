@@ -69,7 +69,7 @@ def test_stream_with_late_and_repeated_messages(spark, tmp_path):
         spark.createDataFrame(part, "session_id string, seq long, ts_ms long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/part{k}")
     stream_from = f"{tmp_path}/in"
     first = spark.read.parquet(f"{tmp_path}/part0")
-    S.rocks(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKS)
     try:
         for k in range(len(files)):
             spark.read.parquet(f"{tmp_path}/part{k}").coalesce(1).write.mode("append").parquet(stream_from)
