@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from memlake.operators import dedupe, redaction
+from memlake.operators.shared import checkpoint
 from memlake.plans.registry import Queries
 from memlake.sources import bundle as B
-from memlake.sources.derived import MESSAGES, RECORDS, messages, read, records
+from memlake.sources import snapshots
+from memlake.sources.derived import DAY, MESSAGES, NOW, RECORDS, messages, read, records
 
 Q = Queries()
 
@@ -84,6 +88,42 @@ def a8_archive_redacted(spark, sf):
     return days.join(clean, "id", "left").groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("kinds")).alias("findings"), F.bool_and(F.col("kinds").isNotNull()).alias("whole"))
 
 
+def shared_folder(spark):
+    """A new folder of the shared checkpoint folder, for what a query writes and reads again."""
+    checkpoint(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+
+
+@Q.add(f"""WITH {RECORDS}, {MESSAGES} SELECT 'records' AS section, count(*) AS n, sum(seq)::BIGINT AS ids, sum(length(content))::BIGINT AS chars, sum(len(tags))::BIGINT AS more FROM records UNION ALL SELECT 'messages', count(*), sum(conv_id)::BIGINT, sum(length(text))::BIGINT, count(turn) FROM messages""")
+def a5_snapshot_write(spark, sf):
+    """Records and messages as a snapshot that is published, found as the last one, checked and read again."""
+    root = shared_folder(spark)
+    snapshots.write_snapshot({"records": records(spark, sf).limit(0)}, root, "0001", "first", NOW)
+    snapshots.write_snapshot({"records": records(spark, sf), "messages": messages(spark, sf)}, root, "0002", "query", NOW)
+    back = snapshots.read_snapshot(spark, root)
+    told = lambda section, ids, text, more: back[section].agg(F.lit(section).alias("section"), F.count(F.lit(1)).alias("n"), F.sum(ids).alias("ids"), F.sum(F.length(text)).alias("chars"), more.cast("long").alias("more"))
+    return told("records", "seq", "content", F.sum(F.size("tags"))).union(told("messages", "conv_id", "text", F.count("turn")))
+
+
+@Q.add(f"""WITH {RECORDS} SELECT type, md5('---' || chr(10) || 'type: ' || type || chr(10) || 'priority: ' || priority || chr(10) || '---' || chr(10) || content || chr(10)) AS text_md5 FROM records""")
+def a7_text_sink(spark, sf):
+    """All records' texts, written by type, published and read again."""
+    root = shared_folder(spark)
+    texts = B.projection(records(spark, sf))
+    snapshots.write_texts(texts.select(F.substring_index("rel_path", "/", 1).alias("type"), "text"), root, "texts")
+    return snapshots.read_texts(spark, root, "texts").select("type", F.md5("text").alias("text_md5"))
+
+
+@Q.add(f"""WITH {MESSAGES}, m AS (SELECT *, ts_ms // 86400000 AS day, ts_ms < {NOW - 28 * DAY} AS old FROM messages) SELECT day, count(*) FILTER (old) AS archived, count(*) FILTER (NOT old) AS kept FROM m GROUP BY day""")
+def a8_archive_and_purge(spark, sf):
+    """Messages of the first days go to an archive, redacted, and once that is checked they are purged."""
+    root, rows = shared_folder(spark), messages(spark, sf)
+    snapshots.write_archive(rows, root, "archive", NOW - 28 * DAY)
+    left = snapshots.purge_archived(rows, root, "archive").select(F.floor(F.col("ts_ms") / DAY).alias("day"), F.lit(0).alias("archived"))
+    held = snapshots.read_archive(spark, root, "archive").select(F.col("day").cast("long").alias("day"), F.lit(1).alias("archived"))
+    return held.union(left).groupBy("day").agg(F.sum("archived").alias("archived"), F.count_if(F.col("archived") == 0).alias("kept"))
+
+
 @Q.add()
 def a9_source_scan_report(spark, sf):
     """Verdicts by source of what bundles would bring."""
