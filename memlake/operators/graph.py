@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
 from memlake.functions import names as N
-from memlake.operators.shared import checkpoint, components
+from memlake.operators.shared import checkpoint, components, small, stored
 
 # What a token weighs by the field that has it, and the relations that count as causal.
 NODE_WEIGHTS = {"name": 6, "aliases": 5, "tags": 5, "state": 4, "facts": 4, "relations": 3, "type": 2}
@@ -87,19 +87,41 @@ def neighbors(centers: DataFrame, nodes: DataFrame, edges: DataFrame, causal: tu
     return known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("center", "id", "relation", "place")
 
 
+def independent(ranked: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(id, o): of ranked nodes (id, o; less is better, all different) the first `most` of those that a pass in that order takes, each unless it is linked to one taken before.
+
+    In rounds: every open node that no open neighbour outranks is taken, and its neighbours are out; a pass in order would take the same, whatever it does
+    elsewhere. Links are kept as (worse, better) among open nodes and shrink each round; it ends when none is left, or when the
+    first `most` of the taken and the open ones have all been taken. Only whether tables are empty comes to the driver.
+    """
+    open_ = stored(ranked.select("id", "o"))
+    end = lambda name: open_.select(F.col("id").alias(name), F.col("o").alias(f"{name}_o"))
+    pairs = links.where("a <> b").join(end("a"), "a").join(end("b"), "b")
+    first = F.col("a_o") < F.col("b_o")
+    down = stored(pairs.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("better")).distinct())
+    taken = open_.limit(0)
+    while True:
+        winners = stored(open_.join(down.select(F.col("worse").alias("id")), "id", "left_anti"))
+        taken = stored(taken.union(winners))
+        if down.isEmpty():
+            return taken.orderBy("o").limit(most)
+        wins = small(winners.select("id"))
+        out = stored(down.join(wins.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id")).distinct())
+        gone = small(stored(wins.union(out)))
+        open_ = stored(open_.join(gone, "id", "left_anti"))
+        both = taken.select("o", F.lit(False).alias("open")).union(open_.select("o", F.lit(True)))
+        if both.orderBy("o").limit(most).where("open").isEmpty():
+            return taken.orderBy("o").limit(most)
+        down = stored(down.join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti").join(gone.withColumnRenamed("id", "better"), "better", "left_anti"))
+
+
 def seeds(nodes: DataFrame, edges: DataFrame, causal: tuple[str, ...], most: int = 6) -> DataFrame:
-    """Up to 20 nodes by degree + 2 causal, each not a neighbour of one before it: one top row comes to the driver a round."""
-    open_ = degrees(nodes, edges, causal).select("id", (F.col("degree") + 2 * F.col("causal")).alias("score"))
-    links = both_ways(edges).select("a", "b")
-    chosen = []
-    for place in range(1, min(most, 20) + 1):
-        best = open_.orderBy(F.desc("score"), "id").first()
-        if best is None:
-            break
-        chosen.append((place, best["id"], best["score"]))
-        covered = links.where(F.col("a") == best["id"]).select(F.col("b").alias("id"))
-        open_ = open_.where(F.col("id") != best["id"]).join(covered.distinct(), "id", "left_anti")
-    return nodes.sparkSession.createDataFrame(chosen, "place int, id string, score long")
+    """(place, id, score): up to `most` (20 at most) visible nodes with edges by degree + 2 causal, then causal, then recency, then id, each not a neighbour of one before it."""
+    known = visible(nodes).select("id", "updated_ms").join(degrees(nodes, edges, causal), "id")
+    score = F.col("degree") + 2 * F.col("causal")
+    ranked = known.where(score > 0).select("id", F.struct((-score).alias("s"), (-F.col("causal")).alias("c"), (-F.col("updated_ms")).alias("u"), "id").alias("o"))
+    chosen = independent(ranked, both_ways(edges).select("a", "b"), min(most, 20))
+    return chosen.select(F.row_number().over(W.orderBy("o")).alias("place"), "id", (-F.col("o.s")).cast("long").alias("score"))  # at most 20 rows
 
 
 def record_links(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, sources: DataFrame, hops: int = 2) -> DataFrame:
@@ -114,6 +136,34 @@ def record_links(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, sources:
     return reached
 
 
+def related(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, sources: DataFrame, causal: tuple[str, ...], hops: int = 2, most: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What records (record_id) are related to: (entities, neighbours, records), each with its place.
+
+    entities (record_id, id, degree, place): visible nodes that a record is a source of, by degree, recency, id. neighbours (record_id, id, relation, causal, via, hop, degree,
+    place): up to `most` edges that lead from these, or from what they lead to, to other visible nodes, each with the node it comes from; causal ones
+    first, then by hop, degree, age, id, via and relation. records (record_id, related, place): up to `most` other records behind the entities and the nodes reached, nearer nodes
+    first, in the order in which they are reached. Nodes are walked from once, at their least distance.
+    """
+    seen = visible(nodes).select("id", "updated_ms").join(degrees(nodes, edges, causal), "id", "left").select("id", "updated_ms", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    seen = checkpoint(seen)
+    by = lambda *o: F.row_number().over(W.partitionBy("record_id").orderBy(*o)).cast("long")
+    met = wanted.join(sources, "record_id").select("record_id", "id").distinct().join(seen, "id")
+    entities = checkpoint(met.select("record_id", "id", "degree", by(F.desc("degree"), F.desc("updated_ms"), "id").alias("place")))
+    own, ways = entities.select("record_id", "id"), both_ways(edges)
+    front, reached, rows = entities.select("record_id", "id", "place"), entities.select("record_id", "id", F.lit(0).alias("hop"), "place"), []
+    for hop in range(1, hops + 1):
+        led = front.join(ways, F.col("id") == F.col("a")).select("record_id", F.col("b").alias("id"), "relation", F.col("a").alias("via"), "place")
+        led = led.join(own, ["record_id", "id"], "left_anti").join(seen, "id")
+        rows.append(led.select("record_id", "id", "relation", F.col("relation").isin(*causal).alias("causal"), "via", F.lit(hop).alias("hop"), "degree", "updated_ms"))
+        new = led.groupBy("record_id", "id").agg(F.min("place").alias("from")).join(reached.select("record_id", "id"), ["record_id", "id"], "left_anti")
+        front = checkpoint(new.select("record_id", "id", by("from", "id").alias("place")))
+        reached = reached.union(front.select("record_id", "id", F.lit(hop), "place"))
+    every = union_all(rows).withColumn("place", by(F.desc("causal"), "hop", F.desc("degree"), "updated_ms", "id", "via", "relation")).where(F.col("place") <= most)
+    behind = reached.join(sources.select("id", F.col("record_id").alias("related"), "pos"), "id").where("related <> record_id")
+    behind = behind.groupBy("record_id", "related").agg(F.min(F.struct("hop", "place", "pos")).alias("o")).withColumn("place", by("o")).where(F.col("place") <= most)
+    return entities, every.drop("updated_ms"), behind.select("record_id", "related", "place")
+
+
 def hints(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """(from_id, line): up to `most` lines of active edges for each node they leave, and a line with the name of each visible node that no active edge touches."""
     live = edges.where("status = 'active'")

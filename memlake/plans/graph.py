@@ -139,7 +139,9 @@ def j5_ego_neighbors(spark, sf):
     return O.neighbors(centers, nodes(spark, sf), edges(spark, sf), CAUSAL, 10)
 
 
-@Q.add()
+@Q.add(f"""WITH RECURSIVE {NODES}, {EDGES}, {DEG}, k AS (SELECT v.id, degree + 2 * causal AS score, row_number() OVER (ORDER BY degree + 2 * causal DESC, causal DESC, updated_ms DESC, v.id) AS k FROM vis v JOIN deg d ON d.id = v.id), nb AS (SELECT a, list(DISTINCT b) AS near FROM ways GROUP BY a),
+r(k, taken) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT k.k, CASE WHEN list_has_any(near, taken) THEN taken ELSE list_append(taken, k.id) END FROM r JOIN k ON k.k = r.k + 1 JOIN nb ON nb.a = k.id WHERE len(taken) < 6),
+c AS (SELECT unnest(taken) AS id, unnest(range(1, len(taken) + 1)) AS place FROM r ORDER BY k DESC LIMIT 6) SELECT CAST(place AS INT) AS place, c.id, score FROM c JOIN k ON k.id = c.id""")
 def j6_seed_selection(spark, sf):
     return O.seeds(nodes(spark, sf), edges(spark, sf), CAUSAL, 6)
 
@@ -153,6 +155,27 @@ def j8_record_links(spark, sf):
     return O.record_links(wanted, nodes(spark, sf), edges(spark, sf), sources(spark, sf))
 
 
+RELATED = f"""w AS (SELECT 'r' || (item_id * 3) AS record_id FROM benchmark), inf AS (SELECT v.id, updated_ms, coalesce(degree, 0) AS degree FROM vis v LEFT JOIN deg d ON d.id = v.id),
+en AS (SELECT record_id, id, degree, row_number() OVER (PARTITION BY record_id ORDER BY degree DESC, updated_ms DESC, id) AS place FROM (SELECT DISTINCT record_id, id FROM w JOIN sources USING (record_id)) JOIN inf USING (id)),
+l1 AS (SELECT e.record_id, b AS id, relation, a AS via, 1 AS hop, e.place FROM en e JOIN ways ON a = e.id SEMI JOIN vis ON vis.id = b ANTI JOIN en x ON x.record_id = e.record_id AND x.id = b),
+f1 AS (SELECT record_id, id, row_number() OVER (PARTITION BY record_id ORDER BY p, id) AS place FROM (SELECT record_id, id, min(place) AS p FROM l1 GROUP BY 1, 2)),
+l2 AS (SELECT e.record_id, b AS id, relation, a AS via, 2 AS hop, e.place FROM f1 e JOIN ways ON a = e.id SEMI JOIN vis ON vis.id = b ANTI JOIN en x ON x.record_id = e.record_id AND x.id = b),
+f2 AS (SELECT record_id, id, row_number() OVER (PARTITION BY record_id ORDER BY p, id) AS place FROM (SELECT record_id, id, min(place) AS p FROM l2 ANTI JOIN f1 ON f1.record_id = l2.record_id AND f1.id = l2.id GROUP BY 1, 2))"""
+
+
+@Q.add(f"""WITH {NODES}, {EDGES}, {DEG}, {SOURCES}, {RELATED}, n AS (SELECT record_id, l.id, relation, relation IN ('supplies_first', 'caused_by') AS causal, via, hop, degree, row_number() OVER (PARTITION BY record_id ORDER BY relation IN ('supplies_first', 'caused_by') DESC, hop, degree DESC, updated_ms, l.id, via, relation) AS place FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) l JOIN inf ON inf.id = l.id) SELECT * FROM n WHERE place <= 60""")
+def j8_record_neighbours(spark, sf):
+    wanted = read(spark, sf, "benchmark").select(F.concat(F.lit("r"), (F.col("item_id") * 3).cast("string")).alias("record_id"))
+    return O.related(wanted, nodes(spark, sf), checkpoint(edges(spark, sf)), sources(spark, sf), CAUSAL)[1]
+
+
+@Q.add(f"""WITH {NODES}, {EDGES}, {DEG}, {SOURCES}, {RELATED}, p AS (SELECT record_id, id, 0 AS hop, place FROM en UNION ALL SELECT record_id, id, 1, place FROM f1 UNION ALL SELECT record_id, id, 2, place FROM f2),
+q AS (SELECT p.record_id, s.record_id AS related, min((hop, place, pos)) AS o FROM p JOIN sources s ON s.id = p.id WHERE s.record_id <> p.record_id GROUP BY 1, 2) SELECT record_id, related, place FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY o) AS place FROM q) WHERE place <= 60""")
+def j8_related_records(spark, sf):
+    wanted = read(spark, sf, "benchmark").select(F.concat(F.lit("r"), (F.col("item_id") * 3).cast("string")).alias("record_id"))
+    return O.related(wanted, nodes(spark, sf), checkpoint(edges(spark, sf)), sources(spark, sf), CAUSAL)[2]
+
+
 @Q.add(f"""WITH {NODES}, {EDGES}, z AS (SELECT 's1' AS id), o AS (SELECT DISTINCT b AS id FROM ways WHERE a = 's1' AND b <> 's1' AND b IN (SELECT id FROM vis)),
 t AS (SELECT DISTINCT b AS id FROM ways JOIN o ON a = o.id WHERE b IN (SELECT id FROM vis) AND b <> 's1' AND b NOT IN (SELECT id FROM o)),
 h AS (SELECT DISTINCT b AS id FROM ways JOIN t ON a = t.id WHERE b IN (SELECT id FROM vis) AND b <> 's1' AND b NOT IN (SELECT id FROM o) AND b NOT IN (SELECT id FROM t))
