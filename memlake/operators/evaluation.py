@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.operators.retrieval import bm25, threshold
 from memlake.operators.shared import checkpoint, small
 
 
@@ -25,6 +26,36 @@ def recall_and_mrr(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return rates.withColumn("kind", F.coalesce("kind", F.lit("all")))
 
 
+def keyword_hits(probes: DataFrame, records: DataFrame, k: int = 5, pool: int = 3, least: float = 0.3) -> DataFrame:
+    """(query_id, id, rank): what a search by words shows for probes (query_id, query): of the best k * pool records, those that score `least` or more, or all if they are at most k and none does; the first k."""
+    found = bm25(probes, records, k * pool).withColumn("score", F.col("score") / (1 + F.col("score")))
+    return threshold(found, least, k).where(F.col("rank") <= k).select("query_id", "id", "rank")
+
+
+def recall_table(probes: DataFrame, records: DataFrame, k: int = 5, pool: int = 3, least: float = 0.3) -> DataFrame:
+    """(type, probes, hits, recall, coverage, mrr) by type of probe, and for all: how a search by words finds what probes (probe_id, type, q, gold) ask for.
+
+    A gold string is found if one of the `k` records that `keyword_hits` shows has it. recall is the share of probes with one that is found, coverage the mean share of a
+    probe's strings that are, mrr the mean of 1 / the rank of the first record that has one. Probes without gold (those that ask for nothing) don't count.
+    """
+    asked = probes.where(F.size("gold") > 0)
+    hits = checkpoint(keyword_hits(asked.select(F.col("probe_id").alias("query_id"), F.col("q").alias("query")), records, k, pool, least))
+    shown = hits.join(records.select("id", "content"), "id").withColumnRenamed("query_id", "probe_id")
+    each = asked.select("probe_id", F.posexplode("gold").alias("g", "want")).join(shown, "probe_id").where(F.contains("content", "want"))
+    found = each.groupBy("probe_id").agg(F.countDistinct("g").alias("found"), F.min("rank").alias("first"))
+    told = asked.select("probe_id", "type", F.size("gold").alias("n")).join(found, "probe_id", "left")
+    rates = told.rollup("type").agg(
+        F.grouping("type").alias("all"), F.count(F.lit(1)).alias("probes"), F.count("found").alias("hits"), F.round(F.count("found") / F.count(F.lit(1)), 6).alias("recall"),
+        F.round(F.avg(F.coalesce(F.col("found") / F.col("n"), F.lit(0.0))), 6).alias("coverage"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
+    )
+    return rates.where("probes > 0").select(F.when(F.col("all") == 1, "all").otherwise(F.coalesce("type", F.lit("none"))).alias("type"), "probes", "hits", "recall", "coverage", "mrr")
+
+
+def check_table(checks: DataFrame) -> DataFrame:
+    """(arm, name, passed, checks) of workflow checks (arm, name, ok) by arm and name."""
+    return checks.groupBy("arm", "name").agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("checks"))
+
+
 def injection_precision(lines: DataFrame, gold: DataFrame) -> DataFrame:
     """Of injected lines (query_id, line): lines, share with a gold string, mean share over probes, probes with a stale string."""
     met = lines.join(gold.select("query_id", "gold", "stale"), "query_id")

@@ -8,7 +8,8 @@ from memlake.operators import evaluation as E
 from memlake.operators import retrieval as O
 from memlake.plans.registry import Queries
 from memlake.plans.retrieval import GOLD, PROBES, bm25_sql, gold, hits_with_text, probes
-from memlake.sources.derived import RECORDS, read, records
+from memlake.sources import runs as R
+from memlake.sources.derived import RECORDS, pick, read, records
 
 Q = Queries()
 
@@ -144,3 +145,61 @@ def m13_step_cache(spark, sf):
 @Q.add(f"WITH {RESULTS} SELECT scenario AS suite, count(*) FILTER (k % 3 = 0 AND hit) AS positives, count(*) FILTER (k % 3 <> 0 AND hit) AS leaks, round(avg(CAST((k % 3 = 0) = hit AS INT)), 6) AS rate FROM results GROUP BY 1")
 def m14_lifecycle_report(spark, sf):
     return E.lifecycle(results(spark, sf).select(F.col("scenario").alias("suite"), (F.col("k") % 3 == 0).alias("expected"), F.col("hit").alias("seen")))
+
+
+#: Runs as files: two arms, four repetitions each, of which one is damaged and one isn't there; probes are passages of the benchmark, with two gold strings of them and one of none.
+NESTED = """items AS (SELECT item_id AS k, text, CASE WHEN item_id % 2 = 0 THEN 'A' ELSE 'B' END AS arm, 'rep-' || (item_id // 2 % 4 + 1) AS rep, (['extraction', 'multi-hop', 'update', 'abstention'])[CAST(item_id % 4 AS INT) + 1] AS type FROM benchmark),
+asked_of AS (SELECT 'run-' || arm || '/' || rep || '/' || k AS pid, * FROM items WHERE NOT (arm = 'A' AND rep = 'rep-3') AND NOT (arm = 'B' AND rep = 'rep-4'))"""
+
+
+def run_texts(spark, sf):
+    """(path, text) of result files made from the benchmark's passages."""
+    k = F.col("item_id")
+    item = read(spark, sf, "benchmark").select(k.alias("k"), "text", F.when(k % 2 == 0, "A").otherwise("B").alias("arm"), F.concat(F.lit("rep-"), (F.floor(k / 2) % 4 + 1).cast("string")).alias("rep"), pick(("extraction", "multi-hop", "update", "abstention"), k % 4).alias("type"))
+    gold = F.when(F.col("type") != "abstention", F.array(F.left("text", F.lit(40)), F.substring("text", 41, 30), F.concat(F.lit("nowhere "), F.col("k").cast("string"))))
+    probe = F.struct(F.col("k").cast("string").alias("id"), "type", F.col("text").alias("q"), gold.alias("gold"), (F.col("k") % 3 == 0).alias("hit"), F.struct(F.array(F.left("text", F.lit(90))).alias("lines")).alias("recall"))
+    talk = F.struct(F.concat(F.lit("s"), F.col("k").cast("string")).alias("id"), F.lit("dialog").alias("kind"), F.array(probe).alias("probes"), F.lit(None).cast("array<struct<name: string, ok: boolean>>").alias("checks"))
+    work = F.struct(F.concat(F.lit("w"), F.col("k").cast("string")).alias("id"), F.lit("workflow").alias("kind"), F.array(probe).alias("probes"), F.array(F.struct(F.lit("builds").alias("name"), (F.col("k") % 5 != 0).alias("ok"))).alias("checks"))
+    files = item.groupBy("arm", "rep").agg(F.flatten(F.array_sort(F.collect_list(F.array(talk, work)))).alias("scenarios"))
+    whole = F.to_json(F.struct("arm", F.struct(F.lit("off").alias("extMode")).alias("environment"), "scenarios"))
+    damaged = (F.col("arm") == "A") & (F.col("rep") == "rep-3")
+    text = F.when(damaged, F.left(whole, F.length(whole) - 9)).otherwise(whole)
+    return files.where("not (arm = 'B' and rep = 'rep-4')").select(F.concat(F.lit("/bench/run-"), "arm", F.lit("/"), "rep", F.lit("/result.json")).alias("path"), text.alias("text"))
+
+
+def scanned(spark, sf):
+    expected = read(spark, sf, "benchmark").select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("arm"), F.concat(F.lit("rep-"), (F.floor(F.col("item_id") / 2) % 4 + 1).cast("string")).alias("rep")).distinct()
+    return R.scan_runs(run_texts(spark, sf), expected.select(F.concat(F.lit("run-"), "arm").alias("run"), "rep"))
+
+
+@Q.add(f"""WITH {NESTED}, e AS (SELECT DISTINCT 'run-' || arm AS run, 'rep-' || (item_id // 2 % 4 + 1) AS rep FROM benchmark, (VALUES ('A'), ('B')) a(arm)), n AS (SELECT 'run-' || arm AS run, rep, count(*) AS probes FROM items GROUP BY 1, 2)
+SELECT e.run, e.rep, CASE WHEN (e.run, e.rep) = ('run-A', 'rep-3') AND n.run IS NOT NULL THEN 'damaged' WHEN (e.run, e.rep) = ('run-B', 'rep-4') OR n.run IS NULL THEN 'missing' ELSE 'read' END AS told, CASE WHEN (e.run, e.rep) NOT IN (('run-A', 'rep-3'), ('run-B', 'rep-4')) THEN coalesce(probes, 0) ELSE 0 END AS probes FROM e LEFT JOIN n ON n.run = e.run AND n.rep = e.rep""")
+def a10_probe_scan(spark, sf):
+    """What a folder of runs gives: files that are read, with their probes, and those that are damaged or missing."""
+    runs, faults = scanned(spark, sf)
+    counts = R.probes(runs).groupBy("run", "rep").agg(F.count(F.lit(1)).alias("probes"))
+    good = runs.select("run", "rep").join(counts, ["run", "rep"], "left").select("run", "rep", F.lit("read").alias("told"), F.coalesce("probes", F.lit(0).cast("long")).alias("probes"))
+    return good.union(faults.select("run", "rep", "fault", F.lit(0).cast("long")))
+
+
+@Q.add(f"""WITH {RECORDS}, {NESTED}, wanted AS (SELECT pid, type, text, unnest([left(text, 40), substr(text, 41, 30), 'nowhere ' || k]) AS want, unnest([1, 2, 3]) AS g FROM asked_of WHERE type <> 'abstention' AND arm = 'A'), ask AS (SELECT pid AS query_id, text AS query FROM asked_of WHERE type <> 'abstention' AND arm = 'A'), {bm25_sql('f', 'records', 'ask', 15)},
+t AS (SELECT query_id, id, rank, score / (1 + score) AS s, max(score / (1 + score)) OVER (PARTITION BY query_id) AS m, count(*) OVER (PARTITION BY query_id) AS n FROM f), h AS (SELECT * FROM t WHERE (s >= 0.3 OR (m < 0.3 AND n <= 5)) AND rank <= 5),
+o AS (SELECT w.pid, count(DISTINCT g) AS found, min(rank) AS first FROM wanted w JOIN h ON h.query_id = w.pid JOIN records r ON r.id = h.id WHERE contains(r.content, want) GROUP BY w.pid)
+SELECT coalesce(type, 'all') AS type, count(*) AS probes, count(found) AS hits, round(count(found) / count(*), 6) AS recall, round(avg(coalesce(found / 3, 0)), 6) AS coverage, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM asked_of a LEFT JOIN o ON o.pid = a.pid WHERE type <> 'abstention' AND arm = 'A' GROUP BY ROLLUP (type)""")
+def m1_recall_table(spark, sf):
+    """Recall, gold coverage and reciprocal rank by type of the probes that runs with a memory asked, read from their nested results."""
+    asked = R.probes(scanned(spark, sf)[0].where("arm = 'A'"))
+    return E.recall_table(asked, records(spark, sf))
+
+
+@Q.add(f"WITH {NESTED} SELECT arm, 'builds' AS name, count(*) FILTER (k % 5 <> 0) AS passed, count(*) AS checks FROM asked_of GROUP BY arm")
+def m4_workflow_checks(spark, sf):
+    return E.check_table(R.checks(scanned(spark, sf)[0]))
+
+
+@Q.add(f"""WITH {NESTED} SELECT type AS kind, count(*) AS probes, count(*) FILTER (contains(left(text, 90), left(text, 40)) OR contains(left(text, 90), substr(text, 41, 30)) OR contains(left(text, 90), 'nowhere ' || k)) AS found FROM asked_of WHERE type <> 'abstention' GROUP BY 1""")
+def m8_injected_gold(spark, sf):
+    """Probes of which a gold string is in the lines that were injected, from nested results."""
+    asked = R.probes(scanned(spark, sf)[0]).where(F.size("gold") > 0)
+    found = F.exists("gold", lambda g: F.exists("lines", lambda line: F.contains(line, g)))
+    return asked.groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("probes"), F.count_if(found).alias("found"))
