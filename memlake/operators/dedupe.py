@@ -145,21 +145,27 @@ def resembling(a: DataFrame, b: DataFrame, least: float, most: int, order: str |
 
 
 def import_plan(bundle: DataFrame, existing: DataFrame) -> DataFrame:
-    """(seq, verdict, best, matched) of bundle rows (seq, id, content) against existing ones: dup, near-dup, conflict-candidate or new.
+    """(seq, verdict, best, matched, refs) of bundle rows (seq, id, content) against existing ones: dup, near-dup, conflict-candidate or new.
 
-    Rows that nothing existing resembles are checked against earlier rows of the bundle that aren't duplicates.
+    refs are the (id, score) that a verdict rests on: the existing row with the same text (the least id), up to three existing ones that resemble it, by score and
+    id, or one earlier row of the bundle, as `bundle#<seq>`. Rows that nothing existing resembles are checked against earlier rows of the bundle that aren't duplicates.
     """
     hashed = lambda df: df.withColumn("hash", C.content_digest(F.col("content")))
     known = hashed(existing).groupBy("hash").agg(F.min("id").alias("dup_of"))
     rows = hashed(bundle).join(known, "hash", "left")
     fresh = rows.where("dup_of is null")
     fresh = checkpoint(fresh.select("id", "seq", "content"))
-    best = resembling(fresh, existing, RELATED, 3).groupBy("a").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("matched"))
-    own = resembling(fresh, fresh, RELATED, 1, "seq").select("a", F.col("score").alias("own_best"))
+    near = resembling(fresh, existing, RELATED, 3).groupBy("a").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("matched"), F.array_sort(F.collect_list(F.struct("rank", "b", "score"))).alias("near"))
+    best = near.withColumn("near", F.transform("near", lambda x: F.struct(x["b"].alias("id"), x["score"].alias("score"))))  # three at most
+    numbers = fresh.select(F.col("id").cast("string").alias("b"), F.concat(F.lit("bundle#"), F.col("seq").cast("string")).alias("own_ref"))
+    own = resembling(fresh, fresh, RELATED, 1, "seq").select("a", "b", F.col("score").alias("own_best")).join(numbers, "b").drop("b")
     told = rows.join(best.withColumnRenamed("a", "id"), "id", "left").join(own.withColumnRenamed("a", "id"), "id", "left")
     score = F.coalesce("best", "own_best")
     verdict = F.when(F.col("dup_of").isNotNull(), "dup").when(score >= DUPLICATE, "near-dup").when(score >= RELATED, "conflict-candidate").otherwise("new")
-    return told.select("seq", verdict.alias("verdict"), F.when(F.col("dup_of").isNotNull(), 1.0).otherwise(score).alias("best"), F.when(F.col("dup_of").isNotNull(), 1).otherwise(F.coalesce("matched", F.when(F.col("own_best").isNotNull(), 1), F.lit(0))).cast("long").alias("matched"))
+    one = lambda ref, score: F.array(F.struct(F.col(ref).alias("id"), score.alias("score")))
+    none = F.array().cast("array<struct<id:string,score:double>>")
+    refs = F.when(F.col("dup_of").isNotNull(), one("dup_of", F.lit(1.0))).when(F.col("near").isNotNull(), F.col("near")).when(F.col("own_best").isNotNull(), one("own_ref", F.col("own_best"))).otherwise(none)
+    return told.select("seq", verdict.alias("verdict"), F.when(F.col("dup_of").isNotNull(), 1.0).otherwise(score).alias("best"), F.when(F.col("dup_of").isNotNull(), 1).otherwise(F.coalesce("matched", F.when(F.col("own_best").isNotNull(), 1), F.lit(0))).cast("long").alias("matched"), refs.alias("refs"))
 
 
 def freeze_pairs(decisions: DataFrame, existing: DataFrame, open_hard: int, most_hard: int) -> DataFrame:

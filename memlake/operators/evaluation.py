@@ -83,6 +83,24 @@ def compare_runs(a: DataFrame, b: DataFrame, band: float = 0.05) -> DataFrame:
     return left.join(right, "kind", "full").select("kind", delta.alias("delta"), verdict.alias("verdict"))
 
 
+def compare_report(old: DataFrame, new: DataFrame, old_env: str | None, new_env: str | None, band: float = 0.05, least: float = 0.01) -> DataFrame:
+    """(type, old_hits, old_probes, new_hits, new_probes, delta, verdict): probes (type, hit) of two runs by type, and the verdict in the row `all`.
+
+    environment if the runs' environments differ (see `env_key`): nothing follows then. better if the rate of all rose by more than `band` and that of no type fell
+    by more than `least`; worse if it fell by more than `band`; else noise. A type that one run lacks counts as rate 0 there.
+    """
+    counted = lambda df, side: df.groupBy(F.coalesce("type", F.lit("none")).alias("type")).agg(F.count_if(F.coalesce("hit", F.lit(False))).alias(f"{side}_hits"), F.count(F.lit(1)).alias(f"{side}_probes"))
+    both = checkpoint(counted(old, "old").join(counted(new, "new"), "type", "full").na.fill(0))
+    columns = ("old_hits", "old_probes", "new_hits", "new_probes")
+    rate = lambda side: F.col(f"{side}_hits") / F.greatest(F.col(f"{side}_probes"), F.lit(1))
+    fell = F.bool_or(rate("new") < rate("old") - least).alias("fell")
+    total = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns), fell)
+    delta = F.round(rate("new") - rate("old"), 6)
+    verdict = F.when(F.lit(old_env != new_env), "environment").when((delta > band) & ~F.coalesce("fell", F.lit(False)), "better").when(delta < -band, "worse").otherwise("noise")
+    each = both.select("type", *columns, delta.alias("delta"), F.lit(None).cast("string").alias("verdict"))
+    return each.union(total.select(F.lit("all"), *columns, delta, verdict))
+
+
 def abstention(results: DataFrame) -> DataFrame:
     """Failures of probes that ask for nothing, and hits among updates, by arm."""
     return results.groupBy("arm").agg(F.count_if((F.col("kind") == "abstention") & ~F.col("hit")).alias("abstention_failures"), F.count_if((F.col("kind") == "update") & F.col("hit")).alias("update_hits"), F.count_if(F.col("kind") == "update").alias("updates"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
+from memlake.operators.shared import checkpoint
 
 
 def missing(rows: DataFrame, *present: DataFrame, key: str = "id") -> DataFrame:
@@ -167,16 +169,40 @@ def validate_pairs(decisions: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select(*decisions.columns, valid.alias("valid"))
 
 
-def fetch_evidence(anchors: DataFrame, events: DataFrame, most_events: int = 200, most_chars: int = 40_000) -> DataFrame:
-    """Events (session_id, seq, turn, step, text) at each record's anchors (id, session_id, turn, step?), in order, up to both limits."""
-    from pyspark.sql import Window as W
+#: Events that are evidence, and what some hosts put before the id of a session.
+EVIDENCE_TYPES = ("user/message", "assistant/message", "tool/call", "tool/result")
+SESSION_PREFIX = "session-"
 
-    met = anchors.withColumnRenamed("step", "want").join(events.select("session_id", "seq", "turn", "step", "text"), ["session_id", "turn"]).where(F.col("want").isNull() | (F.col("want") == F.col("step")))
+
+def spelled_sessions(asked: DataFrame, there: DataFrame) -> DataFrame:
+    """(session_id, found): for sessions asked for, which of those that are there it is: as it is written, else with the prefix, else without."""
+    bare = F.regexp_replace(F.trim("session_id"), f"^{SESSION_PREFIX}", "")
+    known = there.select(F.col("session_id").alias("found")).distinct().withColumn("bare", F.regexp_replace(F.trim("found"), f"^{SESSION_PREFIX}", ""))
+    wanted = asked.select("session_id").where(F.trim("session_id") != "").distinct().withColumn("bare", bare)
+    place = F.when(F.col("found") == F.trim("session_id"), 0).when(F.col("found").startswith(SESSION_PREFIX), 1).otherwise(2)
+    return wanted.join(known, "bare").groupBy("session_id").agg(F.min_by("found", F.struct(place, "found")).alias("found"))
+
+
+def fetch_evidence(anchors: DataFrame, events: DataFrame, most_events: int = 200, most_chars: int = 40_000, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, events, chars, truncated, failure): what the events (session_id, seq, turn, step, text, type?) at each record's anchors (id, session_id, turn, step?) give, in order, up to both limits.
+
+    Only messages and tools with a text are evidence, if events have a type. An anchor without a step takes its whole turn. Sessions are found in
+    either spelling (see `spelled_sessions`). failure says why a record has none: no-anchor (of the wanted ids, if given), session-unreadable if none of its
+    sessions is there, anchor-not-found if they have nothing at its anchors.
+    """
+    said = events.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    said = said.where(F.col("type").isin(*EVIDENCE_TYPES)) if "type" in events.columns else said
+    spelled = checkpoint(spelled_sessions(anchors, events))
+    named = anchors.withColumnRenamed("step", "want").join(spelled, "session_id", "left")
+    met = named.drop("session_id").withColumnRenamed("found", "session_id").join(said.select("session_id", "seq", "turn", "step", "text"), ["session_id", "turn"]).where(F.col("want").isNull() | (F.col("want") == F.col("step")))
     met = met.select("id", "session_id", "seq", F.length("text").alias("chars")).distinct()
     order = W.partitionBy("id").orderBy("session_id", "seq")
     met = met.withColumn("k", F.row_number().over(order)).withColumn("sum", F.sum("chars").over(order.rowsBetween(W.unboundedPreceding, 0)))
     fits = (F.col("k") <= most_events) & (F.col("sum") <= most_chars)
     found = met.groupBy("id").agg(F.count_if(fits).alias("events"), F.coalesce(F.sum(F.when(fits, F.col("chars"))), F.lit(0)).alias("chars"), (F.count(F.lit(1)) > F.count_if(fits)).alias("truncated"))
     zero = F.lit(0).cast("long")
-    all_ids = anchors.select("id").distinct()
-    return all_ids.join(found, "id", "left").select("id", F.coalesce("events", zero).alias("events"), F.coalesce("chars", zero).alias("chars"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.when(F.col("events").isNull(), "no-event").alias("failure"))
+    readable = named.groupBy("id").agg(F.bool_or(F.col("found").isNotNull()).alias("readable"))
+    every = readable if wanted is None else wanted.select("id").distinct().join(readable, "id", "left")
+    failure = F.when(F.col("events").isNotNull(), F.lit(None)).when(F.col("readable").isNull(), "no-anchor").when(~F.col("readable"), "session-unreadable").otherwise("anchor-not-found")
+    return every.join(found, "id", "left").select("id", F.coalesce("events", zero).alias("events"), F.coalesce("chars", zero).alias("chars"), F.coalesce("truncated", F.lit(False)).alias("truncated"), failure.alias("failure"))
+

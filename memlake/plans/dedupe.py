@@ -60,11 +60,11 @@ def score_sql(a: str, b: str) -> str:
 
 @Q.add(f"""WITH {BUNDLE}, e AS (SELECT conv_id || ':' || turn AS id, text AS content FROM conversations), n AS (SELECT *, {KEY.format('content')} AS t FROM b), m AS (SELECT *, {KEY.format('content')} AS t FROM e),
 bg AS (SELECT *, {gram_sql(3, 't')} AS g3, {gram_sql(2, 't')} AS g2 FROM n), eg AS (SELECT *, {gram_sql(3, 't')} AS g3, {gram_sql(2, 't')} AS g2 FROM m),
-dups AS (SELECT DISTINCT bg.id FROM bg JOIN eg ON bg.t = eg.t), s AS (SELECT bg.id, eg.id AS e, {score_sql('bg', 'eg')} AS score FROM bg, eg WHERE bg.id NOT IN (SELECT id FROM dups)),
-k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, e) AS k FROM s WHERE score >= 0.3), best AS (SELECT id, max(score) AS best, count(*) AS matched FROM k WHERE k <= 3 GROUP BY id),
-own AS (SELECT x.id, max({score_sql('x', 'y')}) AS own FROM bg x JOIN bg y ON y.seq < x.seq WHERE x.id NOT IN (SELECT id FROM dups) AND y.id NOT IN (SELECT id FROM dups) GROUP BY x.id)
+dups AS (SELECT bg.id, min(eg.id) AS of FROM bg JOIN eg ON bg.t = eg.t GROUP BY bg.id), s AS (SELECT bg.id, eg.id AS e, {score_sql('bg', 'eg')} AS score FROM bg, eg WHERE bg.id NOT IN (SELECT id FROM dups)),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, e) AS k FROM s WHERE score >= 0.3), best AS (SELECT id, max(score) AS best, count(*) AS matched, string_agg(e, ',' ORDER BY k) AS refs FROM k WHERE k <= 3 GROUP BY id),
+own AS (SELECT x.id, max({score_sql('x', 'y')}) AS own, arg_min(y.seq, (-({score_sql('x', 'y')}), y.id)) AS own_seq FROM bg x JOIN bg y ON y.seq < x.seq WHERE x.id NOT IN (SELECT id FROM dups) AND y.id NOT IN (SELECT id FROM dups) GROUP BY x.id)
 SELECT b.seq, CASE WHEN d.id IS NOT NULL THEN 'dup' WHEN coalesce(best, own) >= 0.62 THEN 'near-dup' WHEN coalesce(best, own) >= 0.3 THEN 'conflict-candidate' ELSE 'new' END AS verdict,
-  CASE WHEN d.id IS NOT NULL THEN 1.0 WHEN best IS NOT NULL THEN best WHEN own >= 0.3 THEN own END AS best, CASE WHEN d.id IS NOT NULL THEN 1 WHEN best IS NOT NULL THEN matched WHEN own >= 0.3 THEN 1 ELSE 0 END AS matched
+  CASE WHEN d.id IS NOT NULL THEN 1.0 WHEN best IS NOT NULL THEN best WHEN own >= 0.3 THEN own END AS best, CASE WHEN d.id IS NOT NULL THEN 1 WHEN best IS NOT NULL THEN matched WHEN own >= 0.3 THEN 1 ELSE 0 END AS matched, CASE WHEN d.id IS NOT NULL THEN d.of WHEN best IS NOT NULL THEN best.refs WHEN own >= 0.3 THEN 'bundle#' || own_seq ELSE '' END AS refs
 FROM b LEFT JOIN dups d ON b.id = d.id LEFT JOIN best ON b.id = best.id LEFT JOIN own ON b.id = own.id""")
 def k4_import_plan(spark, sf):
     k = F.col("item_id")
@@ -74,7 +74,7 @@ def k4_import_plan(spark, sf):
     content = F.when(k % 4 == 1, F.col("first_text")).when(k % 4 == 2, F.concat(F.left("text", F.lit(80)), F.lit(" "), F.left("text", F.lit(40)))).otherwise(F.col("text"))
     bundle = b.select(k.alias("seq"), F.concat(F.lit("b"), k.cast("string")).alias("id"), content.alias("content"))
     existing = messages(spark, sf).select("id", F.col("text").alias("content"))
-    return O.import_plan(bundle, existing)
+    return O.import_plan(bundle, existing).withColumn("refs", F.array_join(F.transform("refs", lambda x: x["id"]), ","))
 
 
 DECIDED = "d AS (SELECT o_orderkey AS seq, 'run' || (o_orderkey % 7) AS run_id, 'r' || (o_orderkey % 900) AS winner, 'r' || o_custkey AS loser, CASE WHEN o_orderpriority LIKE '1%' THEN 'hard' ELSE 'conditional' END AS kind, o_orderkey % 3 = 0 AS in_batch FROM orders)"

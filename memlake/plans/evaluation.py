@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.operators import evaluation as E
 from memlake.operators import retrieval as O
+from memlake.operators.shared import checkpoint
 from memlake.plans.registry import Queries
 from memlake.plans.retrieval import GOLD, PROBES, bm25_sql, gold, hits_with_text, probes
 from memlake.sources import runs as R
@@ -203,3 +204,15 @@ def m8_injected_gold(spark, sf):
     asked = R.probes(scanned(spark, sf)[0]).where(F.size("gold") > 0)
     found = F.exists("gold", lambda g: F.exists("lines", lambda line: F.contains(line, g)))
     return asked.groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("probes"), F.count_if(found).alias("found"))
+
+
+@Q.add(f"""WITH {NESTED}, t AS (SELECT type, count(*) FILTER (arm = 'A' AND k % 3 = 0) AS old_hits, count(*) FILTER (arm = 'A') AS old_probes, count(*) FILTER (arm = 'B' AND k % 3 = 0) AS new_hits, count(*) FILTER (arm = 'B') AS new_probes FROM asked_of GROUP BY type),
+r AS (SELECT *, round(new_hits / greatest(new_probes, 1) - old_hits / greatest(old_probes, 1), 6) AS delta, new_hits / greatest(new_probes, 1) < old_hits / greatest(old_probes, 1) - 0.01 AS fell FROM t),
+s AS (SELECT sum(old_hits)::BIGINT AS old_hits, sum(old_probes)::BIGINT AS old_probes, sum(new_hits)::BIGINT AS new_hits, sum(new_probes)::BIGINT AS new_probes, bool_or(fell) AS fell FROM r), a AS (SELECT *, round(new_hits / greatest(new_probes, 1) - old_hits / greatest(old_probes, 1), 6) AS delta FROM s)
+SELECT type, old_hits, old_probes, new_hits, new_probes, delta, NULL AS verdict FROM r UNION ALL SELECT 'all', old_hits, old_probes, new_hits, new_probes, delta, CASE WHEN delta > 0.05 AND NOT fell THEN 'better' WHEN delta < -0.05 THEN 'worse' ELSE 'noise' END FROM a""")
+def m10_run_report(spark, sf):
+    """The two runs' probes compared by type, with the verdict that their environments allow."""
+    runs = checkpoint(scanned(spark, sf)[0])
+    env = {r["run"]: r["env"] for r in runs.groupBy("run").agg(F.min_by("env_key", "rep").alias("env")).where("run in ('run-A', 'run-B')").collect()}
+    asked = R.probes(runs)
+    return E.compare_report(asked.where("run = 'run-A'"), asked.where("run = 'run-B'"), env.get("run-A"), env.get("run-B"))

@@ -184,13 +184,17 @@ def c16_room_catalog_merge(spark, sf):
     return both.select("room", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "label", F.when(F.col("known"), "pre-registered").otherwise("grown").alias("source"))
 
 
-@Q.add(f"""WITH {RECORDS}, {SOURCED}, {MESSAGES}, a AS (SELECT DISTINCT e.id, session_id, turn, CASE WHEN e.seq % 2 = 0 THEN step END AS step FROM (SELECT id, seq, unnest(source_message_ids) AS m FROM sourced) e JOIN messages ON m = messages.id WHERE turn IS NOT NULL),
-m AS (SELECT a.id, x.session_id, x.n AS seq, length(x.text) AS chars FROM a JOIN messages x ON a.session_id = x.session_id AND a.turn = x.turn AND (a.step IS NULL OR a.step = x.step)),
+@Q.add(f"""WITH {RECORDS}, {SOURCED}, {MESSAGES}, a AS (SELECT DISTINCT e.id, e.seq AS n, session_id, turn, CASE WHEN e.seq % 2 = 0 THEN step END AS step FROM (SELECT id, seq, unnest(source_message_ids) AS m FROM sourced) e JOIN messages ON m = messages.id WHERE turn IS NOT NULL),
+m AS (SELECT a.id, x.session_id, x.n AS seq, length(x.text) AS chars FROM a JOIN messages x ON a.session_id = x.session_id AND a.turn + CASE WHEN a.n % 13 = 1 THEN 1000 ELSE 0 END = x.turn AND (a.step IS NULL OR a.step = x.step) WHERE a.n % 11 <> 1 AND x.role IN ('user', 'assistant') AND trim(x.text) <> ''),
 w AS (SELECT *, row_number() OVER o AS k, sum(chars) OVER (PARTITION BY id ORDER BY session_id, seq ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT DISTINCT * FROM m) WINDOW o AS (PARTITION BY id ORDER BY session_id, seq))
-SELECT i.id, count(*) FILTER (k <= 2 AND s <= 900) AS events, CAST(coalesce(sum(chars) FILTER (k <= 2 AND s <= 900), 0) AS BIGINT) AS chars, coalesce(bool_or(NOT (k <= 2 AND s <= 900)), false) AS truncated, CASE WHEN count(k) = 0 THEN 'no-event' END AS failure
-FROM (SELECT DISTINCT id FROM a) i LEFT JOIN w ON i.id = w.id GROUP BY i.id""")
+SELECT i.id, count(*) FILTER (k <= 2 AND s <= 900) AS events, CAST(coalesce(sum(chars) FILTER (k <= 2 AND s <= 900), 0) AS BIGINT) AS chars, coalesce(bool_or(NOT (k <= 2 AND s <= 900)), false) AS truncated,
+  CASE WHEN count(k) > 0 THEN NULL WHEN i.id NOT IN (SELECT id FROM a) THEN 'no-anchor' WHEN any_value(i.seq) % 11 = 1 THEN 'session-unreadable' ELSE 'anchor-not-found' END AS failure
+FROM (SELECT DISTINCT id, seq FROM sourced) i LEFT JOIN w ON i.id = w.id GROUP BY i.id""")
 def c17_fetch_evidence(spark, sf):
-    places = O.resolve_anchors(sourced(spark, sf), messages(spark, sf)).select("id", F.explode("anchors").alias("a")).select("id", "a.*")
-    even = F.substring("id", 2, 20).cast("long") % 2 == 0
-    anchors = places.select("id", "session_id", "turn", F.when(even, F.col("step")).alias("step")).distinct()
-    return O.fetch_evidence(anchors, messages(spark, sf).withColumn("seq", F.col("n")), 2, 900)
+    """Evidence of records: sessions are written in two ways, those of some are gone, and the anchors of some lead nowhere."""
+    every, k = sourced(spark, sf), F.substring("id", 2, 20).cast("long")
+    places = O.resolve_anchors(every, messages(spark, sf)).select("id", F.explode("anchors").alias("a")).select("id", "a.*")
+    session = F.when(k % 11 == 1, F.concat(F.lit("gone-"), "session_id")).when(k % 3 == 0, F.concat(F.lit("session-"), "session_id")).otherwise(F.col("session_id"))
+    anchors = places.select("id", session.alias("session_id"), (F.col("turn") + F.when(k % 13 == 1, 1000).otherwise(0)).alias("turn"), F.when(k % 2 == 0, F.col("step")).alias("step")).distinct()
+    events = messages(spark, sf).withColumns({"seq": F.col("n"), "type": F.concat("role", F.lit("/message"))})
+    return O.fetch_evidence(anchors, events, 2, 900, every.select("id"))
