@@ -44,6 +44,26 @@ def exact_dedupe(items: DataFrame) -> DataFrame:
     return keyed.withColumn("digest", F.sha2("key", 256)).join(groups, "digest").select("id", F.col("best.id").alias("representative"), "members", "max_priority", "all_timestamps")
 
 
+def before_store(items: DataFrame, vectors: DataFrame, tau: float = 0.92) -> tuple[DataFrame, DataFrame]:
+    """(absorbed, stages) of items (run_id, id, seq, content, priority, timestamps) that are to be stored: receipts and counts.
+
+    Equal texts are one item (see `exact_dedupe`); of these, items whose vectors (id, seq, batch, family, type, embedding) are near enough follow their leader (see
+    `leader_clusters`); one without a vector stands for itself. absorbed (run_id, record_id, action, candidate_ids, stage, input_digest) is a merge receipt for each item that another
+    one has taken in, with that one as candidate; the digest is over both, so that a receipt tells which. stages (stage, n) are the items before, after equal texts, and after vectors.
+    """
+    exact = checkpoint(exact_dedupe(items))
+    own = exact.where("id = representative").select("id")
+    near = checkpoint(leader_clusters(vectors.join(own, "id", "left_semi"), tau))
+    pairs = exact.where("id <> representative").select("id", F.col("representative").alias("into"), F.lit("exact").alias("stage"))
+    pairs = pairs.union(near.where("id <> leader").select("id", F.col("leader").alias("into"), F.lit("vector").alias("stage")))
+    told = pairs.join(items.select("id", "run_id"), "id")
+    digest = C.input_digest(F.array(F.col("id").cast("string"), F.col("into").cast("string")), "absorbed/v1")
+    absorbed = told.select("run_id", F.col("id").alias("record_id"), F.lit("merge").alias("action"), F.array("into").alias("candidate_ids"), "stage", digest.alias("input_digest"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
+    left = own.join(near.where("id <> leader"), "id", "left_anti")
+    return absorbed, count(exact, "input").union(count(own, "after_exact")).union(count(left, "after_vector"))
+
+
 def leader_clusters(items: DataFrame, tau: float = 0.92) -> DataFrame:
     """(id, leader) within a batch's (batch, family, type): the most similar earlier leader at tau or above, else itself; of equally similar ones the first.
 

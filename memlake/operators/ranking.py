@@ -202,6 +202,33 @@ def budget_plan(records: DataFrame, most_records: int, most_calls: int) -> DataF
     return rows.select("id", F.when(F.col("done"), "done").when(F.col("anchors") == 0, "free").when(F.col("planned"), "planned").otherwise("deferred").alias("fate"))
 
 
+# What a verification may cost, and characters a token.
+MOST_RECORDS, MOST_ANCHORS, EVIDENCE_CHARS, MOST_CALLS, CHARS_A_TOKEN = 50, 8, 12_000, 50, 4
+
+
+def verification_plan(records: DataFrame, most_records: int = MOST_RECORDS, most_anchors: int = MOST_ANCHORS, evidence_chars: int = EVIDENCE_CHARS, most_calls: int = MOST_CALLS) -> tuple[DataFrame, DataFrame]:
+    """(plan, estimate) for records (id, order, chars, anchors, done): plan (id, fate, anchors), estimate one row.
+
+    Records with anchors that are done are left out. Of the others the first `most_records` by order, then id, are in the plan, the rest is over-records; of these, those without
+    anchors are free, and each other one is a call: the first `most_calls` are planned, the rest is over-calls. At most `most_anchors` anchors of a record count. The estimate has
+    the texts of what stays and `evidence_chars` for each call, as characters and as tokens. Only the first `most_records` are ordered globally.
+    """
+    rows = records.withColumns({"anchors": F.least(F.coalesce("anchors", F.lit(0)), F.lit(most_anchors)).cast("long"), "chars": F.coalesce("chars", F.lit(0)).cast("long")})
+    skipped = (F.col("anchors") > 0) & F.coalesce("done", F.lit(False))
+    order = W.orderBy("order", "id")
+    calls = F.sum((F.col("anchors") > 0).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    first = rows.where(~skipped).orderBy("order", "id").limit(most_records).withColumn("call", calls)
+    inside = checkpoint(first.select("id", F.when(F.col("anchors") == 0, "free").when(F.col("call") <= most_calls, "planned").otherwise("over-calls").alias("in_plan")))
+    plan = rows.join(small(inside), "id", "left").withColumn("fate", F.coalesce("in_plan", F.when(skipped, "done").otherwise("over-records")))
+    kept = F.col("fate").isin("planned", "free")
+    sums = plan.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("fate") == "planned").alias("calls"), F.count_if(F.col("anchors") == 0).alias("without_anchor"), F.count_if(F.col("fate") == "done").alias("done"), F.count_if(F.col("fate") == "over-records").alias("over_records"),
+        F.count_if(F.col("fate") == "over-calls").alias("over_calls"), F.coalesce(F.sum(F.when(kept, F.col("anchors"))), F.lit(0)).alias("anchors"),
+        F.coalesce(F.sum(F.when(kept, F.col("chars") + F.when(F.col("anchors") > 0, evidence_chars).otherwise(0))), F.lit(0)).alias("chars"),
+    )
+    return plan.select("id", "fate", "anchors"), sums.withColumn("tokens", F.ceil(F.col("chars") / CHARS_A_TOKEN))
+
+
 def fold_coordinates(events: DataFrame) -> DataFrame:
     """Every event with the turn that is open (carried on from turn/start) and its step there; events before any turn go."""
     order = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)

@@ -36,14 +36,21 @@ def k2_vector_dedupe(spark, sf):
     return O.leader_clusters(batch)
 
 
+def deduped(spark, sf):
+    k = F.col("vec_id")
+    v = read(spark, sf, "embeddings").select(F.concat(F.lit("r"), k.cast("string")).alias("id"), k.alias("seq"), F.floor(k / 64).alias("batch"), F.lit("chat").alias("family"), F.col("label").cast("string").alias("type"), "embedding")
+    return O.before_store(items(spark, sf).withColumn("run_id", F.concat(F.lit("run"), (F.col("seq") % 9).cast("string"))), v)
+
+
 @Q.add()
 def k3_dedupe_pipeline(spark, sf):
-    exact = O.exact_dedupe(items(spark, sf))
-    left = exact.where("id = representative").select("id")
-    v = read(spark, sf, "embeddings").select(F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("id"), F.col("vec_id").alias("seq"), F.floor(F.col("vec_id") / 64).alias("batch"), F.lit("chat").alias("family"), F.col("label").cast("string").alias("type"), "embedding")
-    near = O.leader_clusters(v.join(left, "id", "left_semi"))
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
-    return count(exact, "input").union(count(left, "after_exact")).union(count(left.join(near.where("id <> leader"), "id", "left_anti"), "after_vector"))
+    return deduped(spark, sf)[1]
+
+
+@Q.add()
+def k3_receipts(spark, sf):
+    """A receipt for each item that another one takes in; tests compare them with the stages one after the other."""
+    return deduped(spark, sf)[0].withColumn("candidate_ids", F.array_join("candidate_ids", ","))
 
 
 def gram_sql(n: int, t: str) -> str:

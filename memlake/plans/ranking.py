@@ -107,6 +107,27 @@ def e12_budget_plan(spark, sf):
     return O.budget_plan(rows, 200, 300)
 
 
+PLANNED = f"""{RECORDS}, b AS (SELECT id, least(seq % 12, 8) AS anchors, seq % 5 = 0 AND seq % 12 > 0 AS gone, updated_ms AS ord, length(content) AS chars FROM records), o AS (SELECT * FROM b WHERE NOT gone ORDER BY ord, id LIMIT 200),
+c AS (SELECT id, CASE WHEN anchors = 0 THEN 'free' WHEN sum(CASE WHEN anchors > 0 THEN 1 ELSE 0 END) OVER (ORDER BY ord, id ROWS UNBOUNDED PRECEDING) <= 120 THEN 'planned' ELSE 'over-calls' END AS fate FROM o),
+p AS (SELECT b.id, CASE WHEN gone THEN 'done' ELSE coalesce(c.fate, 'over-records') END AS fate, anchors, chars FROM b LEFT JOIN c ON c.id = b.id)"""
+
+
+def verified(spark, sf):
+    k = F.col("seq")
+    return O.verification_plan(records(spark, sf).select("id", F.col("updated_ms").alias("order"), F.length("content").alias("chars"), (k % 12).alias("anchors"), (k % 5 == 0).alias("done")), 200, 8, 12_000, 120)
+
+
+@Q.add(f"WITH {PLANNED} SELECT id, fate, anchors FROM p")
+def e12_verification_plan(spark, sf):
+    return verified(spark, sf)[0]
+
+
+@Q.add(f"""WITH {PLANNED} SELECT count(*) AS total, count(*) FILTER (fate = 'planned') AS calls, count(*) FILTER (anchors = 0) AS without_anchor, count(*) FILTER (fate = 'done') AS done, count(*) FILTER (fate = 'over-records') AS over_records, count(*) FILTER (fate = 'over-calls') AS over_calls,
+  sum(anchors) FILTER (fate IN ('planned', 'free'))::BIGINT AS anchors, sum(chars + CASE WHEN anchors > 0 THEN 12000 ELSE 0 END) FILTER (fate IN ('planned', 'free'))::BIGINT AS chars, ceil(sum(chars + CASE WHEN anchors > 0 THEN 12000 ELSE 0 END) FILTER (fate IN ('planned', 'free')) / 4)::BIGINT AS tokens FROM p""")
+def e12_verification_estimate(spark, sf):
+    return verified(spark, sf)[1]
+
+
 @Q.add(f"""WITH {SESSION_EVENTS}, o AS (SELECT *, last_value(CASE WHEN type = 'turn/start' THEN turn END IGNORE NULLS) OVER w AS open, count(*) FILTER (type = 'turn/start') OVER w AS seg FROM session_events WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
 SELECT session_id, seq, coalesce(turn, open) AS turn, count(*) FILTER (type = 'assistant/message') OVER (PARTITION BY session_id, seg ORDER BY seq ROWS UNBOUNDED PRECEDING) AS step FROM o WHERE seg > 0""")
 def e13_fold_event_coordinates(spark, sf):
