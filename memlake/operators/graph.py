@@ -115,11 +115,14 @@ def independent(ranked: DataFrame, links: DataFrame, most: int) -> DataFrame:
         down = stored(down.join(gone.withColumnRenamed("id", "worse"), "worse", "left_anti").join(gone.withColumnRenamed("id", "better"), "better", "left_anti"))
 
 
-def seeds(nodes: DataFrame, edges: DataFrame, causal: tuple[str, ...], most: int = 6) -> DataFrame:
-    """(place, id, score): up to `most` (20 at most) visible nodes with edges by degree + 2 causal, then causal, then recency, then id, each not a neighbour of one before it."""
-    known = visible(nodes).select("id", "updated_ms").join(degrees(nodes, edges, causal), "id")
+def seeds(nodes: DataFrame, edges: DataFrame, causal: tuple[str, ...], most: int = 6, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(place, id, score): up to `most` (20 at most) visible nodes with edges by degree + 2 causal, each not a neighbour of one before it.
+
+    ties: columns of the nodes, or degree or causal, of which the larger goes first where scores are equal; then the least id does.
+    """
+    known = visible(nodes).join(degrees(nodes, edges, causal), "id")
     score = F.col("degree") + 2 * F.col("causal")
-    ranked = known.where(score > 0).select("id", F.struct((-score).alias("s"), (-F.col("causal")).alias("c"), (-F.col("updated_ms")).alias("u"), "id").alias("o"))
+    ranked = known.where(score > 0).select("id", F.struct((-score).alias("s"), *((-F.col(t)).alias(f"t{k}") for k, t in enumerate(ties)), "id").alias("o"))
     chosen = independent(ranked, both_ways(edges).select("a", "b"), min(most, 20))
     return chosen.select(F.row_number().over(W.orderBy("o")).alias("place"), "id", (-F.col("o.s")).cast("long").alias("score"))  # at most 20 rows
 

@@ -143,7 +143,7 @@ def j5_ego_neighbors(spark, sf):
 r(k, taken) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT k.k, CASE WHEN list_has_any(near, taken) THEN taken ELSE list_append(taken, k.id) END FROM r JOIN k ON k.k = r.k + 1 JOIN nb ON nb.a = k.id WHERE len(taken) < 6),
 c AS (SELECT unnest(taken) AS id, unnest(range(1, len(taken) + 1)) AS place FROM r ORDER BY k DESC LIMIT 6) SELECT CAST(place AS INT) AS place, c.id, score FROM c JOIN k ON k.id = c.id""")
 def j6_seed_selection(spark, sf):
-    return O.seeds(nodes(spark, sf), edges(spark, sf), CAUSAL, 6)
+    return O.seeds(nodes(spark, sf), edges(spark, sf), CAUSAL, 6, ("causal", "updated_ms"))
 
 
 @Q.add(f"""WITH {NODES}, {EDGES}, {SOURCES}, w AS (SELECT 'r' || (item_id * 3) AS record_id FROM benchmark), z AS (SELECT DISTINCT record_id, id FROM w JOIN sources USING (record_id) WHERE id IN (SELECT id FROM vis)),
