@@ -131,7 +131,7 @@ def test_what_is_dropped_and_marked(spark):
     node = lambda ref, type_, name, **more: {"ref": ref, "seq": int(ref), "type": type_, "name": name, "aliases": [], "sources": ["r1"], "state": "", "status": None, "valid_from_ms": None, "valid_to_ms": None, **more}
     batch = {
         "nodes": [
-            node("1", "place", "src/a/b.ts"), node("2", "tool", "src/a/b.ts", aliases=["b", "./c", "下降 了", "SRC/A/B.ts"]), node("3", "person", "用户"), node("4", "person", "用户@DSH"), node("5", "concept", "x"), node("6", "tool", " "),
+            node("1", "place", "src/a/b.ts"), node("2", "tool", "src/a/b.ts", aliases=["b", "./c", "下降 了", "SRC/A/B.ts"]), node("3", "person", "用户"), node("4", "person", "用户@ACME"), node("5", "concept", "x"), node("6", "tool", " "),
             node("7", "tool", "t", sources=["r1", "r9"]), node("8", "tool", "u", sources=[]), node("9", "tool", "long " * 60, state=" a \n b ", sources=["r2"]), node("10", None, "x"),
         ],
         "facts": [{"ref": "4", "pos": 0, "key": " 定位 ", "value": "v", "sources": ["r2"]}, {"ref": "4", "pos": 1, "key": "odd", "value": "v", "sources": None}, {"ref": "4", "pos": 2, "key": "odd", "value": " ", "sources": None}, {"ref": "4", "pos": 3, "key": "k", "value": "v", "sources": []}, {"ref": "3", "pos": 0, "key": "k", "value": "v", "sources": None}],
@@ -153,12 +153,12 @@ def test_what_is_dropped_and_marked(spark):
 def stock(spark):
     node = lambda ident, name, type_="person", aliases=None, tags=None, state="", status="active", family="work": (ident, name, type_, aliases, tags, state, status, family)
     nodes = [
-        node("n1", "助手"), node("n2", "用户", aliases=["use/r.md"]), node("n3", "团队", "organization"), node("n4", "用户@DSH"), node("n5", "于开丞"), node("n7", "维护者", "tool"), node("n8", "用户", family="home"), node("n9", "助手", status="archived"),
+        node("n1", "助手"), node("n2", "用户", aliases=["use/r.md"]), node("n3", "团队", "organization"), node("n4", "用户@ACME"), node("n5", "王小明"), node("n7", "维护者", "tool"), node("n8", "用户", family="home"), node("n9", "助手", status="archived"),
         node("h1", "客户"), node("h2", "客户"), node("h3", "AI", family=None), node("h4", "Agent"), node("h5", "agent@work", "tool"),
-        node("p1", "E:/test/rewrite/mine-plugins", "place"), node("p2", "C:\\Users\\joshua\\.dsh\\memory\\", "place", tags=["t"]), node("p3", "E:/a/b.md", "place"), node("p4", "杭州", "place"),
-        node("a1", "DSH", "project", ["deepseek harness", "E:/test/dsh", "需要确认排期", "DSH"], state="状态: 旧"), node("k2", "某工具", "tool", status="disputed"),
+        node("p1", "E:/test/rewrite/mine-plugins", "place"), node("p2", "C:\\Users\\someone\\.acme\\memory\\", "place", tags=["t"]), node("p3", "E:/a/b.md", "place"), node("p4", "杭州", "place"),
+        node("a1", "ACME", "project", ["acme harness", "E:/test/acme", "需要确认排期", "ACME"], state="状态: 旧"), node("k2", "某工具", "tool", status="disputed"),
     ]
-    facts = [("f1", "a1", 1, "当前状态", "进行中", "active"), ("f2", "a1", 0, "负责人", "joshua", "superseded"), ("f3", "k2", 1, "门禁状态", "已过", "disputed"), ("f4", "n1", 1, "当前状态", "x", "active"), ("f5", "c1", 1, "定位", "y", "active")]
+    facts = [("f1", "a1", 1, "当前状态", "进行中", "active"), ("f2", "a1", 0, "负责人", "someone", "superseded"), ("f3", "k2", 1, "门禁状态", "已过", "disputed"), ("f4", "n1", 1, "当前状态", "x", "active"), ("f5", "c1", 1, "定位", "y", "active")]
     facts += [(f"{n}-{k}", n, k, "版本", str(k), "disputed" if k % 2 else "active") for n in ("h1", "h2", "h3", "h4") for k in range(20)]
     concepts = [("c1", "压缩 算法", "algorithm", ["./x", "压缩算法", "zip"], "active"), ("c2", "压缩-算法", "algorithm", None, "active"), ("c3", "压缩算法", "algorithm", [], "archived"), ("c4", "压缩算法", "spec", [], "disputed")]
     return (
@@ -178,7 +178,7 @@ def test_sweep_by_hand(spark, stock):
     names = {i: r["name"] for i, r in got.items() if r["name"] != {x["id"]: x["name"] for x in nodes.collect()}[i]}
     assert names == {"h1": "客户@work", "p1": "mine-plugins", "p2": "memory"}
     assert got["p2"]["tags"] == ["t", "路径"] and got["p3"]["tags"] == [] and got["k2"]["tags"] == ["未规范"]
-    assert got["a1"]["aliases"] == ["deepseek harness"] and got["a1"]["state"] == "状态: 进行中" and got["n2"]["aliases"] == ["use/r.md"]
+    assert got["a1"]["aliases"] == ["acme harness"] and got["a1"]["state"] == "状态: 进行中" and got["n2"]["aliases"] == ["use/r.md"]
     assert {r["id"]: r["key"] for r in swept.facts.where("key <> '版本'").collect()} == {"f1": "状态", "f2": "负责人", "f3": "门禁状态", "f4": "当前状态", "f5": "用途"}
     assert {r["id"]: r["aliases"] for r in swept.concepts.collect()} == {"c1": ["zip"], "c2": [], "c3": [], "c4": []}
     report = {r["rule"]: r["n"] for r in swept.report.collect()}
