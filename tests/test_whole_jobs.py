@@ -323,3 +323,53 @@ def test_proposals_fold_into_nodes(spark):
         "new-c": ("Duck", [], [], ["r2"], "active"),
     }
     assert sorted(r["ref"] for r in dropped.collect()) == ["e", "f", "g"]
+
+
+@pytest.fixture
+def no_broadcast(monkeypatch):
+    """Queries go to a grid of cells, each with a few of them."""
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(shared, "CELL_BYTES", 1500)
+
+
+def test_a_grid_of_cells_shuffles_each_side_as_often_as_the_other_has_parts(spark, no_broadcast):
+    draw = random.Random(11)
+    texts = [(f"t{k:03d}", " ".join(draw.choices([f"w{i}" for i in range(40)], k=draw.randrange(1, 30)))) for k in range(300)]
+    rows, queries = spark.createDataFrame(texts, "id string, content string").repartition(3), spark.createDataFrame(texts[:50], "query_id string, query string")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        frame = retrieval.bm25(queries, rows, 5)
+        got = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in frame.collect())
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    cells = int(re.search(r"RepartitionByExpression \[.*?\], (\d+)", plan)[1])
+    assert 8 <= cells < 64  # what the queries' bytes and the cores need, whatever number of partitions is set
+    sets = {i: set(t.split()) for i, t in texts}
+    df = {w: sum(w in s for s in sets.values()) for w in set().union(*sets.values())}
+    mean = sum(map(len, sets.values())) / len(sets)
+    for q, _ in texts[:50]:
+        scores = {i: math.floor(sum(math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) for w in sets[q] & s) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(s) / mean)) * 1e6 + 0.5) for i, s in sets.items()}
+        best = sorted((-v, i) for i, v in scores.items() if v > 0)[:5]
+        assert [(r[2], round(r[3] * 1e6)) for r in got if r[0] == q] == [(i, -v) for v, i in best]
+
+
+def test_queries_of_the_same_known_tokens_are_scored_once(spark, monkeypatch):
+    asked = []
+    best = retrieval.best_matches
+    monkeypatch.setattr(retrieval, "best_matches", lambda queries, *more: asked.append(queries.count()) or best(queries, *more))
+    rows = spark.createDataFrame([(f"t{k}", "the red ring" if k % 2 else "the blue ring") for k in range(9)], "id string, content string")
+    queries = spark.createDataFrame([(f"q{k}", f"red ring number_{k}" if k % 3 else f"blue nobody_{k}") for k in range(30)] + [("none", "nobody")], "query_id string, query string")
+    got = {}
+    for r in retrieval.bm25(queries, rows, 2).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    assert asked == [2] and got == {f"q{k}": {1: "t1", 2: "t3"} if k % 3 else {1: "t0", 2: "t2"} for k in range(30)}
+
+
+def test_resembling_on_a_grid(spark, no_broadcast):
+    draw = random.Random(3)
+    rows = [(f"r{k:02d}", k, "".join(draw.choices("abc ", k=draw.randrange(1, 25)))) for k in range(60)]
+    frame = spark.createDataFrame(rows, "id string, seq int, content string").repartition(3)
+    with_grid = sorted(map(tuple, dedupe.resembling(frame, frame, 0.3, 2, "seq").collect()))
+    shared.BROADCAST_BYTES = 1 << 20
+    assert with_grid and with_grid == sorted(map(tuple, dedupe.resembling(frame, frame, 0.3, 2, "seq").collect()))
