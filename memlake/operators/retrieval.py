@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import columns as C
-from memlake.operators.shared import ASKED, Sets, best_matches, best_of, meeting, query_blocks, small, stored
+from memlake.operators.shared import ASKED, Sets, best_matches, best_of, meeting, query_blocks, small, sorted_items, stored
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -63,11 +63,11 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "id", text_c
     of_text = indexed.select("id", F.col("t").alias("items"), F.lit(None).cast("array<double>").alias("weights"), scale.alias("scale"))
 
     def score(q: Sets, sets: Sets, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        places = sets.places()
+        places, (items, owner, _) = sets.places(), sorted_items(sets)
         for first, ends, own in query_blocks(q):
             idfs = q.weights[own]
-            for n, at, which in meeting(ends, q.items[own], sets.ends, sets.items):
-                rounded = np.floor(np.bincount(at, weights=idfs[which], minlength=len(sets)) * sets.scales * 1e6 + 0.5).astype(np.int64)
+            for n, at, which in meeting(ends, q.items[own], items):
+                rounded = np.floor(np.bincount(owner[at], weights=idfs[which], minlength=len(sets)) * sets.scales * 1e6 + 0.5).astype(np.int64)
                 good = np.flatnonzero(rounded >= max(1, least[first + n]))
                 if len(good):
                     good = good[best_of(rounded[good], places[good], k)] if len(good) > k else good

@@ -373,3 +373,10 @@ def test_resembling_on_a_grid(spark, no_broadcast):
     with_grid = sorted(map(tuple, dedupe.resembling(frame, frame, 0.3, 2, "seq").collect()))
     shared.BROADCAST_BYTES = 1 << 20
     assert with_grid and with_grid == sorted(map(tuple, dedupe.resembling(frame, frame, 0.3, 2, "seq").collect()))
+
+
+def test_ties_among_some_rows_of_a_slice():
+    import numpy as np
+
+    scores, places = np.array([5, 6, 6, 5]), np.array([1, 90, 80, 0])
+    assert list(shared.best_of(scores, places, 1)) == [2] and sorted(shared.best_of(scores, places, 2)) == [1, 2]
