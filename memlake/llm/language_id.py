@@ -118,8 +118,8 @@ def _frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[grams(text)[0]] += 1
+            for text in batch.column(0):  # one at a time: a batch's texts as Python's would take several times its memory
+                total[grams(text.as_py())[0]] += 1
                 total[BUCKETS] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
@@ -188,11 +188,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(f"struct<{lang}: string, {score}: double>")
-    def predict(texts):
-        import pandas as pd
-
-        return pd.DataFrame([shared.value.predict(text) for text in texts], columns=[lang, score])
+    @F.arrow_udf(f"struct<{lang}: string, {score}: double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        said = [shared.value.predict(text.as_py()) for text in texts]  # one at a time, as in `_frequencies`
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [lang, score])
 
     kept = [c for c in docs.columns if c not in (lang, score)]
     said = docs.select(F.struct(*docs.columns).alias("_row"), predict(F.col(text_col)).alias("_said"))

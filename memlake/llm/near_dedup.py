@@ -16,7 +16,7 @@ from memlake.llm.words import MIX, distinct_by_text, mixed, shingles, step
 
 #: Counters of shingle frequencies that order the shingles of a text; their number bounds what is broadcast.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
-#: Texts that are sketched together.
+#: Texts that are sketched together, and sets whose shingles are ordered together.
 ROWS = 512
 #: Most bytes of row keys that are broadcast, and what one takes in memory; more are joined by a shuffle.
 BROADCAST_BYTES, ROW_BYTES = 8 << 20, 192
@@ -136,18 +136,20 @@ def prefixes(sets: DataFrame, counters: np.ndarray, similarity: float) -> DataFr
     frequency = sets.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            values = lists.flatten().to_numpy()
-            bounds = np.asarray(lists.offsets, dtype=np.int64)
-            bounds = bounds - bounds[0]
-            n = np.diff(bounds)
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((values, frequency.value[values & (COUNTERS - 1)], owner))
-            pos = np.arange(len(values)) - bounds[owner]
-            short = pos < (n - np.ceil(similarity * n - 1e-9) + 1)[owner]
-            who = owner[short]
-            yield pa.RecordBatch.from_arrays([pa.array(values[order][short]), batch.column(0).take(pa.array(who)), pa.array(pos[short].astype(np.int32)), pa.array(n[who].astype(np.int32))], ["shingle", "id", "pos", "n"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                lists = batch.column(1)
+                values = lists.flatten().to_numpy()
+                bounds = np.asarray(lists.offsets, dtype=np.int64)
+                bounds = bounds - bounds[0]
+                n = np.diff(bounds)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((values, frequency.value[values & (COUNTERS - 1)], owner))
+                pos = np.arange(len(values)) - bounds[owner]
+                short = pos < (n - np.ceil(similarity * n - 1e-9) + 1)[owner]
+                who = owner[short]
+                yield pa.RecordBatch.from_arrays([pa.array(values[order][short]), batch.column(0).take(pa.array(who)), pa.array(pos[short].astype(np.int32)), pa.array(n[who].astype(np.int32))], ["shingle", "id", "pos", "n"])
 
     return sets.select("id", "shingles").mapInArrow(run, "shingle long, id long, pos int, n int")
 
