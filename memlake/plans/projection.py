@@ -256,7 +256,4 @@ def j18_sweep_report(spark, sf):
 
 @Q.add(f"WITH {STOCK} SELECT new_key AS key, new_key <> key AS changed, count(*) AS n FROM fk GROUP BY 1, 2")
 def h13_fact_keys(spark, sf):
-    nodes, facts, concepts = stock(spark, sf)
-    told = S.sweep(nodes, facts, concepts).facts.select("id", "key")
-    met = told.join(facts.select("id", F.col("key").alias("old")), "id")
-    return met.groupBy("key", (F.col("key") != F.col("old")).alias("changed")).agg(F.count(F.lit(1)).alias("n"))
+    return swept(spark, sf).renamed.groupBy(F.col("new_key").alias("key"), F.col("renamed").alias("changed")).agg(F.count(F.lit(1)).alias("n"))
