@@ -115,7 +115,8 @@ def proposed(spark, sf):
     ideas = [idea.alias("name"), F.when(k % 5 == 0, "Pattern").otherwise("?").alias("category"), F.when(k % 13 != 0, F.concat("p_type", F.lit(" of "), "p_brand")).alias("definition"), F.when(k % 3 == 1, F.array(F.concat("p_name", (k % 300).cast("string")))).alias("aliases"), sources.alias("sources"), F.lit("active").alias("status")]
     concepts = old.select(F.concat(F.lit("i"), key).alias("id"), *ideas)
     concept_p = new.select(F.concat(F.lit("i"), key).alias("ref"), k.alias("seq"), *ideas)
-    line = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(*(F.max(c).alias(c) for c in ("l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")))
+    of_line = ("l_orderkey", "l_linenumber", "l_partkey")  # dealt before they are grouped: hardly two rows are of one line
+    line = read(spark, sf, "lineitem").repartition(*of_line).groupBy(*of_line).agg(*(F.max(c).alias(c) for c in ("l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")))
     at_line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     facts = line.where("l_partkey % 10 = 0").select(F.concat(F.lit("f"), at_line.cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("node"), F.lit("状态").alias("key"), F.col("l_linestatus").alias("value"), F.lit("active").alias("status"), epoch_ms(F.col("l_shipdate")).alias("valid_from_ms"), F.lit(-1).alias("seq"), F.col("l_orderkey").cast("int").alias("pos"))
     fact_p = line.where("l_partkey % 10 <> 0").select(F.col("l_partkey").cast("string").alias("ref"), at_line.cast("int").alias("pos"), pick(KEYS, F.col("l_orderkey") % 4).alias("key"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("value"), F.when(F.col("l_linenumber") == 7, F.array(F.lit("r999999"))).alias("sources"))
