@@ -157,6 +157,13 @@ def j8_record_links(spark, sf):
     return O.record_links(wanted, nodes(spark, sf), edges(spark, sf), sources(spark, sf))
 
 
+def related_entities(spark, sf):
+    """What `O.related_entities` gives for the records of the benchmark, and the active edges."""
+    wanted = read(spark, sf, "benchmark").select(F.concat(F.lit("r"), (F.col("item_id") * 3).cast("string")).alias("record_id"))
+    links = stored(edges(spark, sf).where("status = 'active'").select("from_id", "to_id", "relation", "status"))
+    return *O.related_entities(wanted, nodes(spark, sf), links, sources(spark, sf), CAUSAL), links
+
+
 RELATED = f"""w AS (SELECT 'r' || (item_id * 3) AS record_id FROM benchmark), inf AS (SELECT v.id, updated_ms, coalesce(degree, 0) AS degree FROM vis v LEFT JOIN deg d ON d.id = v.id),
 en AS (SELECT record_id, id, degree, row_number() OVER (PARTITION BY record_id ORDER BY degree DESC, updated_ms DESC, id) AS place FROM (SELECT DISTINCT record_id, id FROM w JOIN sources USING (record_id)) JOIN inf USING (id)),
 l1 AS (SELECT e.record_id, b AS id, relation, a AS via, 1 AS hop, e.place FROM en e JOIN ways ON a = e.id SEMI JOIN vis ON vis.id = b ANTI JOIN en x ON x.record_id = e.record_id AND x.id = b),
@@ -167,15 +174,15 @@ f2 AS (SELECT record_id, id, row_number() OVER (PARTITION BY record_id ORDER BY
 
 @Q.add(f"""WITH {NODES}, {EDGES}, {DEG}, {SOURCES}, {RELATED}, n AS (SELECT record_id, l.id, relation, relation IN ('supplies_first', 'caused_by') AS causal, via, hop, degree, row_number() OVER (PARTITION BY record_id ORDER BY relation IN ('supplies_first', 'caused_by') DESC, hop, degree DESC, updated_ms, l.id, via, relation) AS place FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) l JOIN inf ON inf.id = l.id) SELECT * FROM n WHERE place <= 60""")
 def j8_record_neighbours(spark, sf):
-    wanted = read(spark, sf, "benchmark").select(F.concat(F.lit("r"), (F.col("item_id") * 3).cast("string")).alias("record_id"))
-    return O.related(wanted, nodes(spark, sf), stored(edges(spark, sf).where("status = 'active'").select("from_id", "to_id", "relation", "status")), sources(spark, sf), CAUSAL)[1]
+    seen, entities, links = related_entities(spark, sf)
+    return O.related_neighbours(entities, seen, links, CAUSAL)
 
 
 @Q.add(f"""WITH {NODES}, {EDGES}, {DEG}, {SOURCES}, {RELATED}, p AS (SELECT record_id, id, 0 AS hop, place FROM en UNION ALL SELECT record_id, id, 1, place FROM f1 UNION ALL SELECT record_id, id, 2, place FROM f2),
 q AS (SELECT p.record_id, s.record_id AS related, min((hop, place, pos)) AS o FROM p JOIN sources s ON s.id = p.id WHERE s.record_id <> p.record_id GROUP BY 1, 2) SELECT record_id, related, place FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY o) AS place FROM q) WHERE place <= 60""")
 def j8_related_records(spark, sf):
-    wanted = read(spark, sf, "benchmark").select(F.concat(F.lit("r"), (F.col("item_id") * 3).cast("string")).alias("record_id"))
-    return O.related(wanted, nodes(spark, sf), stored(edges(spark, sf).where("status = 'active'").select("from_id", "to_id", "relation", "status")), sources(spark, sf), CAUSAL)[2]
+    seen, entities, links = related_entities(spark, sf)
+    return O.related_records(entities, seen, links, sources(spark, sf))
 
 
 @Q.add(f"""WITH {NODES}, {EDGES}, z AS (SELECT 's1' AS id), o AS (SELECT DISTINCT b AS id FROM ways WHERE a = 's1' AND b <> 's1' AND b IN (SELECT id FROM vis)),
