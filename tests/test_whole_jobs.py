@@ -380,3 +380,37 @@ def test_ties_among_some_rows_of_a_slice():
 
     scores, places = np.array([5, 6, 6, 5]), np.array([1, 90, 80, 0])
     assert list(shared.best_of(scores, places, 1)) == [2] and sorted(shared.best_of(scores, places, 2)) == [1, 2]
+
+
+@pytest.mark.parametrize("bound", ["results", "shuffle"])
+def test_searches_are_bounded_by_results_and_by_what_they_shuffle(spark, monkeypatch, bound):
+    draw = random.Random(7)
+    texts = [(f"t{k:03d}", " ".join(draw.choices([f"w{i}" for i in range(30)], k=draw.randrange(1, 12)))) for k in range(200)]
+    rows, queries = spark.createDataFrame(texts, "id string, content string").repartition(3), spark.createDataFrame(texts[:60], "query_id string, query string")
+    one = sorted(map(tuple, retrieval.bm25(queries, rows, 5).collect()))
+    monkeypatch.setattr(shared, "FOUND_ROWS", 40)
+    if bound == "shuffle":
+        monkeypatch.setattr(shared, "SHUFFLED_BYTES", 0)
+    held, keep = [], shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df: held.append(keep(df)) or held[-1])
+    frame = retrieval.bm25(queries, rows, 5)
+    assert sorted(map(tuple, frame.collect())) == one and len(one) > 250
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    cells = re.search(r"RepartitionByExpression \[.*?\], (\d+)", plan)
+    found = [df.select("query_id").distinct().count() for df in held if "rank" in df.columns]
+    asked = len({tuple(sorted(set(t.split()))) for _, t in texts[:60]})
+    if bound == "shuffle":
+        assert cells is None and len(found) == -(-asked * 5 // 40) and sum(found) == asked  # a few queries at a time, each once
+    else:
+        assert int(cells[1]) >= asked * 5 // 40 and not found
+
+
+def test_only_rows_that_nothing_existing_resembles_meet_the_bundle(spark, monkeypatch):
+    asked, keep = [], dedupe.resembling
+    monkeypatch.setattr(dedupe, "resembling", lambda a, b, *more: asked.append((a.count(), b.count())) or keep(a, b, *more))
+    old = [("e1", "the red ring of the old king"), ("e2", "a blue bolt")]
+    new = [(k, f"b{k}", f"the red ring of the old king, number {k}") for k in range(20)] + [(30, "c1", "zzzz yyyy xxxx wwww"), (31, "c2", "zzzz yyyy xxxx wwwv"), (32, "c3", "qqqq")]
+    plan = dedupe.import_plan(spark.createDataFrame(new, "seq long, id string, content string"), spark.createDataFrame(old, "id string, content string"))
+    got = {r["seq"]: (r["verdict"], [x["id"] for x in r["refs"]]) for r in plan.collect()}
+    assert got == {**{k: ("near-dup", ["e1"]) for k in range(20)}, 30: ("new", []), 31: ("near-dup", ["bundle#30"]), 32: ("new", [])}
+    assert asked == [(23, 2), (3, 23)]  # not all rows against all
